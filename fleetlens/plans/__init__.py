@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("workload", "storage")
+AREAS = ("workload", "storage", "history")
 
 
 def load_all():

@@ -463,3 +463,160 @@ ADAPTERS.update({
     """,
     "schedulers": "select n_nationkey as scheduler_id, case when n_regionkey < 3 then 'VISIBLE ONLINE' else 'HIDDEN ONLINE' end as status from nation",
 })
+
+_STEP_COMMAND = """
+    replace(case p_partkey % 3 when 0 then '/ISSERVER "~"~SSISDB~' || p_brand || '~' || p_type || '~' || p_name || p_partkey
+        || '.dtsx~"" /SERVER "~"srv' || p_size || '~"" /ENVREFERENCE ' || p_size || ' /Par "~"par~"";' || p_size
+        || ' /Par "~"$ServerOption::LOGGING_LEVEL(Int16)~"";1' || case when p_size % 2 = 0 then ' /X86' else '' end
+        when 1 then '/FILE "~"C:~pkgs~' || p_brand || '~' || p_name || '.dtsx~"" /CHECKPOINTING OFF /REPORTING E'
+        else '/Server "srv' || p_size || '" /SQL "Maintenance Plans~' || p_name || '" /set "~Package~' || p_type
+        || '.Disable;false"' end, '~', chr(92))
+"""
+
+# Backup, job, package and maintenance views.
+ADAPTERS.update({
+    "bk_lsn": """
+        select o_orderkey as backup_set_id, 'db' || o_custkey as database_name,
+        case o_orderstatus when 'F' then 'D' when 'O' then 'I' else 'L' end as type,
+        o_orderdate + (o_orderkey % 1440) * interval '1' minute as backup_start_date,
+        case when o_orderpriority = '1-URGENT' then 1 else 0 end as is_damaged, o_orderkey as last_lsn
+        from orders
+    """,
+    "diff_bases": "select 'db' || c_custkey as database_name, c_custkey * 7 as differential_base_lsn from customer where c_acctbal > 0",
+    "job_schedules_full": """
+        select p_partkey as job_id, p_partkey as schedule_id, 'sched ' || p_partkey as name,
+        case when p_size % 10 = 0 then 0 else 1 end as enabled,
+        case p_partkey % 8 when 0 then 1 when 1 then 4 when 2 then 8 when 3 then 16 when 4 then 32 when 5 then 64
+        when 6 then 128 else 8 end as freq_type,
+        case p_partkey % 8 when 3 then p_partkey % 31 + 1 when 4 then p_size % 10 + 1 else p_partkey % 127 + 1 end as freq_interval,
+        p_size % 3 + 1 as freq_recurrence_factor,
+        case p_size % 4 when 0 then 1 when 1 then 2 when 2 then 4 else 8 end as freq_subday_type,
+        p_size % 5 + 1 as freq_subday_interval, (p_partkey % 24) * 10000 + (p_partkey % 60) * 100 as active_start_time,
+        ((p_partkey + 5) % 24) * 10000 + 3000 as active_end_time, 20240100 + p_partkey % 28 + 1 as active_start_date,
+        case when p_size % 3 = 0 then 20241231 else 99991231 end as active_end_date,
+        case p_partkey % 5 when 0 then 1 when 1 then 2 when 2 then 4 when 3 then 8 else 16 end as freq_relative_interval,
+        case when p_size % 6 = 0 then 0 else 20240200 + p_partkey % 28 + 1 end as next_run_date,
+        (p_partkey % 24) * 10000 + (p_partkey % 60) * 101 as next_run_time
+        from part where p_size > 4
+    """,
+    "job_steps": f"""
+        select p_partkey as job_id, p_partkey % 4 + 1 as step_id, 'step ' || p_name as step_name,
+        case when p_size % 8 = 0 then 'TSQL' else 'SSIS' end as subsystem,
+        p_size % 5 as on_success_action, p_size % 4 + 1 as on_fail_action, {_STEP_COMMAND.strip()} as command
+        from part
+    """,
+    "step_environments": "select n_nationkey as reference_id, n_name as environment_name from nation",
+    "executions": """
+        select o_orderkey as execution_id, p_brand as folder_name, p_type as project_name,
+        p_name || p_partkey || '.dtsx' as package_name
+        from orders join part on p_partkey = o_custkey
+    """,
+    "operations": "select o_orderkey as operation_id, case o_orderstatus when 'F' then 4 else 7 end as status, o_orderdate as start_time from orders",
+    "op_messages": "select l_orderkey as operation_id, case l_linestatus when 'F' then 120 else 70 end as message_type, 'error ' || l_partkey as message from lineitem",
+    "packages": "select p_brand || '/' || p_type as project_id, p_size as project_version_lsn, p_name || p_partkey as name from part",
+    "projects": "select p_brand || '/' || p_type as project_id, p_type as name, p_brand as folder_id, max(p_size) as object_version_lsn from part group by p_brand, p_type",
+    "folders": "select distinct p_brand as folder_id, p_brand as name from part",
+    "maint_packages": "select p_partkey * 2 as package_id, case when p_size % 2 = 0 then 'Daily Maintenance ' else 'Load ' end || p_partkey as name, p_partkey % 40 as owner_sid from part",
+    "job_logins": "select n_nationkey as sid, case when n_nationkey = 1 then 'sa' else n_name end as name from nation",
+    "pkg_params": """
+        select p_brand || '/' || p_type as project_id, p_size as project_version_lsn, p_name as object_name,
+        case p_partkey % 3 when 0 then 20 when 1 then 30 else 10 end as object_type, 'par' || p_partkey as parameter_name,
+        p_partkey % 2 as value_set, case when p_partkey % 5 < 3 then 'R' else 'V' end as value_type,
+        case when p_partkey % 7 = 0 then 1 else 0 end as sensitive, 'dv' || p_partkey as default_value,
+        'design' || p_partkey as design_default_value, 'v' || (p_partkey % 12) as referenced_variable_name
+        from part
+    """,
+    "env_refs": "select distinct p_brand || '/' || p_type as project_id, 'env_' || p_type as environment_name from part where p_brand <> 'Brand#3'",
+    "environments": "select distinct p_brand || '/' || p_type as environment_id, p_brand as folder_id, 'env_' || p_type as environment_name from part",
+    "env_vars": """
+        select distinct p_brand || '/' || p_type as environment_id, 'v' || (p_partkey % 10) as name, 'String' as type,
+        'val_' || p_type || (p_partkey % 10) as value, case when p_partkey % 10 = 3 then 1 else 0 end as sensitive
+        from part
+    """,
+    "ssis_principals": "select n_nationkey as principal_id, n_nationkey as sid, case when n_nationkey = 3 then 'dbo' else n_name end as name from nation",
+    "ssis_roles": "select n_nationkey as member_principal_id, n_regionkey as role_principal_id from nation",
+    "folder_perms": "select p_brand as object_id, p_partkey % 25 as sid, case p_size % 6 when 0 then 1 when 1 then 2 when 2 then 4 when 3 then 100 when 4 then 104 else 7 end as permission_type from part",
+    "project_perms": "select p_brand || '/' || p_type as object_id, p_size % 25 as sid, case p_size % 4 when 0 then 3 when 1 then 101 when 2 then 102 else 103 end as permission_type from part",
+    "environment_perms": "select p_brand || '/' || p_type as object_id, (p_size * 3) % 25 as sid, p_size % 3 + 1 as permission_type from part",
+    "db_state": """
+        select c_custkey as database_id, case when c_custkey = 1 then 'master' else 'db' || c_custkey end as name,
+        case c_mktsegment when 'BUILDING' then 'SIMPLE' when 'MACHINERY' then 'BULK_LOGGED' else 'FULL' end as recovery_model_desc,
+        case when c_nationkey % 5 = 0 then null else c_custkey end as log_lsn,
+        case when c_nationkey % 7 = 0 then null else c_custkey * 2 end as differential_base_lsn,
+        (c_custkey * 37) % 9000 as modified_extent_page_count,
+        case when c_custkey % 6 = 0 then null else (c_custkey * 91) % 50000 end as allocated_extent_page_count,
+        (c_custkey * 53) % 90000 as database_size, case when c_custkey % 10 = 0 then 1 else 0 end as differential_base_is_snapshot,
+        case when c_custkey % 9 = 0 then 'RESTORING' else 'ONLINE' end as state_desc,
+        case when c_custkey % 11 = 0 then 'SINGLE_USER' else 'MULTI_USER' end as user_access,
+        case when c_custkey % 13 = 0 then 1 when c_custkey % 17 = 0 then null else 0 end as in_standby,
+        case when c_nationkey < 10 then 'ag' || c_nationkey end as availability_group,
+        case c_custkey % 3 when 0 then 'PRIMARY' when 1 then 'SECONDARY' end as availability_group_role,
+        c_custkey % 2 as is_preferred_backup_replica,
+        case c_custkey % 4 when 0 then 'PRIMARY' when 1 then 'SECONDARY' end as log_shipping_role,
+        case when c_acctbal < 0 then 1 else 0 end as is_read_only,
+        case when c_custkey % 8 = 0 then null else c_custkey % 500 end as log_size_since_last_log_backup,
+        c_custkey % 3000 as minutes_since_log_backup, c_custkey % 40 as start_position
+        from customer
+    """,
+    "idx_catalog": """
+        select cast(floor(p_partkey / 8) as bigint) as object_id, p_partkey % 8 as index_id, 'IX_' || p_partkey as name,
+        case p_partkey % 8 when 0 then 0 when 1 then 1 when 4 then 3 when 5 then case when p_size % 3 = 0 then 6 else 2 end
+        when 6 then 4 when 7 then 7 else 2 end as type, p_size % 2 as allow_page_locks,
+        case when p_size % 3 = 0 then 1 else 0 end as has_filter, case when p_size % 11 = 0 then 1 else 0 end as is_disabled,
+        p_size % 7 as data_space_id
+        from part
+    """,
+    "idx_objects": """
+        select distinct cast(floor(p_partkey / 8) as bigint) as object_id, 'T' || cast(floor(p_partkey / 8) as bigint) as name,
+        cast(floor(p_partkey / 8) as bigint) % 5 as schema_id,
+        case cast(floor(p_partkey / 8) as bigint) % 6 when 0 then 'V ' when 1 then 'P ' else 'U ' end as type,
+        case when cast(floor(p_partkey / 8) as bigint) % 13 = 0 then 1 else 0 end as is_ms_shipped
+        from part
+    """,
+    "idx_tables": """
+        select distinct cast(floor(p_partkey / 8) as bigint) as object_id,
+        case when cast(floor(p_partkey / 8) as bigint) % 10 = 0 then 1 else 0 end as is_memory_optimized,
+        cast(floor(p_partkey / 8) as bigint) % 5 as lob_data_space_id
+        from part where p_type <> 'ECONOMY'
+    """,
+    "idx_columns": """
+        select distinct cast(floor(l_partkey / 8) as bigint) as object_id, l_linenumber as column_id,
+        case (cast(floor(l_partkey / 8) as bigint) + l_linenumber) % 9 when 0 then 'image' when 1 then 'xml' when 2 then 'varchar'
+        when 3 then 'timestamp' else 'int' end as type_name,
+        case when (cast(floor(l_partkey / 8) as bigint) + l_linenumber) % 18 = 2 then -1 else 10 end as max_length,
+        case when (cast(floor(l_partkey / 8) as bigint) + l_linenumber * 3) % 23 = 0 then 1 else 0 end as is_filestream,
+        case when (cast(floor(l_partkey / 8) as bigint) * 3 + l_linenumber) % 5 = 0 then 1 else 0 end as is_computed
+        from lineitem
+    """,
+    "idx_index_columns": """
+        select distinct cast(floor(l_partkey / 8) as bigint) as object_id, l_partkey % 8 as index_id, l_linenumber as column_id,
+        l_linenumber % 3 as key_ordinal, 0 as partition_ordinal
+        from lineitem where l_quantity > 45
+    """,
+    "fg_state": "select r_regionkey as data_space_id, case when r_regionkey = 2 then 1 else 0 end as is_read_only from region",
+    "resumable_ops": """
+        select cast(floor(p_partkey / 8) as bigint) as object_id, p_partkey % 8 as index_id,
+        case when p_size % 4 = 0 then 'PAUSED' else 'RUNNING' end as state_desc
+        from part where p_brand = 'Brand#1'
+    """,
+    "idx_stats": """
+        select cast(floor(p_partkey / 8) as bigint) as object_id, p_partkey % 8 as stats_id, 'IXS_' || p_partkey as name,
+        p_size % 2 as no_recompute, 0 as is_incremental
+        from part
+        union all select cast(floor(p_partkey / 8) as bigint), 100 + p_partkey, 'WA_' || p_partkey, 0, p_size % 2
+        from part
+    """,
+    "index_work": """
+        select cast(floor(l_partkey / 8) as bigint) as object_id, l_partkey % 8 as index_id, l_partkey % 8 as statistics_id,
+        'S' || (l_partkey % 5) as schema_name, 'T' || cast(floor(l_partkey / 8) as bigint) as object_name, 'IX_' || l_partkey as index_name,
+        'ST_' || l_partkey as statistics_name, (sum(cast(l_quantity as bigint)) * 7) % 101 as avg_fragmentation_in_percent,
+        sum(cast(l_quantity as bigint)) as page_count, count(*) as modification_counter, sum(cast(l_quantity as bigint)) as row_count,
+        case when l_partkey % 8 = 0 then 1 else l_partkey % 8 end as index_type, max(p_size) % 2 as allow_page_locks,
+        case when max(p_size) % 3 = 0 then 1 else 0 end as is_image_text, case when max(p_size) % 5 = 0 then 1 else 0 end as has_columnstore,
+        case when max(p_size) % 7 = 0 then 1 else 0 end as on_read_only_filegroup, case when max(p_size) % 11 = 0 then 1 else 0 end as is_memory_optimized,
+        case when max(p_size) % 13 = 0 then 1 else 0 end as resumable_index_operation, case when max(p_size) % 4 = 0 then 1 else 0 end as is_partition,
+        max(p_size) % 3 as partition_number, 2 as partition_count, max(p_size) % 2 as no_recompute, max(p_size) % 9 as start_position
+        from lineitem join part on p_partkey = l_partkey
+        group by l_partkey
+    """,
+})
