@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("workload", "storage", "history")
+AREAS = ("workload", "storage", "history", "packages", "maintenance")
 
 
 def load_all():

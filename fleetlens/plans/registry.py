@@ -51,7 +51,7 @@ class Query:
 
         visit(self.sql)
         ctes = ",\n".join(f"{n} AS ({ADAPTERS[n].strip()})" for n in needed)
-        select = ", ".join(f"CAST({c} AS {_CHECK_TYPE[t]}) AS {c}" for c, t in self.columns.items())
+        select = ", ".join(f'CAST("{c}" AS {_CHECK_TYPE[t]}) AS "{c}"' for c, t in self.columns.items())
         head = f"WITH {ctes}\n" if ctes else ""
         return f"{head}SELECT {select} FROM (\n{self.sql.strip()}\n) AS result"
 
