@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("workload", "storage", "history", "packages", "maintenance")
+AREAS = ("workload", "storage", "history", "packages", "maintenance", "trace", "security", "topology")
 
 
 def load_all():

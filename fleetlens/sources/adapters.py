@@ -620,3 +620,134 @@ ADAPTERS.update({
         group by l_partkey
     """,
 })
+
+# Security, configuration, topology and selection views.
+ADAPTERS.update({
+    "db_principals": """
+        select s_suppkey as principal_id, s_name as name, case s_nationkey % 4 when 0 then 'S' when 1 then 'U' when 2 then 'G' else 'X' end as type,
+        case s_nationkey % 4 when 0 then 'SQL_USER' when 1 then 'WINDOWS_USER' when 2 then 'WINDOWS_GROUP' else 'EXTERNAL_USER' end as type_desc,
+        case s_nationkey % 2 when 0 then 'INSTANCE' else 'EXTERNAL' end as authentication_type_desc, s_nationkey as sid
+        from supplier
+        union all select -1 - n_nationkey, case when n_nationkey = 24 then 'public' when n_nationkey = 23 then 'db_owner' else n_name end,
+        'R', 'DATABASE_ROLE', 'NONE', null
+        from nation
+    """,
+    "db_role_members": """
+        select s_suppkey as member_principal_id, -1 - s_nationkey as role_principal_id from supplier where s_nationkey < 20
+        union all select s_suppkey, -1 - (s_nationkey + 7) % 20 from supplier where s_acctbal > 5000
+    """,
+    "db_permissions": """
+        select l_suppkey as grantee_principal_id, l_partkey as major_id, l_linenumber % 3 as minor_id,
+        case l_returnflag when 'A' then 'SELECT' when 'N' then 'CONNECT' else 'EXECUTE' end as permission_name,
+        case l_linestatus when 'F' then 'GRANT' else 'DENY' end as state_desc,
+        case when l_linenumber = 1 then 'DATABASE' else 'OBJECT_OR_COLUMN' end as class_desc
+        from lineitem where l_quantity = 50
+        union all select -1 - l_suppkey % 25, l_partkey, l_linenumber % 3,
+        case l_returnflag when 'A' then 'SELECT' when 'N' then 'UPDATE' else 'EXECUTE' end,
+        case l_linestatus when 'F' then 'GRANT' else 'DENY' end, case when l_linenumber < 3 then 'DATABASE' else 'SCHEMA' end
+        from lineitem where l_quantity = 49
+    """,
+    "db_objects": """
+        select p_partkey as object_id, 'obj' || p_partkey as name, case p_size % 4 when 0 then 'USER_TABLE' when 1 then 'VIEW'
+        when 2 then 'SYSTEM_TABLE' else 'SQL_STORED_PROCEDURE' end as type_desc, p_size % 5 as schema_id,
+        case when p_size % 7 = 0 then 1 else 0 end as is_ms_shipped
+        from part where p_size <= 40
+    """,
+    "db_columns": """
+        select p_partkey as object_id, 1 as column_id, 'c1_' || p_partkey as name from part
+        union all select p_partkey, 2, 'c2_' || p_partkey from part
+    """,
+    "login_tokens": "select n_nationkey as sid, 'DOM/' || n_name as name from nation where n_nationkey < 20",
+    "owned_schemas": "select r_regionkey as schema_id, r_name as name, r_regionkey * 4 as principal_id from region",
+    "server_principals": """
+        select s_suppkey as principal_id, s_name as name, case s_nationkey % 4 when 0 then 'S' when 1 then 'U' when 2 then 'G' else 'C' end as type,
+        case s_nationkey % 4 when 0 then 'SQL_LOGIN' when 1 then 'WINDOWS_LOGIN' when 2 then 'WINDOWS_GROUP' else 'CERTIFICATE_MAPPED_LOGIN' end as type_desc,
+        s_suppkey % 2 as is_disabled
+        from supplier
+    """,
+    "syslogins": """
+        select s_name as login_name, case when s_acctbal > 9000 then 1 else 0 end as sysadmin, s_nationkey % 2 as serveradmin,
+        case when s_acctbal < 0 then 1 else 0 end as securityadmin, s_nationkey % 3 as denylogin
+        from supplier where s_acctbal > -500
+    """,
+    "owned_databases": "select c_custkey as database_id, 'db' || c_custkey as name, case when c_acctbal < 0 then null when c_nationkey = 3 then 'sa' else 'owner' || c_nationkey end as owner from customer",
+    "server_permissions": """
+        select l_suppkey as grantee_principal_id, l_partkey % 100 as grantor_principal_id, 65536 + l_linenumber as major_id, 'CONNECT' as permission_name,
+        case l_linestatus when 'F' then 'GRANT' else 'DENY' end as state_desc
+        from lineitem where l_quantity = 50
+    """,
+    "endpoints": "select 65536 + n_nationkey as endpoint_id, case when n_nationkey = 5 then 'Hadr_endpoint' else 'ep' || n_nationkey end as name, 'STARTED' as state_desc from nation where n_nationkey < 6",
+    "server_props": """
+        select p_partkey as server_id, p_size || '.' || (p_partkey % 60) || '.' || p_partkey || '.1' as product_version,
+        case when p_partkey % 3 = 0 then 'SQL Azure' else 'Enterprise Edition' end as edition, p_size % 14 as engine_edition
+        from part
+    """,
+    "server_config": "select c_custkey as server_id, c_nationkey * 2 + 2 as cores, c_custkey % 70 as affinity_mask, c_custkey % 9 as affinity64_mask from customer",
+    "tempdb_files": "select o_custkey as server_id, o_orderkey as file_id, 1024 + case when o_orderpriority = '1-URGENT' then 512 else 0 end as size_pages from orders",
+    "installed_features": """
+        select p_partkey as feature_id, p_brand as instance,
+        'Microsoft SQL Server ' || case p_size % 9 when 0 then '2022' when 1 then '2019' when 2 then '2017' when 3 then '2016' when 4 then '2014'
+        when 5 then '2012' when 6 then '2008' when 7 then '2008R2' else '7' end as product,
+        case p_partkey % 13 when 0 then 'Database Engine Services' when 1 then 'Full-Text and Semantic Extractions for Search'
+        when 2 then 'SQL Server Replication' when 3 then 'Data Quality Services' when 4 then 'Machine Learning Services and Language Extensions'
+        when 5 then 'Analysis Services' when 6 then 'PolyBase Query Service for External Data' when 7 then 'Data Quality Client'
+        when 8 then 'Integration Services' when 9 then 'Scale Out Master' when 10 then 'scale out worker' when 11 then 'Master Data Services'
+        else p_name end as feature
+        from part
+    """,
+    "setup_paths": "select cast(100 + r_regionkey * 10 as varchar(10)) as version, 'C:/' || r_name || '/setup.exe' as setup_path from region",
+    "win_events": """
+        select event_id as record_id, ts as time_created, case when event_type = 'error' then 1074 else 7036 end as event_id,
+        'proc' || user_id as p0, 'host' as p1, 'reason ' || event_type as p2, '0x' || (event_id % 100) as p3, 'restart' as p4, props as p5,
+        'user' || user_id as p6
+        from events
+    """,
+    "repl_agents": """
+        select s_suppkey as agent_id, s_name as name, case when s_nationkey = 3 then 'virtual' else 'sub' || s_nationkey end as subscriber_db,
+        'pub' || s_nationkey as publication, s_nationkey % 4 as subscription_type
+        from supplier
+    """,
+    "repl_pubs": "select c_custkey as publication_id, c_custkey as pubid, c_nationkey as publisher_id, 'pub' || c_custkey as publication, 'pub' || c_custkey as name from customer",
+    "repl_articles": """
+        select o_orderkey as artid, o_custkey as publication_id, o_custkey as pubid, 'db' || o_custkey as publisher_db, 'art' || o_orderkey as article,
+        'art' || o_orderkey as name, 'dest' || o_orderkey as destination_object
+        from orders
+    """,
+    "repl_subs": """
+        select c_custkey as publication_id, (c_nationkey + 1) % 25 as subscriber_id, 'sub' || c_nationkey as subscriber_db from customer
+        union all select c_custkey, (c_nationkey + 2) % 25, 'sub' || c_nationkey from customer where c_acctbal > 5000
+    """,
+    "repl_article_subs": "select l_orderkey as artid, l_suppkey % 25 as srvid from lineitem",
+    "repl_servers": "select n_nationkey as srvid, lower(n_name) as srvname from nation",
+    "repl_routes": """
+        select n_nationkey as publisher_id, (n_nationkey + 1) % 25 as subscriber_id, 'agent' || n_nationkey as name from nation
+        union all select n_nationkey, (n_nationkey + 2) % 25, 'agent2_' || n_nationkey from nation where n_nationkey < 15
+    """,
+    "ag_db_cluster": "select c_custkey as group_database_id, c_nationkey as replica_id, 'db' || c_custkey as database_name, case when c_acctbal < 0 then null else 1 end as is_database_joined from customer",
+    "ag_replica_states": """
+        select n_nationkey as replica_id, n_nationkey % 5 as group_id, case when n_nationkey < 5 then 'PRIMARY' else 'SECONDARY' end as role_desc,
+        case when n_nationkey % 4 = 0 then null else 'HEALTHY' end as synchronization_health_desc, n_nationkey % 2 as is_local,
+        case when n_nationkey % 3 = 0 then null else n_nationkey % 3 end as role, 'CONNECTED' as connected_state_desc
+        from nation where n_nationkey <> 7
+    """,
+    "ag_addresses": "select r_regionkey as group_id, 'ls' || r_regionkey as dns_name, 1433 + r_regionkey as port, case when r_regionkey = 1 then '10.0.0.1' end as ip_configuration from region where r_regionkey < 3",
+    "ag_replica_props": "select n_nationkey as replica_id, n_nationkey % 5 as group_id, 'TCP://' || n_name as endpoint_url, 'SYNCHRONOUS_COMMIT' as availability_mode_desc, 'MANUAL' as failover_mode_desc from nation",
+    "ag_group_states": "select r_regionkey as group_id, r_name as primary_replica from region where r_regionkey <> 2",
+    "ag_db_states": """
+        select c_custkey as group_database_id, c_nationkey as replica_id, c_custkey % 3 as synchronization_state,
+        case when c_custkey % 5 = 0 then null else c_custkey % 2 end as is_suspended
+        from customer where c_mktsegment <> 'BUILDING'
+    """,
+    "mirroring": """
+        select c_custkey as database_id, case when c_acctbal < 0 then 'SYNCHRONIZED' end as mirroring_state_desc,
+        case when c_custkey % 2 = 0 then 'PRINCIPAL' else 'MIRROR' end as mirroring_role_desc, 'FULL' as mirroring_safety_level_desc,
+        'TCP://p' || c_nationkey as mirroring_partner_name
+        from customer
+    """,
+    "catalog_names": """
+        select 'S' || (cast(floor(p_partkey / 8) as bigint) % 5) as database_name, 'dbo' || (p_partkey % 3) as schema_name,
+        'T' || cast(floor(p_partkey / 8) as bigint) as object_name, 'IX_' || p_partkey as index_name, 'FG' || (p_size % 4) as filegroup_name
+        from part
+    """,
+    "group_databases": "select 'ag' || (c_nationkey % 12) as availability_group, 'db' || c_custkey as name from customer where c_nationkey < 20",
+})
