@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 from fleetlens.functions.fleet import optional
 from fleetlens.functions.tsql import big, int_div, ratio
@@ -30,14 +29,14 @@ def file_growth_events(trace: DataFrame, trace_events: DataFrame, classes: Seque
     """File growth and shrink events with seconds taken and the change in MB."""
     return trace_classes(trace, trace_events, classes).withColumns({
         "time_taken_s": ratio("duration", 1_000_000, 10, 3),
-        "change_mb": (F.col("integer_data").cast(DecimalType(19, 0)) * 8 / 1024).cast(DecimalType(24, 12)),
+        "change_mb": ratio(big("integer_data") * 8, 1024, 24, 12),
     })
 
 
 def autogrow_events(trace: DataFrame, trace_events: DataFrame) -> DataFrame:
     """Automatic growth of data and log files."""
     return trace_classes(trace, trace_events, AUTOGROW_CLASSES).withColumns({
-        "growth_mb": (F.col("integer_data").cast(DecimalType(19, 0)) * 8 / 1024).cast(DecimalType(24, 12)),
+        "growth_mb": ratio(big("integer_data") * 8, 1024, 24, 12),
         "duration_ms": int_div("duration", 1000),
     })
 

@@ -218,18 +218,18 @@ def lock_summary(
            "rsc_type", "req_mode", "req_status"]
     counted = locks.groupBy(*raw).agg(F.count(F.lit(1)).alias("lock_count"))
 
+    kc = shared_keys(lock_info, code_dim)
+
     def codes(kind: str, key: str, name: str, width: int, shift: int = 0) -> DataFrame:
-        return F.broadcast(  # a code list of the server: a few dozen rows
-            code_dim.filter(F.col("type") == kind).select(
-                (F.col("number") - shift).alias(key), F.left("name", F.lit(width)).alias(name)
-            )
+        return code_dim.filter(F.col("type") == kind).select(
+            *kc, (F.col("number") - shift).alias(key), F.left("name", F.lit(width)).alias(name)
         )
 
     who = sessions.select(*k, "session_id", F.left("login_name", F.lit(20)).alias("login_name"), F.left("host_name", F.lit(30)).alias("host_name"))
     return (
-        counted.join(codes("LR", "rsc_type", "lock_type", 4), "rsc_type")
-        .join(codes("LS", "req_status", "lock_status", 5), "req_status")
-        .join(codes("L", "req_mode", "lock_mode", 8, shift=1), "req_mode")
+        counted.join(codes("LR", "rsc_type", "lock_type", 4), [*kc, "rsc_type"])
+        .join(codes("LS", "req_status", "lock_status", 5), [*kc, "req_status"])
+        .join(codes("L", "req_mode", "lock_mode", 8, shift=1), [*kc, "req_mode"])
         .join(who, [*k, "session_id"])
         .join(objects.select(*k, "object_id", F.col("name").alias("object_name")), [*k, "object_id"], "left")
         .join(indexes.select(*k, "object_id", "index_id", F.col("name").alias("index_name")), [*k, "object_id", "index_id"], "left")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("workload", "storage", "history", "packages", "maintenance", "trace", "security", "topology")
+AREAS = ("catalog", "workload", "storage", "history", "packages", "maintenance", "trace", "security", "topology", "streaming")
 
 
 def load_all():

@@ -16,7 +16,7 @@ _JOIN = "FROM trace t JOIN trace_events e ON e.trace_event_id = t.event_class"
     """,
 )
 def file_growth_events(t):
-    return op.file_growth_events(t.trace, t.trace_events.drop("server_name"))
+    return op.file_growth_events(t.trace, t.trace_events)
 
 
 @query(
@@ -27,7 +27,7 @@ def file_growth_events(t):
     """,
 )
 def autogrow_events(t):
-    return op.autogrow_events(t.trace, t.trace_events.drop("server_name"))
+    return op.autogrow_events(t.trace, t.trace_events)
 
 
 @query(
@@ -35,7 +35,7 @@ def autogrow_events(t):
     f"SELECT t.event_id, database_name, e.name AS event_name, start_time, spid {_JOIN} WHERE event_class IN (46, 47) AND event_subclass = 0 AND database_name <> 'tempdb'",
 )
 def schema_changes(t):
-    return op.schema_changes(t.trace, t.trace_events.drop("server_name"))
+    return op.schema_changes(t.trace, t.trace_events)
 
 
 @query(
@@ -43,7 +43,7 @@ def schema_changes(t):
     f"SELECT t.event_id, database_name, e.name AS event_name, start_time, spid {_JOIN} WHERE event_class IN (102, 103, 104, 105, 106, 108, 109, 110, 111)",
 )
 def security_changes(t):
-    return op.security_changes(t.trace, t.trace_events.drop("server_name"))
+    return op.security_changes(t.trace, t.trace_events)
 
 
 @query(
@@ -51,7 +51,7 @@ def security_changes(t):
     f"SELECT t.event_id, database_name, e.name AS event_name, start_time, spid {_JOIN} WHERE lower(e.name) LIKE '%fail%'",
 )
 def failed_events(t):
-    return op.failed_events(t.trace, t.trace_events.drop("server_name"))
+    return op.failed_events(t.trace, t.trace_events)
 
 
 @query(

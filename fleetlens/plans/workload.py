@@ -155,7 +155,7 @@ def operation_progress(t):
     """,
 )
 def lock_summary(t):
-    return op.lock_summary(t.locks, t.lock_codes.drop("server_name"), t.lock_sessions, t.tables, t.indexes)
+    return op.lock_summary(t.locks, t.lock_codes, t.lock_sessions, t.tables, t.indexes)
 
 
 @query(

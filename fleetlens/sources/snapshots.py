@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetlens.functions.fleet import SYSTEM_DATABASES
+from fleetlens.functions.fleet import SYSTEM_DATABASES, shared_keys
 
 
 def snapshot_scan(
@@ -92,8 +92,12 @@ def trace_scan(
 
 
 def name_events(trace: DataFrame, trace_events: DataFrame, class_column: str = "event_class") -> DataFrame:
-    """Attach the event name; classes without a name are dropped (inner join)."""
+    """Attach the event name; classes without a name are dropped (inner join).
+
+    The name list may be one for all servers or one per server.
+    """
+    keys = shared_keys(trace, trace_events)
     names = trace_events.select(
-        F.col("trace_event_id").alias(class_column), F.col("name").alias("event_name")
+        *keys, F.col("trace_event_id").alias(class_column), F.col("name").alias("event_name")
     )
-    return trace.join(names, class_column)
+    return trace.join(names, [*keys, class_column])
