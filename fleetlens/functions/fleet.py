@@ -20,6 +20,15 @@ def shared_keys(*frames: DataFrame, scope: tuple[str, ...] = SERVER) -> list[str
     return [c for c in scope if all(c in f.columns for f in frames)]
 
 
+def existing(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys for a semi or anti join.
+
+    Repeated keys are merged before the shuffle, so one key with very many rows
+    reaches the join as one row per task.
+    """
+    return frame.select(*keys).distinct()
+
+
 def has(frame: DataFrame, *columns: str) -> bool:
     return all(c in frame.columns for c in columns)
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.fleet import SYSTEM_DATABASES, has, optional, shared_keys
+from fleetlens.functions.fleet import SYSTEM_DATABASES, existing, has, optional, shared_keys
 from fleetlens.functions.tsql import (
     blank_if_null, boundaries, clock_12h, decode, duration_text, int_div, int_to_timestamp, pages_to_mb, text,
 )
@@ -32,7 +32,7 @@ def _with_media(backupset: DataFrame, media_family: DataFrame | None) -> DataFra
     if media_family is None:
         return backupset
     keys = [*shared_keys(backupset, media_family), "media_set_id"]
-    return backupset.join(media_family.select(*keys), keys, "left_semi")
+    return backupset.join(existing(media_family, keys), keys, "left_semi")
 
 
 def backup_history(
@@ -343,11 +343,14 @@ def command_log_report(command_log: DataFrame) -> DataFrame:
         F.when(ended.isNull() | F.col("error_number").isNull(), F.lit("Not executed"))
         .when(F.col("error_number") == 0, F.lit("Succeeded")).otherwise(F.lit("Failed"))
     )
-    out = {"outcome": outcome, "duration": duration_text(boundaries("SECOND", started, ended))}
-    if has(command_log, "extended_info"):
-        out["page_count"] = F.xpath_long("extended_info", F.lit("ExtendedInfo/PageCount"))
-        out["fragmentation"] = F.xpath_double("extended_info", F.lit("ExtendedInfo/Fragmentation"))
-    return command_log.withColumns(out)
+    out = command_log.withColumns({"outcome": outcome, "duration": duration_text(boundaries("SECOND", started, ended))})
+    if not has(command_log, "extended_info"):
+        return out
+    # one parse per row gives both values
+    info = F.from_xml("extended_info", "PageCount BIGINT, Fragmentation DOUBLE")
+    return out.withColumn("_info", info).withColumns({
+        "page_count": F.col("_info.PageCount"), "fragmentation": F.col("_info.Fragmentation"),
+    }).drop("_info")
 
 
 def last_good_check(command_log: DataFrame, databases: DataFrame) -> DataFrame:

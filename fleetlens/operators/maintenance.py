@@ -6,7 +6,6 @@ statistic, so a whole fleet is decided in one pass.  Nothing is executed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.fleet import has, optional, shared_keys
+from fleetlens.functions.fleet import existing, optional, shared_keys
 from fleetlens.functions.tsql import blank_if_null, decode, text
 from fleetlens.operators.history import reportable_jobs
 
@@ -171,7 +171,7 @@ def package_parameters(
 def package_environments(env_vars: DataFrame, environments: DataFrame, folders: DataFrame, used_env_names: DataFrame) -> DataFrame:
     """Variables of the environments that some reported parameter uses; secrets masked."""
     k = shared_keys(env_vars, environments, folders, used_env_names)
-    used = environments.join(used_env_names.select(*k, "environment_name"), [*k, "environment_name"], "left_semi")
+    used = environments.join(existing(used_env_names, [*k, "environment_name"]), [*k, "environment_name"], "left_semi")
     secret = F.col("sensitive") == 1
     return (
         env_vars.withColumnsRenamed({"name": "variable_name", "type": "variable_type"})
@@ -230,7 +230,7 @@ def package_job_links(steps: DataFrame, inventory: DataFrame) -> DataFrame:
     k = shared_keys(steps, inventory)
     listed = inventory.filter(F.col("folder_name") != "").select(
         *k, F.col("folder_name").alias("folder"), F.col("project_name").alias("project")
-    )
+    ).distinct()
     return (
         steps.filter(F.col("command").contains("/ISSERVER")).join(listed, [*k, "folder", "project"], "left_semi")
         .select(*k, F.concat(F.lit("EXEC msdb.dbo.sp_JOBs_structure '"), "job_name", F.lit("'")).alias("jobs_structure"))

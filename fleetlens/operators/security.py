@@ -268,7 +268,7 @@ def config_wide(
     """One wide row per server from name/value settings.
 
     Settings in ``enabled`` are shown as Enabled/Disabled.  ``lists`` adds joined
-    value lists: frames of (server, value, optional ordinal).
+    value lists: frames of (server, value), listed in text order.
     """
     key = [c for c in dict.fromkeys(["server_name", server]) if has(config_kv, c)]
     label = lambda n: n.lower().replace(" ", "_").replace("(", "").replace(")", "")
@@ -280,10 +280,11 @@ def config_wide(
     out = config_kv.filter(F.col("name").isin(list(names))).groupBy(*key).agg(*shown)
     for name, df in (lists or {}).items():
         kl = [c for c in key if has(df, c)]
-        rank = [F.col("ordinal")] if has(df, "ordinal") else []
-        # values per server are few by nature (files, nodes, drives); equal ones are kept
-        joined = df.groupBy(*kl).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*rank, text("value").alias("v")))), lambda e: e["v"]), ", ").alias(name)
+        # equal values are counted before they are collected
+        counted = df.groupBy(*kl, text("value").alias("_v")).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+        entries = F.array_sort(F.collect_list(F.struct("_v", "_n")))
+        joined = counted.groupBy(*kl).agg(
+            F.array_join(F.flatten(F.transform(entries, lambda e: F.array_repeat(e["_v"], e["_n"]))), ", ").alias(name)
         )
         out = out.join(joined, kl, "left")
     return out

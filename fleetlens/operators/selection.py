@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.fleet import SERVER, optional, shared_keys
+from fleetlens.functions.fleet import SERVER, shared_keys
 from fleetlens.functions.tsql import like_pattern
 
 # fixed values: keywords of the grammar

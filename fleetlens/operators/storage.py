@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from fleetlens.functions.fleet import DATABASE, SERVER, SYSTEM_DATABASES, has, optional, shared_keys
+from fleetlens.functions.fleet import DATABASE, SYSTEM_DATABASES, existing, has, optional, shared_keys
 from fleetlens.functions.tsql import (
-    big, blank_if_null, decode, guarded_div, int_div, last_name_part, ordered_text, pages_to_mb, quote, ratio, text,
+    big, blank_if_null, guarded_div, int_div, last_name_part, pages_to_mb, quote, ratio, text,
 )
 
 INDEX = ["object_id", "index_id"]
@@ -52,7 +52,7 @@ def index_fragmentation_alert(detail: DataFrame, frag_pct: float = 50, min_pages
 def indexes_unused(indexes: DataFrame, usage: DataFrame) -> DataFrame:
     """Indexes without any usage row in their database."""
     keys = [*shared_keys(indexes, usage, scope=(*DATABASE, "database_id")), *INDEX]
-    return indexes.join(usage.select(*keys), keys, "left_anti")
+    return indexes.join(existing(usage, keys), keys, "left_anti")
 
 
 def index_last_usage(
@@ -70,7 +70,7 @@ def index_last_usage(
     moments = optional(usage, "last_user_seek", "last_user_scan", "last_user_lookup", "last_user_update")
     last = usage.groupBy(*k, *INDEX).agg(*[F.max(c).alias(c) for c in moments])
     out = last.join(indexes.select(*k, *INDEX, F.col("name").alias("index_name")), [*k, *INDEX]).join(
-        index_columns.select(*k, *INDEX), [*k, *INDEX], "left_semi"
+        existing(index_columns, [*k, *INDEX]), [*k, *INDEX], "left_semi"
     )
     if tables is not None:
         names = tables.select(*k, "object_id", F.col("name").alias("table_name"))
@@ -130,8 +130,12 @@ def _usage_columns(groups: Column, usage: str) -> Column:
     return F.when(F.size(names) > 0, names)
 
 
-def missing_index_from_plans(query_stats: DataFrame, plans_xml: DataFrame, engine_edition: int = 2) -> DataFrame:
-    """One row per cached statement whose plan carries a missing-index hint."""
+def missing_index_from_plans(query_stats: DataFrame, plans_xml: DataFrame, engine_edition: int | str = 2) -> DataFrame:
+    """One row per cached statement whose plan carries a missing-index hint.
+
+    ``engine_edition`` is a number, or the column of ``query_stats`` that holds
+    it where servers differ; edition 3 can build indexes online.
+    """
     k = [*shared_keys(query_stats, plans_xml), "plan_handle"]
     hinted = plans_xml.filter(F.col("query_plan").contains("<MissingIndex ")).select(*k, "query_plan")
     batches = hinted.select(*k, F.from_xml("query_plan", SHOWPLAN, {"mode": "PERMISSIVE"}).alias("plan"))
@@ -167,6 +171,7 @@ def missing_index_from_plans(query_stats: DataFrame, plans_xml: DataFrame, engin
         plain = F.regexp_replace(F.array_join(c, "_"), r"[\[\]]", "")
         return F.coalesce(F.concat(F.lit("_"), plain), F.lit(""))
 
+    edition = F.col(engine_edition) if isinstance(engine_edition, str) else F.lit(engine_edition)
     empty = F.array().cast("array<string>")
     keys = F.concat(F.coalesce("eq", empty), F.coalesce("ineq", empty))
     create = F.concat(
@@ -178,7 +183,7 @@ def missing_index_from_plans(query_stats: DataFrame, plans_xml: DataFrame, engin
             F.concat(F.lit(" INCLUDE "), quote(F.replace(F.array_join("incl", ","), F.lit("@"), F.lit("")), "(", ")")),
             F.lit(""),
         ),
-        F.lit(" WITH (ONLINE = ON);" if engine_edition == 3 else ";"),
+        F.when(edition == 3, F.lit(" WITH (ONLINE = ON);")).otherwise(F.lit(";")),
     )
     times = [c for c in query_stats.columns if c.endswith(("_worker_time", "_clr_time", "_elapsed_time"))]
     stats = query_stats.select(
@@ -186,7 +191,7 @@ def missing_index_from_plans(query_stats: DataFrame, plans_xml: DataFrame, engin
         *[c for c in query_stats.columns if c not in times and c not in k],
         *[ratio(c, 1000, 28, 3).alias(f"{c}_ms") for c in times],
     )
-    return parsed.withColumn("missing_index_creation", create).drop("eq", "ineq", "incl").join(stats, k)
+    return parsed.join(stats, k).withColumn("missing_index_creation", create).drop("eq", "ineq", "incl")
 
 
 def index_key_pivot(
@@ -313,7 +318,7 @@ def compression_candidates(
     plain = partitions.filter(F.col("data_compression_desc") == "NONE").select(*k, *INDEX, "partition_id")
     owner = F.concat(F.lit("["), "schema_name", F.lit("].["), "table_name", F.lit("]"))
     located = plain.join(_tables_with_schema(tables, schemas), [*k, "object_id"])
-    stored = alloc_units.select(*k, F.col("container_id").alias("partition_id"))
+    stored = alloc_units.select(*k, F.col("container_id").alias("partition_id")).distinct()
     table_rows = (
         located.filter(F.col("index_id") <= 1)
         .join(stored, [*k, "partition_id"], "left_semi")
@@ -547,7 +552,7 @@ def multi_log_databases(
     out = counts if databases is None else databases.join(counts, [*shared_keys(databases, files), "database_id"], "left_semi")
     if exclude is not None:
         keys = [*shared_keys(out, exclude), "database_id"]
-        out = out.join(exclude.select(*keys), keys, "left_anti")
+        out = out.join(existing(exclude, keys), keys, "left_anti")
     return out
 
 
@@ -645,7 +650,7 @@ def invalid_objects(dependencies: DataFrame, objects: DataFrame, catalog: DataFr
     if catalog is not None:
         kc = shared_keys(dependencies, catalog, scope=DATABASE)
         clear = clear.join(
-            catalog.select(*kc, F.col("object_id").alias("referenced_name_id")), [*kc, "referenced_name_id"], "left_anti"
+            catalog.select(*kc, F.col("object_id").alias("referenced_name_id")).distinct(), [*kc, "referenced_name_id"], "left_anti"
         )
     else:
         clear = clear.filter(F.col("referenced_id").isNull())

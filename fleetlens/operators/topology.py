@@ -22,8 +22,10 @@ def undelivered_commands(history: DataFrame, commands: DataFrame, subscriptions:
     above an agent's mark are a running count.
     """
     k = shared_keys(history, commands, subscriptions)
-    marks = history.groupBy(*k, "agent_id").agg(F.max(F.struct("xact_seqno", "time")).alias("m")).select(
-        *k, "agent_id", F.coalesce("m.xact_seqno", F.lit(0)).alias("max_seqno"), F.col("m.time").alias("time")
+    # the time belongs to the history row of the highest number, so rows without a number set no mark
+    numbered = history.filter(F.col("xact_seqno").isNotNull())
+    marks = numbered.groupBy(*k, "agent_id").agg(F.max(F.struct("xact_seqno", "time")).alias("m")).select(
+        *k, "agent_id", F.col("m.xact_seqno").alias("max_seqno"), F.col("m.time").alias("time")
     )
     article = [*k, *[c for c in ("publisher_database_id",) if c in commands.columns and c in subscriptions.columns], "article_id"]
     wanted = subscriptions.select(*article, "agent_id").join(marks, [*k, "agent_id"])

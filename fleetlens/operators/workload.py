@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.fleet import DATABASE, has, optional, shared_keys
+from fleetlens.functions.fleet import existing, has, optional, shared_keys
 from fleetlens.functions.ordering import running_totals
 from fleetlens.functions.tsql import big, int_div, ratio
 from fleetlens.operators.catalog import sql_text_lookup, statement_text
@@ -55,7 +55,8 @@ def wait_pareto(
     k = shared_keys(waits)
     real = waits.filter(F.col("waiting_tasks_count") > 0)
     if isinstance(ignore, DataFrame):
-        real = real.join(ignore.select("wait_type"), "wait_type", "left_anti")
+        keys = [*shared_keys(real, ignore), "wait_type"]
+        real = real.join(existing(ignore, keys), keys, "left_anti")
     else:
         real = real.filter(~F.col("wait_type").isin(list(ignore)))
     total, signal = big("wait_time_ms"), big("signal_wait_time_ms")
@@ -116,7 +117,7 @@ def waits_now(
 def head_blockers(requests: DataFrame, sql_text: DataFrame, top: int = 10) -> DataFrame:
     """Requests that block others and are not blocked, longest first per server."""
     k = shared_keys(requests)
-    blockers = requests.filter(F.col("blocking_session_id") != 0).select(*k, F.col("blocking_session_id").alias("session_id"))
+    blockers = requests.filter(F.col("blocking_session_id") != 0).select(*k, F.col("blocking_session_id").alias("session_id")).distinct()
     heads = requests.filter(F.col("blocking_session_id") == 0).join(blockers, [*k, "session_id"], "left_semi").distinct()
     # the ranking needs no statement text, so only the survivors fetch it
     if not k:

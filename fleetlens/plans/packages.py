@@ -1,7 +1,5 @@
 """Queries over the package catalog and the job steps that use it."""
 
-from pyspark.sql import functions as F
-
 from fleetlens.operators import packages as op
 from fleetlens.plans.registry import query
 from fleetlens.plans.storage import variants

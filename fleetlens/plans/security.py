@@ -182,12 +182,12 @@ _NAMES = ("view", "click", "purchase", "signup", "error")
     SELECT c.server_id, MAX(value_in_use) FILTER (name = 'view') AS view, MAX(value_in_use) FILTER (name = 'click') AS click, """
     + ", ".join(f"CASE WHEN MAX(value_in_use) FILTER (name = '{n}') = 1 THEN 'Enabled' ELSE 'Disabled' END AS {n}" for n in _NAMES[2:])
     + """, ANY_VALUE(f.sizes) AS tempdb_mb FROM config_kv c
-    LEFT JOIN (SELECT server_id, string_agg((size_pages // 128)::VARCHAR, ', ' ORDER BY file_id) AS sizes FROM tempdb_files GROUP BY server_id) f
+    LEFT JOIN (SELECT server_id, string_agg((size_pages // 128)::VARCHAR, ', ' ORDER BY (size_pages // 128)::VARCHAR) AS sizes FROM tempdb_files GROUP BY server_id) f
       ON f.server_id = c.server_id GROUP BY c.server_id
     """,
 )
 def config_wide(t):
-    sizes = t.tempdb_files.withColumn("value", F.expr("size_pages div 128")).withColumn("ordinal", F.col("file_id"))
+    sizes = t.tempdb_files.withColumn("value", F.expr("size_pages div 128"))
     return op.config_wide(t.config_kv, _NAMES, server="server_id", enabled=_NAMES[2:], lists={"tempdb_mb": sizes})
 
 

@@ -91,7 +91,7 @@ def missing_index_advice(t):
 
 
 _HINTS = """
-    SELECT {edition} AS edition, o_orderkey AS plan_handle, 'select ' || o_custkey AS sql_text, o_custkey % 100 AS impact_pct,
+    SELECT o_custkey % 4 AS edition, o_orderkey AS plan_handle, 'select ' || o_custkey AS sql_text, o_custkey % 100 AS impact_pct,
       o_custkey % 90 AS cached_plan_size_kb, o_orderkey % 40 AS compile_time_ms, o_orderkey % 30 AS compile_cpu_ms,
       o_orderkey % 70 AS compile_memory_kb, '[db1].[dbo].[T' || o_custkey || ']' AS object,
       'CREATE NONCLUSTERED INDEX [IX' || CASE WHEN o_orderkey % 4 <> 0 THEN '_a' || (o_orderkey % 7) || '_b' || (o_orderkey % 5) ELSE '' END
@@ -101,7 +101,7 @@ _HINTS = """
       || CASE WHEN o_orderkey % 4 > 1 THEN ',' ELSE '' END
       || CASE WHEN o_orderkey % 4 <> 1 THEN '[q' || (o_orderkey % 3) || ']' ELSE '' END || ')'
       || CASE WHEN o_orderkey % 3 = 0 THEN ' INCLUDE ([z' || (o_custkey % 9) || '])' ELSE '' END
-      || '{online};' AS missing_index_creation,
+      || CASE WHEN o_custkey % 4 = 3 THEN ' WITH (ONLINE = ON);' ELSE ';' END AS missing_index_creation,
       o_orderdate AS creation_time, o_orderkey % 100 + 1 AS execution_count, o_orderkey * 7 / 1000.0 AS total_worker_time_ms,
       o_custkey * 11 / 1000.0 AS last_elapsed_time_ms
     FROM orders WHERE o_orderpriority <> '5-LOW'
@@ -111,12 +111,10 @@ _HINTS = """
 @query(
     "edition:i plan_handle:i sql_text:s impact_pct:d cached_plan_size_kb:i compile_time_ms:i compile_cpu_ms:i compile_memory_kb:i "
     "object:s missing_index_creation:s creation_time:t execution_count:i total_worker_time_ms:d last_elapsed_time_ms:d",
-    _HINTS.format(edition=2, online="") + " UNION ALL " + _HINTS.format(edition=3, online=" WITH (ONLINE = ON)"),
+    _HINTS,
 )
 def missing_index_from_plans(t):
-    return variants(**{
-        str(e): op.missing_index_from_plans(t.plan_stats, t.showplans, e) for e in (2, 3)
-    }).withColumnRenamed("variant", "edition")
+    return op.missing_index_from_plans(t.plan_stats, t.showplans, "edition")
 
 
 _PIVOT = ", ".join(f"COALESCE(MIN(CASE WHEN keyno = {n} THEN col END), '') AS col{n}" for n in range(1, 17))

@@ -110,14 +110,6 @@ ADAPTERS: dict[str, str] = {
         size_in_bytes
         from part
     """,
-    "missing_index": """
-        select l_orderkey as group_handle, l_partkey as index_handle, l_quantity as avg_total_user_cost,
-        l_linenumber * 10 as avg_user_impact, l_suppkey % 5 as user_seeks, l_linenumber as user_scans, case when
-        l_returnflag = 'A' then null else '[c' || l_linenumber || ']' end as equality_columns, case when
-        l_linestatus = 'F' then null else '[d' || l_linenumber || ']' end as inequality_columns, case when
-        l_returnflag = 'N' then '[e]' end as included_columns
-        from lineitem
-    """,
     "requests": """
         select event_id as session_id, case when cast(regexp_extract(props, '([0-9]+)', 1) as int) % 3 = 0 then
         event_id - event_id % 10 else 0 end as blocking_session_id, event_type as status, cast(round(value * 100) as
@@ -178,19 +170,6 @@ ADAPTERS: dict[str, str] = {
         end as error_number
         from orders
     """,
-    "principals": """
-        select s_suppkey as principal_id, s_name as name, case when s_nationkey % 5 = 0 then 'R' when s_nationkey %
-        5 = 1 then 'U' when s_nationkey % 5 = 2 then 'G' else 'S' end as type, s_nationkey as sid
-        from supplier
-    """,
-    "role_members": """
-        select distinct a.principal_id as member_principal_id, b.principal_id as role_principal_id
-        from (select s_suppkey as principal_id
-        from supplier
-        where s_nationkey % 5 <> 0) a join (select s_suppkey as principal_id
-        from supplier
-        where s_nationkey % 5 = 0) b on a.principal_id % 7 = b.principal_id % 7
-    """,
     "permissions": """
         select l_suppkey as grantee_principal_id, l_partkey as major_id, l_linenumber % 3 as minor_id, case
         l_returnflag when 'A' then 'SELECT' when 'N' then 'CONNECT' else 'EXECUTE' end as permission_name, case
@@ -199,26 +178,12 @@ ADAPTERS: dict[str, str] = {
         from lineitem
         where l_quantity = 50
     """,
-    "dependencies": """
-        select l_orderkey as referencing_id, l_partkey as referenced_name_id, l_linenumber % 2 as is_ambiguous
-        from lineitem
-    """,
     "jobs": """
         select p_partkey as job_id, case when p_partkey % 50 = 0 then 'BCS' || p_partkey else 'job' || p_partkey end
         as name, p_partkey % 110 as owner_sid, case when p_partkey % 9 = 0 then 0 else 1 end as enabled, case when
         p_partkey % 13 = 0 then 100 else 0 end as category_id
         from part
     """,
-    "schedules": """
-        select p_partkey as job_id, p_partkey as schedule_id, case p_partkey % 8 when 0 then 1 when 1 then 4 when 2
-        then 8 when 3 then 16 when 4 then 32 when 5 then 64 when 6 then 128 else 8 end as freq_type, p_partkey % 127
-        + 1 as freq_interval, p_partkey % 3 + 1 as freq_recurrence_factor, case p_partkey % 4 when 0 then 1 when 1
-        then 2 when 2 then 4 else 8 end as freq_subday_type, p_size as freq_subday_interval, (p_partkey % 24) *
-        10000 + (p_partkey % 60) * 100 as active_start_time, case p_partkey % 5 when 0 then 1 when 1 then 2 when 2
-        then 4 when 3 then 8 else 16 end as freq_relative_interval
-        from part
-        where p_partkey % 11 <> 0
-    """,
     "repl_history": """
         select l_suppkey as agent_id, l_orderkey as xact_seqno, l_shipdate as time, l_linenumber as runstatus
         from lineitem
@@ -233,17 +198,6 @@ ADAPTERS: dict[str, str] = {
         s_nationkey = 3 then 'virtual' else 'sub' || s_nationkey end as subscriber_db
         from supplier
     """,
-    "ag_replicas": """
-        select s_suppkey as replica_id, s_nationkey as group_id, s_name as replica_server_name, case when s_acctbal
-        > 5000 then 'PRIMARY' else 'SECONDARY' end as role_desc, case when s_suppkey % 4 = 0 then null else
-        'HEALTHY' end as synchronization_health_desc
-        from supplier
-    """,
-    "ag_listeners": """
-        select n_nationkey as group_id, 'ls' || n_nationkey as dns_name, 1433 + n_nationkey as port
-        from nation
-        where n_nationkey % 3 <> 0
-    """,
     "config_kv": """
         select user_id as server_id, event_type as name, max(event_id) % 2 as value_in_use
         from events
@@ -289,7 +243,7 @@ ADAPTERS.update({
     "plan_stats": """
         select o_orderkey as plan_handle, o_custkey as query_hash, o_orderdate as creation_time,
         o_orderkey % 100 + 1 as execution_count, o_orderkey * 7 as total_worker_time,
-        o_custkey * 11 as last_elapsed_time, o_custkey as total_logical_reads
+        o_custkey * 11 as last_elapsed_time, o_custkey as total_logical_reads, o_custkey % 4 as edition
         from orders
     """,
     "showplans": """

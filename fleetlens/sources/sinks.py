@@ -72,6 +72,21 @@ def retention_prune(df: DataFrame, ts_column: str, as_of, keep_days: int = 42) -
     return df.filter(F.coalesce(~expired(ts_column, as_of, keep_days), F.lit(True)))
 
 
+def _overwrite_partitions(df: DataFrame, table: str) -> None:
+    """Replace only the partitions present in ``df``.
+
+    For catalog tables the mode is a session setting; as a writer option it is
+    ignored and the whole table would be replaced.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(key)
+    conf.set(key, "dynamic")
+    try:
+        df.write.mode("overwrite").insertInto(table)
+    finally:
+        conf.set(key, before)
+
+
 def retention_rewrite(spark: SparkSession, table: str, ts_column: str, date_column: str, as_of, keep_days: int = 42) -> None:
     """Apply the retention in place to a catalog table partitioned by ``date_column``.
 
@@ -87,7 +102,7 @@ def retention_rewrite(spark: SparkSession, table: str, ts_column: str, date_colu
         drop_through = cut_day
     else:
         drop_through = None
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+        _overwrite_partitions(kept, table)
     # one entry per day of history, not per row
     for (spec,) in spark.sql(f"SHOW PARTITIONS {table}").collect():
         day = spec.split("=", 1)[1]

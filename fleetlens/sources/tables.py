@@ -22,9 +22,14 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """A base table; its footer is read once per instance."""
+        key = f"base:{name}"
+        if key not in self._frames:
+            self._frames[key] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._frames[key]
 
     def stream_base(self, name: str) -> DataFrame:
         """The same file as a file stream."""
@@ -41,9 +46,11 @@ class Tables:
         return self.spark.sql(query, **{name: load(name) for name in used})
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ADAPTERS:
-            return self._shape(ADAPTERS[name], self.base)
-        raise AttributeError(name)
+        if name not in ADAPTERS:
+            raise AttributeError(name)
+        if name not in self._frames:
+            self._frames[name] = self._shape(ADAPTERS[name], self.base)
+        return self._frames[name]
 
     def stream(self, name: str) -> DataFrame:
         """An adapter view over file streams; zone-less times become timestamps,
