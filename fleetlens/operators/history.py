@@ -235,6 +235,7 @@ RELATIVE_DAY = {
 }
 SUBDAY_UNIT = {2: " second", 4: " minute", 8: " hour"}
 HOUSEKEEPING_JOBS = ("syspolicy_purge_history", "SSIS Server Maintenance Job")
+OWN_JOB_PREFIX, REPORT_SERVER_CATEGORY = "BCS", 100
 NO_END_DATE = 99991231
 
 
@@ -246,10 +247,10 @@ def day_list(mask: str | Column) -> Column:
     )
 
 
-def reportable_jobs(jobs: DataFrame) -> DataFrame:
+def reportable_jobs(jobs: DataFrame, own_prefix: str = OWN_JOB_PREFIX) -> DataFrame:
     """Jobs worth reporting: no report-server, housekeeping or own installation jobs."""
     return jobs.filter(
-        (F.col("category_id") != 100) & ~F.col("name").like("BCS%") & ~F.col("name").isin(*HOUSEKEEPING_JOBS)
+        (F.col("category_id") != REPORT_SERVER_CATEGORY) & ~F.col("name").startswith(own_prefix) & ~F.col("name").isin(*HOUSEKEEPING_JOBS)
     )
 
 

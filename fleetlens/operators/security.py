@@ -261,20 +261,28 @@ def endpoint_permissions(
 # --- configuration ------------------------------------------------------------------
 
 
+# fixed values: settings of the configuration overview; switches with their text when off
+CONFIG_NAMES = (
+    "max degree of parallelism", "min server memory (MB)", "max server memory (MB)", "remote admin connections",
+    "backup compression default",
+)
+CONFIG_SWITCHES = {"remote admin connections": "Disabled", "backup compression default": "No"}
+
+
 def config_wide(
-    config_kv: DataFrame, names: Sequence[str], server: str = "server_name", enabled: Sequence[str] = (),
-    lists: Mapping[str, DataFrame] | None = None,
+    config_kv: DataFrame, names: Sequence[str] = CONFIG_NAMES, server: str = "server_name",
+    enabled: Mapping[str, str] = CONFIG_SWITCHES, lists: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """One wide row per server from name/value settings.
 
-    Settings in ``enabled`` are shown as Enabled/Disabled.  ``lists`` adds joined
+    Settings in ``enabled`` are switches, shown as Enabled or the given text.  ``lists`` adds joined
     value lists: frames of (server, value), listed in text order.
     """
     key = [c for c in dict.fromkeys(["server_name", server]) if has(config_kv, c)]
     label = lambda n: n.lower().replace(" ", "_").replace("(", "").replace(")", "")
     value = lambda n: F.max(F.when(F.col("name") == n, F.col("value_in_use")))
     shown = [
-        (F.when(value(n) == 1, F.lit("Enabled")).otherwise(F.lit("Disabled")) if n in enabled else value(n)).alias(label(n))
+        (F.when(value(n) == 1, F.lit("Enabled")).otherwise(F.lit(enabled[n])) if n in enabled else value(n)).alias(label(n))
         for n in names
     ]
     out = config_kv.filter(F.col("name").isin(list(names))).groupBy(*key).agg(*shown)

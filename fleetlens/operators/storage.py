@@ -671,20 +671,22 @@ def trigger_inventory(
     """
     k = shared_keys(triggers, trigger_events, objects, schemas, scope=DATABASE)
     mark = F.when(F.col("is_first") == 1, F.lit(" (First)")).when(F.col("is_last") == 1, F.lit(" (Last)")).otherwise(F.lit(""))
-    label = F.concat(F.upper(F.left("type_desc", F.lit(1))), F.lower(F.substring("type_desc", 2, 32)), mark)
+    label = F.concat(F.left("type_desc", F.lit(1)), F.lower(F.substring("type_desc", 2, 32)), mark)
     events = (
         trigger_events.select(*k, "object_id", F.col("type").alias("_t"), label.alias("_label")).distinct()
         .groupBy(*k, "object_id")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_label"))), lambda e: e["_label"]), ", ").alias("_events"))
     )
+    # a database-level trigger shows one event group instead of its events
+    groups = trigger_events.groupBy(*k, "object_id").agg(F.min("event_group_type_desc").alias("_group"))
     parents = objects.select(*k, F.col("object_id").alias("parent_id"), F.col("name").alias("_parent"), "schema_id")
     owner = schemas.select(*k, "schema_id", F.col("name").alias("_schema"))
     database_level = F.col("parent_class") == 0
     timing = F.when(F.col("is_instead_of_trigger") == 1, F.lit("Instead Of ")).otherwise(F.lit("After "))
     yes = lambda c, v: F.when(F.col(c) == v, F.lit("X")).otherwise(F.lit(" "))
-    group_text = F.left(F.col("event_group_type_desc"), F.lit(40)) if has(triggers, "event_group_type_desc") else F.lit(None).cast("string")
+    group_text = F.left("_group", F.lit(40))
     return (
-        triggers.join(events, [*k, "object_id"], "left").join(parents, [*k, "parent_id"], "left")
+        triggers.join(events, [*k, "object_id"], "left").join(groups, [*k, "object_id"], "left").join(parents, [*k, "parent_id"], "left")
         .join(owner, [*k, "schema_id"], "left")
         .withColumns({
             "parent": F.when(database_level, F.lit("(Database)")).otherwise(F.left("_parent", F.lit(32))),
@@ -699,7 +701,7 @@ def trigger_inventory(
                 F.lit(event_width),
             ),
         })
-        .drop("_events", "_parent", "_schema", "name", "type_desc")
+        .drop("_events", "_group", "_parent", "_schema", "name", "type_desc")
     )
 
 

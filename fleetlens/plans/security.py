@@ -188,7 +188,7 @@ _NAMES = ("view", "click", "purchase", "signup", "error")
 )
 def config_wide(t):
     sizes = t.tempdb_files.withColumn("value", F.expr("size_pages div 128"))
-    return op.config_wide(t.config_kv, _NAMES, server="server_id", enabled=_NAMES[2:], lists={"tempdb_mb": sizes})
+    return op.config_wide(t.config_kv, _NAMES, server="server_id", enabled=dict.fromkeys(_NAMES[2:], "Disabled"), lists={"tempdb_mb": sizes})
 
 
 @query(

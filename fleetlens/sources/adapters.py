@@ -345,13 +345,14 @@ ADAPTERS.update({
         select p_partkey as object_id, 'TR_' || p_name || p_partkey as name, p_size % 6 as parent_id,
         case when p_size % 10 = 0 then 0 else 1 end as parent_class, 'SQL_TRIGGER' as type_desc,
         p_size % 3 as is_ms_shipped, p_partkey % 2 as is_disabled, p_size % 2 as is_not_for_replication,
-        case when p_brand = 'Brand#1' then 1 else 0 end as is_instead_of_trigger, 'DDL_' || p_type as event_group_type_desc
+        case when p_brand = 'Brand#1' then 1 else 0 end as is_instead_of_trigger
         from part
     """,
     "trigger_events": """
         select l_partkey as object_id, l_linenumber % 3 + 1 as type,
         case l_linenumber % 3 when 0 then 'INSERT' when 1 then 'UPDATE' else 'DELETE' end as type_desc,
-        case when l_linenumber % 3 = 0 then 1 else 0 end as is_first, case when l_linenumber % 3 = 2 then 1 else 0 end as is_last
+        case when l_linenumber % 3 = 0 then 1 else 0 end as is_first, case when l_linenumber % 3 = 2 then 1 else 0 end as is_last,
+        'DDL_GROUP_' || l_suppkey as event_group_type_desc
         from lineitem
     """,
     "trigger_parents": "select n_nationkey as object_id, n_name as name, n_regionkey as schema_id from nation where n_regionkey < 3",

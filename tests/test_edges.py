@@ -423,3 +423,23 @@ def test_named_listings_are_complete(spark):
     users = spark.createDataFrame([("s", "u", "S", "SQL_USER", "INSTANCE", b"1"), ("s", "r", "R", "ROLE", "NONE", b"2")],
                                   "server_name string, name string, type string, type_desc string, authentication_type_desc string, sid binary")
     assert rows(catalog.named_listing("database_user_list", users), "server_name", "name") == [("s", "u")]
+
+
+def test_configuration_overview(spark):
+    kv = spark.createDataFrame(
+        [("s1", "max degree of parallelism", 4), ("s1", "remote admin connections", 1), ("s1", "other", 9), ("s2", "backup compression default", 0)],
+        "server_name string, name string, value_in_use long",
+    )
+    sizes = spark.createDataFrame([("s1", "8"), ("s1", "8"), ("s1", "12")], "server_name string, value string")
+    got = security.config_wide(kv, lists={"tempdb_mb": sizes})
+    assert rows(got, "server_name", "max_degree_of_parallelism", "remote_admin_connections", "backup_compression_default", "tempdb_mb") == [
+        ("s1", 4, "Enabled", "No", "12, 8, 8"), ("s2", None, "Disabled", "No", None),
+    ]
+
+
+@pytest.mark.parametrize("include,exclude", [("a%", "%1"), ("%2,b%", "a%"), ("ALL_DATABASES", "b2")])
+def test_exclusion_only_removes(spark, include, exclude):
+    items = spark.createDataFrame([(f"{c}{n}",) for c in "abc" for n in range(4)], "name string")
+    names = lambda text: {r["name"] for r in selection.select_by_patterns(items, text).collect()}
+    excluded = ",".join(f"-{e}" for e in exclude.split(","))
+    assert names(f"{include},{excluded}") == names(include) - names(exclude)
