@@ -46,8 +46,26 @@ def pages_to_mb(pages: Column | str) -> Column:
 
 
 def boundaries(unit: str, start: Column | str, end: Column | str) -> Column:
-    """Number of ``unit`` boundaries crossed between two timestamps (not full units)."""
-    return F.timestamp_diff(unit, F.date_trunc(unit, col(start)), F.date_trunc(unit, col(end)))
+    """Number of ``unit`` boundaries crossed between two timestamps (not full units).
+
+    Calendar days and clock fields are compared, so zone-less times give the same
+    answer under any session time zone.
+    """
+    per_day, clock = {
+        "DAY": (1, lambda c: F.lit(0)),
+        "HOUR": (24, F.hour),
+        "MINUTE": (1440, lambda c: F.hour(c) * 60 + F.minute(c)),
+        "SECOND": (86400, lambda c: (F.hour(c) * 60 + F.minute(c)) * 60 + F.second(c)),
+    }[unit]
+    start, end = col(start), col(end)
+    days = F.datediff(end.cast("date"), start.cast("date")).cast("bigint")
+    return days * per_day + (clock(end) - clock(start))
+
+
+def clock_text(c: Column | str) -> Column:
+    """Time of day as ``hh:mm:ss``."""
+    two = lambda field: F.lpad(text(field), 2, "0")
+    return F.concat(two(F.hour(col(c))), F.lit(":"), two(F.minute(col(c))), F.lit(":"), two(F.second(col(c))))
 
 
 def decode(c: Column | str, mapping: Mapping, default: Column | str | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.fleet import SYSTEM_DATABASES, existing, has, optional, shared_keys
 from fleetlens.functions.tsql import (
-    blank_if_null, boundaries, clock_12h, decode, duration_text, int_div, int_to_timestamp, pages_to_mb, text,
+    blank_if_null, boundaries, clock_12h, clock_text, decode, duration_text, int_div, int_to_timestamp, pages_to_mb, text,
 )
 
 # fixed values: backup and restore type codes
@@ -81,7 +81,7 @@ def backup_times_of_day(
     rows = _with_media(backupset, media_family).withColumn("backup_day", F.to_date("backup_start_date"))
     if date_by_key is not None:
         rows = rows.join(date_by_key.select(*by), by, "left_semi")
-    counted = rows.groupBy(*by, F.date_format("backup_start_date", "HH:mm:ss").alias("_t")).agg(
+    counted = rows.groupBy(*by, clock_text("backup_start_date").alias("_t")).agg(
         F.count(F.lit(1)).cast("int").alias("_n")
     )
     entries = F.array_sort(F.collect_list(F.struct("_t", "_n")))
@@ -330,7 +330,7 @@ def next_run_time(job_schedules: DataFrame) -> DataFrame:
     moment = F.when(planned, int_to_timestamp(F.when(planned, F.col("next_run_date")), "next_run_time"))
     return job_schedules.withColumns({
         "next_run_at": moment,
-        "next_run_text": F.coalesce(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"), F.lit("n/a")),
+        "next_run_text": F.coalesce(text(moment), F.lit("n/a")),
     })
 
 

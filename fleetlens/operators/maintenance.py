@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.fleet import DATABASE, has, optional, shared_keys
 from fleetlens.functions.ordering import positions
-from fleetlens.functions.tsql import big, int_div, quote, text
+from fleetlens.functions.tsql import big, boundaries, int_div, quote, text
 
 MB = 1024 * 1024
 PAGE = 8192
@@ -89,7 +89,7 @@ def backup_eligibility(
         "read_only_appliance": (kind == "LOG") & const(updateability == "READ_ONLY") & const(software == "DATA_DOMAIN_BOOST"),
     }
     if log_size_mb is not None and log_seconds is not None:
-        since = F.timestamp_diff("SECOND", F.date_trunc("SECOND", F.col("last_log_backup")), F.lit(as_of).cast("timestamp_ntz"))
+        since = boundaries("SECOND", "last_log_backup", F.lit(as_of).cast("timestamp_ntz"))
         due = (
             (F.col("log_size_since_last_log_backup") >= log_size_mb) | F.col("log_size_since_last_log_backup").isNull()
             | (since >= log_seconds) | F.col("last_log_backup").isNull()

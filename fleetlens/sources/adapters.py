@@ -371,7 +371,7 @@ ADAPTERS.update({
     "table_pks": """
         select cast(floor(p_partkey / 8) as bigint) as object_id, 'PK_T' || cast(floor(p_partkey / 8) as bigint) as constraint_name,
         p_partkey % 8 as key_ordinal, 'c' || (p_partkey % 8) as column_name, p_partkey % 2 as is_descending_key
-        from part where p_partkey % 8 in (1, 2)
+        from part
     """,
     "waiting_tasks": """
         select event_id as waiting_task_address, event_id as session_id, event_id % 4 as exec_context_id,

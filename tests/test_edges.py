@@ -24,6 +24,17 @@ def test_boundaries_count_crossings_not_full_units(spark):
     assert df.select(tsql.boundaries("MINUTE", "a", "b")).first()[0] == 1
 
 
+def test_boundaries_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select timestamp_ntz'1996-04-07 01:30:00' a, timestamp_ntz'1996-04-07 02:45:10' b")
+        got = df.select(*[tsql.boundaries(u, "a", "b") for u in ("DAY", "HOUR", "MINUTE", "SECOND")], tsql.clock_text("b")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert tuple(got) == (0, 1, 75, 4510, "02:45:10")
+
+
 def test_int_div_truncates_toward_zero_and_guards_zero(spark):
     df = spark.createDataFrame([(-7, 2), (7, 0)], "a int, b int")
     assert [r[0] for r in df.select(tsql.int_div("a", "b")).collect()] == [-3, None]
