@@ -114,7 +114,7 @@ _HINTS = """
     _HINTS,
 )
 def missing_index_from_plans(t):
-    return op.missing_index_from_plans(t.plan_stats, t.showplans, "edition")
+    return op.missing_index_from_plans(t.plan_stats, t.spread("showplans"), "edition")
 
 
 _PIVOT = ", ".join(f"COALESCE(MIN(CASE WHEN keyno = {n} THEN col END), '') AS col{n}" for n in range(1, 17))

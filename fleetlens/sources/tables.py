@@ -52,6 +52,12 @@ class Tables:
             self._frames[name] = self._shape(ADAPTERS[name], self.base)
         return self._frames[name]
 
+    def spread(self, name: str) -> DataFrame:
+        """An adapter view whose narrow base rows are spread over all cores before
+        the view is built, for views that are costly per row (large documents)."""
+        width = self.spark.sparkContext.defaultParallelism
+        return self._shape(ADAPTERS[name], lambda base: self.base(base).repartition(width))
+
     def stream(self, name: str) -> DataFrame:
         """An adapter view over file streams; zone-less times become timestamps,
         which watermarks need."""
@@ -67,6 +73,11 @@ class FleetTables(Tables):
         super().__init__(spark, root)
         self.servers = servers
 
-    def __getattr__(self, name: str) -> DataFrame:
-        one = super().__getattr__(name)
+    def _per_server(self, one: DataFrame) -> DataFrame:
         return one.withColumn("server_name", F.explode(F.array(*[F.lit(s) for s in self.servers])))
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._per_server(super().__getattr__(name))
+
+    def spread(self, name: str) -> DataFrame:
+        return self._per_server(super().spread(name))
