@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import chat, decontaminate, mixing, pii, quality, simhash
+from fleetlens.llm import chat, decontaminate, language, licenses, mixing, pii, pitman_yor, quality, simhash, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_lm_score": pitman_yor.op3_lm_score,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_personal_data": pii.op5_personal_data,
+    "op6_language_id": language.op6_language_id,
     "op7_simhash": simhash.op7_simhash,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_chat_format": chat.op10_chat_format,
 }
