@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.text import SPACE, fixed, native_words
+from fleetlens.llm.text import SPACE, fixed, native_words, small_side, text_key
 
 # fixed values: the most common function words of each language with a reference
 COMMON = {
@@ -68,12 +68,11 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     counted = counted.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": _left(t, f"[{SPACE}]+"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
             "n_repeat_words": F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("long"),
             "_lines": lines,
-            "_common": F.filter(F.split(F.lower(t), "[^\\p{L}]+"), lambda w: w.isin(WORDS)),
-            "_letters": F.regexp_count(t, F.lit("\\p{L}+")).cast("long"),
+            "_tokens": F.array_remove(F.split(F.lower(t), "[^\\p{L}]+"), ""),
             "_upper": _left(t, "[^\\p{Lu}]+"),
             "_digit": _left(t, "[^\\p{Nd}]+"),
             "_mark": _left(t, "[^.,;:!?'\"()-]+"),
@@ -84,13 +83,19 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.col("_upper"), F.col("_digit"), F.col("_mark"), F.col("n_symbols"), size - F.col("word_chars"),
         F.col("word_chars") - F.col("_upper") - F.col("_digit") - F.col("_mark") - F.col("n_symbols"),
     ]
-    hits = F.size("_common")
-    words = [(hits - F.size(F.array_remove("_common", w))).cast("long") for w in WORDS]
+    # with every common word added once and all sorted, each word is a run of its own
+    counted = counted.withColumn(
+        "_runs", F.sort_array(F.concat(F.filter("_tokens", lambda w: w.isin(WORDS)), F.array(*[F.lit(w) for w in WORDS])))
+    )
+    first = lambda i: (i == 0) | (F.get("_runs", i) != F.get("_runs", i - 1))
+    counted = counted.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_runs") - 1), first))
+    runs = F.transform("_starts", lambda x, k: (F.coalesce(F.get("_starts", k + 1), F.size("_runs")) - x - 1).cast("long"))
+    others = (F.size("_tokens") + len(WORDS) - F.size("_runs")).cast("long")
     return counted.withColumns(
         {
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "class_counts": F.array(*classes),
-            "word_counts": F.array(*words, F.greatest(F.col("_letters") - hits, F.lit(0))),
+            "word_counts": F.concat(runs, F.array(others)),
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
         }
     ).drop(*[c for c in counted.columns if c.startswith("_") and c not in docs.columns])
@@ -162,10 +167,17 @@ def judged(measured: DataFrame, references: dict, lang: str = "lang") -> DataFra
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (text, lang) that the rules keep, with its columns only."""
-    measured = measures(docs)
-    good = judged(measured, language_references(measured))
-    return good.where("kept").select(docs.columns)
+    """The rows of ``docs`` (text, lang) that the rules keep, with its columns only.
+
+    Texts are measured once; the small table of measures is written, and the verdicts on a
+    text and its language come back as those to leave out."""
+    keyed = docs.select("text", "lang", *text_key())
+    measured = fixed(measures(keyed).drop("text"))
+    bad = judged(measured, language_references(measured)).where(~F.col("kept"))
+    bad = small_side(fixed(bad.select(F.col("_ka").alias("_ba"), F.col("_kb").alias("_bb"), F.col("lang").alias("_bl")).distinct()))
+    named = docs.select(*docs.columns, *text_key(), F.col("lang").alias("_kl"))
+    same = [F.col("_ka") == F.col("_ba"), F.col("_kb") == F.col("_bb"), F.col("_kl").eqNullSafe(F.col("_bl"))]
+    return named.join(bad, same, "left_anti").select(docs.columns)
 
 
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
