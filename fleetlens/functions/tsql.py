@@ -98,8 +98,9 @@ def like_pattern(pattern: str) -> str:
 
 
 def last_name_part(c: Column | str) -> Column:
-    """Last part of a dotted, possibly bracketed name."""
-    return F.regexp_extract(col(c), r"\[?([^\[\].]+)\]?$", 1)
+    """Last part of a dotted name; dots and doubled ``]`` inside brackets belong to the part."""
+    part = F.regexp_extract(col(c), r"(\[(?:[^\]]|\]\])*\]|[^\[\].]+)$", 1)
+    return F.when(part.startswith("["), F.regexp_replace(F.regexp_replace(part, r"^\[|\]$", ""), r"\]\]", "]")).otherwise(part)
 
 
 def int_to_timestamp(day: Column | str, clock: Column | str) -> Column:

@@ -87,7 +87,7 @@ def named_listing(name: str, table: DataFrame, **overrides) -> DataFrame:
 
 def sql_text_lookup(rows: DataFrame, sql_text: DataFrame, key: str = "sql_handle", outer: bool = False) -> DataFrame:
     """Attach statement text; without ``outer`` rows with no text are dropped."""
-    keys = [*shared_keys(rows, sql_text), key]
+    keys = [*shared_keys(rows, common=sql_text), key]
     return rows.join(sql_text.select(*keys, "text"), keys, "left" if outer else "inner")
 
 

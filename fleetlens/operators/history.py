@@ -235,7 +235,7 @@ RELATIVE_DAY = {
 }
 SUBDAY_UNIT = {2: " second", 4: " minute", 8: " hour"}
 HOUSEKEEPING_JOBS = ("syspolicy_purge_history", "SSIS Server Maintenance Job")
-OWN_JOB_PREFIX, REPORT_SERVER_CATEGORY = "BCS", 100
+REPORT_SERVER_CATEGORY = 100
 NO_END_DATE = 99991231
 
 
@@ -247,16 +247,16 @@ def day_list(mask: str | Column) -> Column:
     )
 
 
-def reportable_jobs(jobs: DataFrame, own_prefix: str = OWN_JOB_PREFIX) -> DataFrame:
-    """Jobs worth reporting: no report-server, housekeeping or own installation jobs."""
-    return jobs.filter(
-        (F.col("category_id") != REPORT_SERVER_CATEGORY) & ~F.col("name").startswith(own_prefix) & ~F.col("name").isin(*HOUSEKEEPING_JOBS)
-    )
+def reportable_jobs(jobs: DataFrame, own_prefix: str | None = None) -> DataFrame:
+    """Jobs worth reporting: no report-server or housekeeping jobs, nor those of the own
+    installation if their names' prefix is given."""
+    out = jobs.filter((F.col("category_id") != REPORT_SERVER_CATEGORY) & ~F.col("name").isin(*HOUSEKEEPING_JOBS))
+    return out if own_prefix is None else out.filter(~F.col("name").startswith(own_prefix))
 
 
 def schedule_description(
     jobs: DataFrame, schedules: DataFrame, logins: DataFrame, job_schedules: DataFrame | None = None,
-    job_name: str | None = None, noon_quirk: bool = False,
+    job_name: str | None = None, noon_quirk: bool = False, own_prefix: str | None = None,
 ) -> DataFrame:
     """Every reportable job with its schedule in words.
 
@@ -264,7 +264,7 @@ def schedule_description(
     carries the job id itself.  ``job_name`` is a LIKE pattern.
     """
     k = shared_keys(jobs, schedules, logins)
-    chosen = reportable_jobs(jobs)
+    chosen = reportable_jobs(jobs, own_prefix)
     if job_name:
         chosen = chosen.filter(F.col("name").like(job_name))
     timing = schedules.withColumnsRenamed({"name": "schedule_name", "enabled": "schedule_enabled"})

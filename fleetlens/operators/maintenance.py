@@ -382,10 +382,11 @@ def statistics_update_plan(
         "ALL": F.coalesce(row_index, F.lit(False)) | ~own_index, "INDEX": own_index & row_index, "COLUMNS": ~own_index,
     }.get(mode, F.lit(False))
     changed, rows = big("modification_counter"), big("row_count")
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  the square of a large counter leaves BIGINT
     need = F.lit(not only_modified and modification_level is None) | (F.lit(only_modified) & (changed > 0))
     if modification_level is not None:
-        need = need | ((rows > 0) & (changed * 100 >= rows * modification_level)) | (
-            (changed > 0) & (changed * changed >= rows * 1000)
+        need = need | ((rows > 0) & (wide(changed) * 100 >= wide(rows) * modification_level)) | (
+            (changed > 0) & (wide(changed) * wide(changed) >= wide(rows) * 1000)
         )
     if not (version >= 13 or edition in (5, 8)):
         need = need | (_zero(stats, "is_memory_optimized") == 1)

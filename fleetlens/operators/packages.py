@@ -53,14 +53,16 @@ def parse_command(command: str = "command", subsystem: str = "subsystem") -> dic
     }
 
 
-def job_step_structure(job_steps: DataFrame, jobs: DataFrame, environments: DataFrame | None = None) -> DataFrame:
+def job_step_structure(
+    job_steps: DataFrame, jobs: DataFrame, environments: DataFrame | None = None, own_prefix: str | None = None
+) -> DataFrame:
     """Steps of reportable jobs with decoded actions and parsed package command.
 
     ``environments`` (reference_id, environment_name) names the environment of a
     catalog package.
     """
     k = shared_keys(job_steps, jobs)
-    owners = reportable_jobs(jobs).select(*k, "job_id", F.col("name").alias("job_name"), "category_id")
+    owners = reportable_jobs(jobs, own_prefix).select(*k, "job_id", F.col("name").alias("job_name"), "category_id")
     out = job_steps.join(owners, [*k, "job_id"]).withColumns({
         "on_success": decode("on_success_action", STEP_ACTIONS),
         "on_error": decode("on_fail_action", STEP_ACTIONS),
@@ -225,14 +227,15 @@ def package_permissions(
     return out
 
 
-def package_job_links(steps: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Jobs with a step that runs a package of a listed folder and project."""
+def package_job_links(steps: DataFrame, inventory: DataFrame, procedure: str) -> DataFrame:
+    """Jobs with a step that runs a package of a listed folder and project, each as a call
+    of ``procedure`` with its name."""
     k = shared_keys(steps, inventory)
     listed = inventory.filter(F.col("folder_name") != "").select(
         *k, F.col("folder_name").alias("folder"), F.col("project_name").alias("project")
     ).distinct()
     return (
         steps.filter(F.col("command").contains("/ISSERVER")).join(listed, [*k, "folder", "project"], "left_semi")
-        .select(*k, F.concat(F.lit("EXEC msdb.dbo.sp_JOBs_structure '"), "job_name", F.lit("'")).alias("jobs_structure"))
+        .select(*k, F.concat(F.lit(f"EXEC {procedure} '"), "job_name", F.lit("'")).alias("jobs_structure"))
         .distinct()
     )

@@ -51,7 +51,8 @@ def index_fragmentation_alert(detail: DataFrame, frag_pct: float = 50, min_pages
 
 def indexes_unused(indexes: DataFrame, usage: DataFrame) -> DataFrame:
     """Indexes without any usage row in their database."""
-    keys = [*shared_keys(indexes, usage, scope=(*DATABASE, "database_id")), *INDEX]
+    own = ["database_id"] if has(indexes, "database_id") and has(usage, "database_id") else []
+    keys = [*shared_keys(indexes, usage, scope=DATABASE), *own, *INDEX]
     return indexes.join(existing(usage, keys), keys, "left_anti")
 
 
@@ -96,7 +97,7 @@ def missing_index_advice(
     both = F.when(eq.isNotNull() & ineq.isNotNull(), F.lit(",")).otherwise(F.lit(""))
     create = F.concat(
         F.lit("CREATE INDEX [missing_index_"), text("index_group_handle"), F.lit("_"), text("index_handle"), F.lit("_"),
-        F.left(last_name_part("statement"), F.lit(32)), F.lit("] ON "), F.col("statement"), F.lit(" ("),
+        last_name_part("statement"), F.lit("] ON "), F.col("statement"), F.lit(" ("),
         blank_if_null(eq), both, blank_if_null(ineq), F.lit(")"),
         F.coalesce(F.concat(F.lit(" INCLUDE ("), F.col("included_columns"), F.lit(")")), F.lit("")),
     )
@@ -122,11 +123,17 @@ BatchSequence STRUCT<Batch: ARRAY<STRUCT<Statements: ARRAY<STRUCT<StmtSimple: AR
 """
 
 
+def _all(elements: Column, field: str) -> Column:
+    """The elements of the arrays ``field`` of all structs; a missing array has none
+    (``flatten`` would make the whole result null)."""
+    return F.flatten(F.filter(F.transform(elements, lambda e: e[field]), lambda a: a.isNotNull()))
+
+
 def _usage_columns(groups: Column, usage: str) -> Column:
     """Sorted distinct column names of one usage over all missing-index groups; NULL when none."""
-    column_groups = F.flatten(F.transform(F.flatten(F.transform(groups, lambda g: g["MissingIndex"])), lambda m: m["ColumnGroup"]))
+    column_groups = _all(_all(groups, "MissingIndex"), "ColumnGroup")
     picked = F.filter(column_groups, lambda c: c["_Usage"] == usage)
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform(picked, lambda c: F.transform(c["Column"], lambda n: n["_Name"])))))
+    names = F.array_sort(F.array_compact(F.array_distinct(F.transform(_all(picked, "Column"), lambda n: n["_Name"]))))
     return F.when(F.size(names) > 0, names)
 
 
@@ -137,26 +144,24 @@ def missing_index_from_plans(query_stats: DataFrame, plans_xml: DataFrame, engin
     it where servers differ; edition 3 can build indexes online.
     """
     k = [*shared_keys(query_stats, plans_xml), "plan_handle"]
-    hinted = plans_xml.filter(F.col("query_plan").contains("<MissingIndex ")).select(*k, "query_plan")
+    # a plain search spares the parser the plans without a hint; any white space may follow the name
+    hinted = plans_xml.filter(F.col("query_plan").contains("<MissingIndex")).select(*k, "query_plan")
     batches = hinted.select(*k, F.from_xml("query_plan", SHOWPLAN, {"mode": "PERMISSIVE"}).alias("plan"))
     statements = batches.select(
         *k,
         F.explode(
-            F.flatten(F.flatten(F.transform(
-                F.col("plan.BatchSequence.Batch"),
-                lambda b: F.transform(b["Statements"], lambda s: s["StmtSimple"]),
-            )))
+            _all(_all(F.col("plan.BatchSequence.Batch"), "Statements"), "StmtSimple")
         ).alias("st"),
     )
     found = statements.select(
         *k, F.col("st._StatementText").alias("sql_text"),
         F.col("st.QueryPlan").alias("qp"),
         F.col("st.QueryPlan.MissingIndexes.MissingIndexGroup").alias("groups"),
-    ).filter(F.size(F.flatten(F.transform("groups", lambda g: g["MissingIndex"]))) > 0)
-    first = F.col("groups")[0]["MissingIndex"][0]
+    ).filter(F.size(_all(F.col("groups"), "MissingIndex")) > 0)
+    first = F.get(_all(F.col("groups"), "MissingIndex"), 0)
     parsed = found.select(
         *k, "sql_text",
-        F.col("groups")[0]["_Impact"].alias("impact_pct"),
+        F.get("groups", 0)["_Impact"].alias("impact_pct"),
         F.col("qp._CachedPlanSize").alias("cached_plan_size_kb"),
         F.col("qp._CompileTime").alias("compile_time_ms"),
         F.col("qp._CompileCPU").alias("compile_cpu_ms"),
@@ -198,7 +203,8 @@ def index_key_pivot(
     index_keys: DataFrame, indexes: DataFrame | None = None, tables: DataFrame | None = None,
     schemas: DataFrame | None = None, alloc_counts: DataFrame | None = None, max_cols: int = 16,
 ) -> DataFrame:
-    """Key columns side by side (``col1 .. colN``, empty when absent).
+    """Key columns side by side (``col1 .. colN``, empty when absent), and all of them in
+    order in the array ``key_columns``, however many there are.
 
     With the catalog frames given, also the clustered key type and its default or
     identity mark, size, page-split proxy and the DISABLE / REBUILD text.
@@ -209,6 +215,8 @@ def index_key_pivot(
         F.coalesce(F.min(F.when(F.col("keyno") == n, F.col("col"))), F.lit("")).alias(f"col{n}")
         for n in range(1, max_cols + 1)
     ]
+    keyed = F.array_sort(F.collect_set(F.struct("keyno", "col")))
+    aggregates.append(F.transform(keyed, lambda x: x["col"]).alias("key_columns"))
     if has(index_keys, "type_name"):
         sized = F.when(
             F.col("type_name").isin("nvarchar", "varchar", "char", "nchar"),
@@ -662,44 +670,42 @@ def invalid_objects(dependencies: DataFrame, objects: DataFrame, catalog: DataFr
 
 
 def trigger_inventory(
-    triggers: DataFrame, trigger_events: DataFrame, objects: DataFrame, schemas: DataFrame, event_width: int = 60
+    triggers: DataFrame, trigger_events: DataFrame, objects: DataFrame, schemas: DataFrame, width: int | None = None
 ) -> DataFrame:
-    """Triggers with their parent, flags and ordered event list.
+    """Triggers with their parent, flags and ordered event list, as whole texts unless
+    ``width`` limits the characters of each name and list.
 
     The events of one trigger come from a short fixed vocabulary, so they are
     made distinct before they are collected.
     """
     k = shared_keys(triggers, trigger_events, objects, schemas, scope=DATABASE)
     mark = F.when(F.col("is_first") == 1, F.lit(" (First)")).when(F.col("is_last") == 1, F.lit(" (Last)")).otherwise(F.lit(""))
-    label = F.concat(F.left("type_desc", F.lit(1)), F.lower(F.substring("type_desc", 2, 32)), mark)
+    label = F.concat(F.left("type_desc", F.lit(1)), F.lower(F.expr("substring(type_desc, 2)")), mark)
     events = (
         trigger_events.select(*k, "object_id", F.col("type").alias("_t"), label.alias("_label")).distinct()
         .groupBy(*k, "object_id")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_label"))), lambda e: e["_label"]), ", ").alias("_events"))
     )
-    # a database-level trigger shows one event group instead of its events
-    groups = trigger_events.groupBy(*k, "object_id").agg(F.min("event_group_type_desc").alias("_group"))
+    # a database-level trigger shows its event groups instead of its events
+    groups = trigger_events.groupBy(*k, "object_id").agg(F.array_join(F.array_sort(F.collect_set("event_group_type_desc")), ", ").alias("_group"))
+    shown = (lambda c: c) if width is None else (lambda c: F.left(c, F.lit(width)))
     parents = objects.select(*k, F.col("object_id").alias("parent_id"), F.col("name").alias("_parent"), "schema_id")
     owner = schemas.select(*k, "schema_id", F.col("name").alias("_schema"))
     database_level = F.col("parent_class") == 0
     timing = F.when(F.col("is_instead_of_trigger") == 1, F.lit("Instead Of ")).otherwise(F.lit("After "))
     yes = lambda c, v: F.when(F.col(c) == v, F.lit("X")).otherwise(F.lit(" "))
-    group_text = F.left("_group", F.lit(40))
     return (
         triggers.join(events, [*k, "object_id"], "left").join(groups, [*k, "object_id"], "left").join(parents, [*k, "parent_id"], "left")
         .join(owner, [*k, "schema_id"], "left")
         .withColumns({
-            "parent": F.when(database_level, F.lit("(Database)")).otherwise(F.left("_parent", F.lit(32))),
-            "schema_name": F.left(F.coalesce("_schema", F.lit("(None)")), F.lit(16)),
-            "trigger_name": F.left("name", F.lit(32)),
+            "parent": F.when(database_level, F.lit("(Database)")).otherwise(shown(F.col("_parent"))),
+            "schema_name": shown(F.coalesce("_schema", F.lit("(None)"))),
+            "trigger_name": shown(F.col("name")),
             "kind": F.left("type_desc", F.lit(3)),
             "is_ms": yes("is_ms_shipped", 1),
             "is_on": yes("is_disabled", 0),
             "is_replicated": yes("is_not_for_replication", 0),
-            "event": F.left(
-                F.when(database_level, group_text).otherwise(F.concat(timing, F.left("_events", F.lit(event_width)))),
-                F.lit(event_width),
-            ),
+            "event": shown(F.when(database_level, F.col("_group")).otherwise(F.concat(timing, "_events"))),
         })
         .drop("_events", "_group", "_parent", "_schema", "name", "type_desc")
     )

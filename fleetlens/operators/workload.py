@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.fleet import existing, has, optional, shared_keys
+from fleetlens.functions.fleet import DATABASE, existing, has, optional, shared_keys
 from fleetlens.functions.ordering import running_totals
 from fleetlens.functions.tsql import big, int_div, ratio
 from fleetlens.operators.catalog import sql_text_lookup, statement_text
@@ -109,7 +109,7 @@ def waits_now(
     )
     out = sql_text_lookup(out, sql_text, outer=True)
     if plans is not None and has(out, "plan_handle"):
-        kp = [*shared_keys(out, plans), "plan_handle"]
+        kp = [*shared_keys(out, common=plans), "plan_handle"]
         out = out.join(plans.select(*kp, "query_plan"), kp, "left")
     return out
 
@@ -124,7 +124,7 @@ def head_blockers(requests: DataFrame, sql_text: DataFrame, top: int = 10) -> Da
         known = heads.join(sql_text.select("sql_handle"), "sql_handle", "left_semi")
         best = known.orderBy(F.col("total_elapsed_time").desc(), F.col("session_id")).limit(top)
     else:
-        kt = [*shared_keys(heads, sql_text), "sql_handle"]
+        kt = [*shared_keys(heads, common=sql_text), "sql_handle"]
         known = heads.join(sql_text.select(*kt), kt, "left_semi")
         w = Window.partitionBy(*k).orderBy(F.col("total_elapsed_time").desc(), F.col("session_id"))
         best = known.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).drop("_r")
@@ -163,7 +163,7 @@ def top_queries_by_cpu(query_stats: DataFrame, sql_text: DataFrame, n: int = 5)
     """The ``n`` statements with the highest average CPU time per server."""
     k = shared_keys(query_stats)
     costed = query_stats.withColumn("avg_cpu_time", int_div("total_worker_time", "execution_count"))
-    kt = [*shared_keys(costed, sql_text), "sql_handle"]
+    kt = [*shared_keys(costed, common=sql_text), "sql_handle"]
     known = costed.join(sql_text.select(*kt), kt, "left_semi")
     order = [F.col("avg_cpu_time").desc(), F.col("plan_handle")]
     if k:
@@ -205,35 +205,39 @@ def operation_progress(requests: DataFrame, sql_text: DataFrame, commands: Seque
 
 def lock_summary(
     lock_info: DataFrame, code_dim: DataFrame, sessions: DataFrame, objects: DataFrame, indexes: DataFrame,
-    spids: Sequence[int] | None = None,
+    spids: Sequence[int] | None = None, width: int | None = None,
 ) -> DataFrame:
-    """Locks per session and resource with decoded type, mode and status.
+    """Locks per session and resource with decoded type, mode and status, as whole texts
+    unless ``width`` limits them.  Names come from the database of the lock: where the
+    catalogs carry ``database_name``, the locks must too (``with_database_name``).
 
     ``code_dim`` (type, number, name) holds one short list per kind: LR resource
     types, LS states, L modes (stored one higher).  Locks are counted on their
     raw codes first, so names are looked up once per group.
     """
     k = shared_keys(lock_info, sessions, objects, indexes)
+    kd = shared_keys(lock_info, objects, indexes, scope=DATABASE)
+    shown = (lambda c: F.col(c)) if width is None else (lambda c: F.left(c, F.lit(width)))
     locks = lock_info if spids is None else lock_info.filter(F.col("session_id").isin(list(spids)))
-    raw = [*k, "session_id", "database_id", "object_id", "index_id", *optional(lock_info, "resource"),
+    raw = [*dict.fromkeys([*k, *kd]), "session_id", "database_id", "object_id", "index_id", *optional(lock_info, "resource"),
            "rsc_type", "req_mode", "req_status"]
     counted = locks.groupBy(*raw).agg(F.count(F.lit(1)).alias("lock_count"))
 
-    kc = shared_keys(lock_info, code_dim)
+    kc = shared_keys(lock_info, common=code_dim)
 
-    def codes(kind: str, key: str, name: str, width: int, shift: int = 0) -> DataFrame:
+    def codes(kind: str, key: str, name: str, shift: int = 0) -> DataFrame:
         return code_dim.filter(F.col("type") == kind).select(
-            *kc, (F.col("number") - shift).alias(key), F.left("name", F.lit(width)).alias(name)
+            *kc, (F.col("number") - shift).alias(key), shown("name").alias(name)
         )
 
-    who = sessions.select(*k, "session_id", F.left("login_name", F.lit(20)).alias("login_name"), F.left("host_name", F.lit(30)).alias("host_name"))
+    who = sessions.select(*k, "session_id", shown("login_name").alias("login_name"), shown("host_name").alias("host_name"))
     return (
-        counted.join(codes("LR", "rsc_type", "lock_type", 4), [*kc, "rsc_type"])
-        .join(codes("LS", "req_status", "lock_status", 5), [*kc, "req_status"])
-        .join(codes("L", "req_mode", "lock_mode", 8, shift=1), [*kc, "req_mode"])
+        counted.join(codes("LR", "rsc_type", "lock_type"), [*kc, "rsc_type"])
+        .join(codes("LS", "req_status", "lock_status"), [*kc, "req_status"])
+        .join(codes("L", "req_mode", "lock_mode", shift=1), [*kc, "req_mode"])
         .join(who, [*k, "session_id"])
-        .join(objects.select(*k, "object_id", F.col("name").alias("object_name")), [*k, "object_id"], "left")
-        .join(indexes.select(*k, "object_id", "index_id", F.col("name").alias("index_name")), [*k, "object_id", "index_id"], "left")
+        .join(objects.select(*kd, "object_id", F.col("name").alias("object_name")), [*kd, "object_id"], "left")
+        .join(indexes.select(*kd, "object_id", "index_id", F.col("name").alias("index_name")), [*kd, "object_id", "index_id"], "left")
         .withColumns({c: F.coalesce(c, F.lit("")) for c in ("object_name", "index_name", "login_name", "host_name")})
         .drop("rsc_type", "req_status", "req_mode")
     )

@@ -206,11 +206,11 @@ def _every(once, unit):
       CASE WHEN active_end_date = 99991231 THEN 'No end date'
         ELSE strftime(strptime(active_end_date::VARCHAR, '%Y%m%d'), '%d/%m/%Y') || ' ' || {_clock('active_end_time')} END AS end_date
     FROM jobs j LEFT JOIN job_schedules_full s ON s.job_id = j.job_id LEFT JOIN job_logins l ON l.sid = j.owner_sid
-    WHERE category_id <> 100 AND j.name NOT LIKE 'BCS%'
+    WHERE category_id <> 100 AND j.name NOT LIKE 'own%'
     """,
 )
 def schedule_description(t):
-    return op.schedule_description(t.jobs, t.job_schedules_full, t.job_logins)
+    return op.schedule_description(t.jobs, t.job_schedules_full, t.job_logins, own_prefix="own")
 
 
 @query(

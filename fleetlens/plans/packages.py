@@ -13,7 +13,7 @@ _STEPS = """
         CASE p_size % 5 WHEN 1 THEN 'Quit with success' WHEN 2 THEN 'Quit with failure' WHEN 3 THEN 'Next step' WHEN 4 THEN 'Go to step on_success_step_id' END AS on_success,
         CASE p_size % 4 + 1 WHEN 1 THEN 'Quit with success' WHEN 2 THEN 'Quit with failure' WHEN 3 THEN 'Next step' WHEN 4 THEN 'Go to step on_success_step_id' END AS on_error
       FROM part) p JOIN jobs j ON j.job_id = p_partkey
-    WHERE category_id <> 100 AND j.name NOT LIKE 'BCS%'
+    WHERE category_id <> 100 AND j.name NOT LIKE 'own%'
 """
 
 
@@ -33,7 +33,7 @@ _STEPS = """
     """,
 )
 def job_step_structure(t):
-    return op.job_step_structure(t.job_steps, t.jobs, t.step_environments)
+    return op.job_step_structure(t.job_steps, t.jobs, t.step_environments, own_prefix="own")
 
 
 @query(
@@ -47,7 +47,7 @@ def job_step_structure(t):
     """,
 )
 def package_errors(t):
-    steps = op.job_step_structure(t.job_steps, t.jobs)
+    steps = op.job_step_structure(t.job_steps, t.jobs, own_prefix="own")
     return op.package_errors(t.executions, t.operations, t.op_messages, steps, days=365, as_of=AS_OF)
 
 
@@ -143,10 +143,10 @@ def package_permissions(t):
 @query(
     "jobs_structure:s",
     f"""
-    SELECT DISTINCT 'EXEC msdb.dbo.sp_JOBs_structure ''' || job_name || '''' AS jobs_structure FROM ({_STEPS}) s
+    SELECT DISTINCT 'EXEC dbo.job_steps ''' || job_name || '''' AS jobs_structure FROM ({_STEPS}) s
     WHERE kind = 0 AND subsystem = 'SSIS' AND (p_brand, p_type) IN (SELECT (f.name, p.name) FROM packages a
       JOIN projects p ON p.project_id = a.project_id AND p.object_version_lsn = a.project_version_lsn JOIN folders f ON f.folder_id = p.folder_id)
     """,
 )
 def package_job_links(t):
-    return op.package_job_links(op.job_step_structure(t.job_steps, t.jobs), op.package_inventory(t.packages, t.projects, t.folders))
+    return op.package_job_links(op.job_step_structure(t.job_steps, t.jobs, own_prefix="own"), op.package_inventory(t.packages, t.projects, t.folders), "dbo.job_steps")

@@ -467,14 +467,14 @@ def invalid_objects(t):
         SELECT DISTINCT object_id, type, type_desc[1] || lower(type_desc[2:33])
           || CASE WHEN is_first = 1 THEN ' (First)' WHEN is_last = 1 THEN ' (Last)' ELSE '' END AS label FROM trigger_events)
       GROUP BY object_id)
-    SELECT t.object_id, CASE WHEN parent_class = 0 THEN '(Database)' ELSE left(o.name, 32) END AS parent,
-      left(COALESCE(s.name, '(None)'), 16) AS schema_name, left(t.name, 32) AS trigger_name, left(type_desc, 3) AS kind,
+    SELECT t.object_id, CASE WHEN parent_class = 0 THEN '(Database)' ELSE o.name END AS parent,
+      COALESCE(s.name, '(None)') AS schema_name, t.name AS trigger_name, left(type_desc, 3) AS kind,
       CASE WHEN is_ms_shipped = 1 THEN 'X' ELSE ' ' END AS is_ms, CASE WHEN is_disabled = 0 THEN 'X' ELSE ' ' END AS is_on,
       CASE WHEN is_not_for_replication = 0 THEN 'X' ELSE ' ' END AS is_replicated,
-      left(CASE WHEN parent_class = 0 THEN left(g.event_group, 40)
-        ELSE CASE WHEN is_instead_of_trigger = 1 THEN 'Instead Of ' ELSE 'After ' END || left(events, 60) END, 60) AS event
+      CASE WHEN parent_class = 0 THEN g.event_group
+        ELSE CASE WHEN is_instead_of_trigger = 1 THEN 'Instead Of ' ELSE 'After ' END || events END AS event
     FROM triggers t LEFT JOIN listed e ON e.object_id = t.object_id
-    LEFT JOIN (SELECT object_id, MIN(event_group_type_desc) AS event_group FROM trigger_events GROUP BY object_id) g ON g.object_id = t.object_id
+    LEFT JOIN (SELECT object_id, string_agg(DISTINCT event_group_type_desc, ', ' ORDER BY event_group_type_desc) AS event_group FROM trigger_events GROUP BY object_id) g ON g.object_id = t.object_id
     LEFT JOIN trigger_parents o ON o.object_id = t.parent_id
     LEFT JOIN schemas s ON s.schema_id = o.schema_id
     """,

@@ -32,12 +32,10 @@ ADAPTERS: dict[str, str] = {
         destination_database_name, case o_orderstatus when 'F' then 'D' when 'O' then 'V' else 'L' end as
         restore_type, o_orderdate as restore_date, 'user' || (o_custkey % 10) as user_name
         from orders
-        where o_orderpriority in ('1-URGENT', '2-HIGH')
     """,
     "restorefile": """
         select l_orderkey as restore_history_id, 'f' || l_partkey as destination_phys_name
         from lineitem
-        where l_linenumber = 1
     """,
     "files": """
         select cast(floor(p_partkey / 3) as bigint) as database_id, p_partkey % 3 as file_id, case when p_partkey %
@@ -73,11 +71,10 @@ ADAPTERS: dict[str, str] = {
         group by l_partkey
     """,
     "index_usage": """
-        select cast(floor(l_partkey / 8) as bigint) as object_id, l_partkey % 8 as index_id, l_suppkey as
+        select cast(floor(l_partkey / 8) as bigint) as object_id, l_partkey % 7 as index_id, l_suppkey as
         database_id, l_shipdate as last_user_seek, case when l_returnflag = 'A' then l_shipdate end as
         last_user_scan
         from lineitem
-        where l_quantity > 48
     """,
     "index_keys": """
         select distinct cast(floor(l_partkey / 8) as bigint) as object_id, l_partkey % 8 as index_id, l_linenumber
@@ -114,7 +111,7 @@ ADAPTERS: dict[str, str] = {
         select event_id as session_id, case when cast(regexp_extract(props, '([0-9]+)', 1) as int) % 3 = 0 then
         event_id - event_id % 10 else 0 end as blocking_session_id, event_type as status, cast(round(value * 100) as
         bigint) as total_elapsed_time, cast(floor(round(value * 100) / 3) as bigint) as cpu_time, user_id as
-        database_id, event_id % 200 as sql_handle, ts as start_time, cast(regexp_extract(props, '([0-9]+)', 1) as
+        database_id, event_id as sql_handle, ts as start_time, cast(regexp_extract(props, '([0-9]+)', 1) as
         int) as open_tran
         from events
     """,
@@ -123,7 +120,7 @@ ADAPTERS: dict[str, str] = {
         from documents
     """,
     "query_stats": """
-        select user_id as plan_handle, user_id % 200 as sql_handle, count(*) as execution_count,
+        select user_id as plan_handle, user_id as sql_handle, count(*) as execution_count,
         sum(cast(round(value * 100) as bigint)) * 1000 as total_elapsed_time, sum(cast(round(value * 100) as
         bigint)) * 300 as total_worker_time, sum(event_id) as total_logical_reads
         from events
@@ -179,7 +176,7 @@ ADAPTERS: dict[str, str] = {
         where l_quantity = 50
     """,
     "jobs": """
-        select p_partkey as job_id, case when p_partkey % 50 = 0 then 'BCS' || p_partkey else 'job' || p_partkey end
+        select p_partkey as job_id, case when p_partkey % 50 = 0 then 'own' || p_partkey else 'job' || p_partkey end
         as name, p_partkey % 110 as owner_sid, case when p_partkey % 9 = 0 then 0 else 1 end as enabled, case when
         p_partkey % 13 = 0 then 100 else 0 end as category_id
         from part
@@ -187,7 +184,6 @@ ADAPTERS: dict[str, str] = {
     "repl_history": """
         select l_suppkey as agent_id, l_orderkey as xact_seqno, l_shipdate as time, l_linenumber as runstatus
         from lineitem
-        where l_quantity > 40
     """,
     "repl_commands": """
         select o_orderkey as xact_seqno, o_custkey % 50 as article_id
@@ -383,7 +379,7 @@ ADAPTERS.update({
     "os_tasks": "select event_id as task_address, event_id % 16 as scheduler_id from events where event_type <> 'signup'",
     "user_sessions": "select event_id as session_id, case when event_type = 'error' then 0 else 1 end as is_user_process from events",
     "request_offsets": """
-        select event_id as session_id, user_id as database_id, event_id % 200 as sql_handle,
+        select event_id as session_id, user_id as database_id, event_id as sql_handle,
         cast(round(value * 100) as bigint) as total_elapsed_time, cast(floor(round(value * 100) / 3) as bigint) as cpu_time,
         (event_id % 50) * 2 as statement_start_offset,
         case when event_id % 3 = 0 then -1 else (event_id % 50) * 2 + (event_id % 90) * 2 end as statement_end_offset
@@ -391,7 +387,7 @@ ADAPTERS.update({
     """,
     "progress_requests": """
         select event_id as session_id, case event_type when 'click' then 'BACKUP DATABASE' when 'view' then 'DBCC'
-        else event_type end as command, event_id % 200 as sql_handle, user_id % 100 as percent_complete, ts as start_time,
+        else event_type end as command, event_id as sql_handle, user_id % 100 as percent_complete, ts as start_time,
         event_id * 1500 as estimated_completion_time
         from events
     """,
@@ -546,7 +542,7 @@ ADAPTERS.update({
     "idx_index_columns": """
         select distinct cast(floor(l_partkey / 8) as bigint) as object_id, l_partkey % 8 as index_id, l_linenumber as column_id,
         l_linenumber % 3 as key_ordinal, 0 as partition_ordinal
-        from lineitem where l_quantity > 45
+        from lineitem
     """,
     "fg_state": "select r_regionkey as data_space_id, case when r_regionkey = 2 then 1 else 0 end as is_read_only from region",
     "resumable_ops": """

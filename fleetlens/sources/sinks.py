@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def report_batch(
         except Exception as failure:  # one failing report must not lose the others
             if stop_on_error:
                 raise
-            outcome, error = "Failed", str(failure).splitlines()[0]
+            outcome, error = "Failed", str(failure) or type(failure).__name__
         log.append((name, kind, path, started, datetime.now(timezone.utc), outcome, error))
     frame = spark.createDataFrame(log, RUN_LOG_SCHEMA)
     frame.write.mode("append").parquet(f"{out_dir.rstrip('/')}/_run_log")
@@ -88,7 +89,8 @@ def _overwrite_partitions(df: DataFrame, table: str) -> None:
 
 
 def retention_rewrite(spark: SparkSession, table: str, ts_column: str, date_column: str, as_of, keep_days: int = 42) -> None:
-    """Apply the retention in place to a catalog table partitioned by ``date_column``.
+    """Apply the retention in place to a catalog table partitioned by ``date_column``,
+    alone or with other columns (such as a server before it).
 
     Partitions older than the cut-off day are dropped without reading them; only
     the partition that holds the cut-off is rewritten (dynamic overwrite).
@@ -98,13 +100,23 @@ def retention_rewrite(spark: SparkSession, table: str, ts_column: str, date_colu
     cut_day = str(spark.range(1).select(cut.cast("date").cast("string")).first()[0])
     edge = spark.table(table).filter(F.col(date_column) == F.lit(cut_day).cast("date"))
     kept = retention_prune(edge, ts_column, as_of, keep_days).checkpoint()
-    if kept.isEmpty():
-        drop_through = cut_day
-    else:
-        drop_through = None
+    # one entry per day (and server) of history, not per row
+    specs = [
+        [(k, unquote(v)) for k, _, v in (part.partition("=") for part in spec.split("/"))]
+        for (spec,) in spark.sql(f"SHOW PARTITIONS {table}").collect()
+    ]
+    if not specs:
+        return
+    columns = [k for k, _ in specs[0]]
+    still = {tuple(map(str, r)) for r in kept.select(columns).distinct().collect()}
+    if still:
         _overwrite_partitions(kept, table)
-    # one entry per day of history, not per row
-    for (spec,) in spark.sql(f"SHOW PARTITIONS {table}").collect():
-        day = spec.split("=", 1)[1]
-        if day < cut_day or day == drop_through:
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({date_column} = DATE'{day}')")
+    for spec in specs:
+        day = dict(spec)[date_column]
+        if day < cut_day or (day == cut_day and tuple(v for _, v in spec) not in still):
+            values = ", ".join(f"{k} = '{_escaped(v)}'" for k, v in spec)
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({values})")
+
+
+def _escaped(value: str) -> str:
+    return value.replace("\\", "\\\\").replace("'", "\\'")

@@ -20,10 +20,13 @@ from fleetlens.session import scratch
 def run_to_table(stream: DataFrame, mode: str = "append", label: str = "stream") -> DataFrame:
     """Process all available input and return what the sink holds.
 
-    Append results go to a file sink.  Complete and update results replace the
-    table of the last batch through ``foreachBatch``; writing the same batch
-    again after a failure gives the same table.
+    Append results go to a file sink.  Complete results replace the table of the
+    last batch through ``foreachBatch``; writing the same batch again after a
+    failure gives the same table.  Update mode would lose the rows that a batch
+    does not touch, and is refused.
     """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"no table can be kept from output mode {mode!r}: use append or complete")
     spark = stream.sparkSession
     base = scratch(spark, label)
     out = f"{base}/out"

@@ -161,18 +161,18 @@ def test_schedule_texts(spark, fields, expected):
         [(1, 1, "s", 1, kind, interval, factor, sub, every, relative, 20240305, 99991231, 130500, 233000)], SCHED
     )
     logins = spark.createDataFrame([(1, "sa")], "sid int, name string")
-    got = history.schedule_description(jobs, sched, logins).first()
+    got = history.schedule_description(jobs, sched, logins, own_prefix="own").first()
     assert (got["schedule"], got["start_date"], got["end_date"], got["job_owner"]) == (expected, "05/03/2024 1:05 PM", "No end date", "sa")
 
 
 def test_schedule_of_disabled_unscheduled_and_excluded_jobs(spark):
     jobs = spark.createDataFrame(
-        [(1, "off", 1, 0, 0), (2, "free", 1, 1, 0), (3, "BCS x", 1, 1, 0), (4, "syspolicy_purge_history", 1, 1, 0), (5, "report", 1, 1, 100)],
+        [(1, "off", 1, 0, 0), (2, "free", 1, 1, 0), (3, "own x", 1, 1, 0), (4, "syspolicy_purge_history", 1, 1, 0), (5, "report", 1, 1, 100)],
         "job_id long, name string, owner_sid int, enabled int, category_id int",
     )
     sched = spark.createDataFrame([(1, 1, "s", 1, 4, 1, 1, 1, 0, 0, 20240305, 99991231, 0, 0)], SCHED)
     logins = spark.createDataFrame([(9, "sa")], "sid int, name string")
-    assert rows(history.schedule_description(jobs, sched, logins), "job_name", "schedule") == [("free", "Unscheduled"), ("off", "Job is disabled")]
+    assert rows(history.schedule_description(jobs, sched, logins, own_prefix="own"), "job_name", "schedule") == [("free", "Unscheduled"), ("off", "Job is disabled")]
 
 
 def test_shared_schedule_through_link(spark):
@@ -454,3 +454,75 @@ def test_exclusion_only_removes(spark, include, exclude):
     names = lambda text: {r["name"] for r in selection.select_by_patterns(items, text).collect()}
     excluded = ",".join(f"-{e}" for e in exclude.split(","))
     assert names(f"{include},{excluded}") == names(include) - names(exclude)
+
+
+def test_large_counters_do_not_overflow(spark):
+    stats = spark.createDataFrame(
+        [(1, 1, 1, 5_000_000_000, 8_000_000_000_000_000, "x"), (2, 1, 1, 1000, 8_000_000_000_000_000, "x")],
+        "statistics_id int, index_id int, index_type int, modification_counter long, row_count long, action string",
+    )
+    got = maintenance.statistics_update_plan(stats, modification_level=50)
+    assert rows(got, "statistics_id", "update_statistics") == [(1, "Y"), (2, "N")]
+
+
+def test_update_mode_is_refused(spark):
+    from fleetlens.streaming.operators import run_to_table
+
+    with pytest.raises(ValueError):
+        run_to_table(spark.range(1), mode="update")
+
+
+def test_partly_tagged_frames_are_refused(spark):
+    from fleetlens.functions.fleet import DATABASE, shared_keys, with_database_name
+
+    usage = spark.createDataFrame([(1, 7)], "database_id int, object_id int")
+    indexes = spark.createDataFrame([("a", 7), ("b", 7)], "database_name string, object_id int")
+    with pytest.raises(ValueError):
+        shared_keys(usage, indexes, scope=DATABASE)
+    named = with_database_name(usage, spark.createDataFrame([(1, "a"), (2, "b")], "database_id int, name string"))
+    assert shared_keys(named, indexes, scope=DATABASE) == ["database_name"]
+
+
+def test_last_name_part_keeps_brackets(spark):
+    from fleetlens.functions.tsql import last_name_part
+
+    names = spark.createDataFrame([("[db].[dbo].[a.b]",), ("db.dbo.t",), ("[x].[y]]z]",), ("t",)], "n string")
+    assert [r[0] for r in names.select(last_name_part("n")).collect()] == ["a.b", "t", "y]z", "t"]
+
+
+def test_plans_with_gaps_are_kept(spark):
+    hint = '<QueryPlan><MissingIndexes><MissingIndexGroup Impact="9"><MissingIndex\nDatabase="[d]" Schema="[s]" Table="[t]">{}</MissingIndex></MissingIndexGroup></MissingIndexes></QueryPlan>'
+    group = '<ColumnGroup Usage="EQUALITY"><Column Name="[a]"/></ColumnGroup>'
+    plan = (
+        '<ShowPlanXML><BatchSequence><Batch><Statements></Statements></Batch><Batch><Statements><StmtCond/></Statements>'
+        f'<Statements><StmtSimple StatementText="one">{hint.format(group)}</StmtSimple></Statements></Batch>'
+        f'<Batch><Statements><StmtSimple StatementText="two">{hint.format("")}</StmtSimple></Statements></Batch></BatchSequence></ShowPlanXML>'
+    )
+    plans = spark.createDataFrame([(1, plan)], "plan_handle int, query_plan string")
+    stats = spark.sql("select 1 as plan_handle, timestamp_ntz'2024-01-01' as creation_time, 1L as execution_count, 1L as total_worker_time, 1L as last_elapsed_time")
+    got = storage.missing_index_from_plans(stats, plans)
+    assert sorted(r["sql_text"] for r in got.collect()) == ["one", "two"]
+
+
+def test_all_key_columns_and_whole_names(spark):
+    keys = spark.createDataFrame([(1, 1, n, f"c{n:02}") for n in range(1, 21)], "object_id int, index_id int, keyno int, col string")
+    got = storage.index_key_pivot(keys).first()
+    assert got["key_columns"] == [f"c{n:02}" for n in range(1, 21)] and got["col16"] == "c16"
+
+
+def test_retention_with_server_partitions(spark, tmp_path):
+    from datetime import datetime
+
+    from fleetlens.sources.sinks import retention_rewrite
+
+    spark.sql(
+        "create table kept_history (id int, ts timestamp_ntz, server_name string, day date) using parquet"
+        f" partitioned by (server_name, day) location '{tmp_path}/kept_history'"
+    )
+    spark.sql(
+        "insert into kept_history select id, ts, s, cast(ts as date) from values (1, timestamp_ntz'2024-01-01 10:00:00', 'a'), (2, timestamp_ntz'2024-02-10 10:00:00', 'a'),"
+        " (3, timestamp_ntz'2024-02-10 20:00:00', 'b'), (4, timestamp_ntz'2024-03-01 00:00:00', 'b') as t(id, ts, s)"
+    )
+    retention_rewrite(spark, "kept_history", "ts", "day", datetime(2024, 3, 1, 12), keep_days=20)
+    assert sorted(r["id"] for r in spark.table("kept_history").collect()) == [3, 4]
+    spark.sql("drop table kept_history")
