@@ -143,12 +143,12 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     source, null and empty texts have no words and leave the mix.
     """
     key = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": words_in(F.col("text")), "_hash": F.xxhash64("text")}
-    taken = copies(_units(docs, key), seed).where("copies > 0").select(*[F.col(f"unit.{n}").alias(f"_u{i}") for i, n in enumerate([*key, "k"])], "copies")
+    taken = copies(_units(docs, key), seed).where("copies > 0").select(*[F.col(f"unit.{n}").alias(f"_u{i}") for i, n in enumerate([*key, "k"])], F.col("copies").alias("_copies"))
     keyed = docs.select(*[F.col(c) for c in docs.columns], *[c.alias(f"_k{i}") for i, c in enumerate(key.values())])
     keyed = keyed.withColumn("_k4", F.row_number().over(Window.partitionBy("_k0", "_k3", "_k1", "_k2").orderBy(F.lit(1))).cast("long"))
     same = [F.col(f"_k{i}").eqNullSafe(F.col(f"_u{i}")) for i in range(5)]
     both = keyed.join(taken, same)
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ whole text by the best set of spans that do not meet.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -301,8 +300,8 @@ def listed(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def sha256_of(spans: list[Span]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+def _same(kind: str):
+    return lambda c: c == kind
 
 
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:
@@ -310,7 +309,7 @@ def op5_personal_data(spark, sf_dir: str) -> DataFrame:
     found = find(docs, fit(docs), ["doc_id"])
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(F.filter(F.transform("base", lambda s: s["kind"]), _same(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"),

@@ -1,0 +1,106 @@
+"""Defined results for nulls, empty and long texts, repeated rows, empty tables and
+clashing columns, for every operator and pipeline stage."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from fleetlens.llm import chat, decontaminate, language, licenses, mixing, pii, pitman_yor, quality, simhash, token_counts
+
+ITEMS = "item_id long, text string"
+
+
+def by_id(df, *columns):
+    return {r[0]: tuple(r)[1:] for r in df.select("doc_id", *columns).collect()}
+
+
+def test_decontaminate(spark, odd, empty):
+    whole = odd.where("doc_id = 9").first()["text"]
+    items = spark.createDataFrame([(1, " ".join(whole.split()[5:40])), (1, " ".join(whole.split()[5:40])), (2, None), (3, ""), (4, "not here at all said nobody ever"), (5, "a")], ITEMS)
+    found = {r["item"] for r in decontaminate.find_items(odd, items).collect()}
+    assert found == {1, 5} or found == {1}
+    kept = decontaminate.keep_clean(odd, items.where("item_id < 5"))
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 1
+    assert decontaminate.find_items(empty, items).count() == 0
+    assert decontaminate.find_items(odd, items.where("item_id in (2, 3)")).count() == 0
+
+
+def test_mixing(odd, empty):
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns
+    assert out.where("text is null or trim(text) = ''").count() == 0
+    assert mixing.mixed(empty).count() == 0
+    assert sorted(map(str, mixing.mixed(odd).select("doc_id").collect())) == sorted(map(str, out.select("doc_id").collect()))
+
+
+def test_scores(odd, empty):
+    model, table = pitman_yor.fit(odd)
+    got = by_id(pitman_yor.scored(odd, model, table, ["doc_id"]), "n_tokens", "n_known", "score")
+    assert got[3][:2] == (1, 1) and got[4][0] == 1 and got[6][0] == 30_001
+    assert pitman_yor.scored(odd, model, table, ["doc_id"]).count() == odd.count()
+    model, table = pitman_yor.fit(empty)
+    assert all(r["n_known"] == 0 for r in pitman_yor.scored(odd, model, table, ["doc_id"]).collect())
+    assert pitman_yor.scored(empty, model, table, ["doc_id"]).count() == 0
+
+
+def test_token_counts(odd, empty):
+    got = by_id(token_counts.counted(odd, ["doc_id"]), "n_tokens")
+    assert got[3] == (0,) and got[4] == (0,) and got[7] == (1,)
+    assert token_counts.counted(empty, ["doc_id"]).count() == 0
+
+
+def test_personal_data(odd, empty):
+    tagger = pii.fit(odd)
+    got = by_id(pii.find(odd, tagger, ["doc_id"]), "base")
+    assert got[3] == ([],) and [s["kind"] for s in got[9][0]] == ["email"]
+    out = pii.redacted(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert "[EMAIL]" in by_id(out, "text")[9][0] and by_id(out, "text")[3] == (None,)
+    assert pii.redacted(empty).count() == 0
+
+
+def test_language(odd, empty):
+    got = by_id(language.predicted(odd, language.fit(odd), ["doc_id"]), "lang_pred", "score")
+    assert got[3] == ("und", 0.0) and got[5] == ("und", 0.0) and got[1][0] == "en"
+    assert by_id(language.predicted(odd, language.fit(empty), ["doc_id"]), "lang_pred")[1] == ("und",)
+    assert language.predicted(empty, language.fit(odd), ["doc_id"]).count() == 0
+
+
+def test_simhash(odd, empty):
+    printed = simhash.fingerprints(odd, keep=["doc_id"])
+    got = by_id(simhash.near_duplicates(printed), "fingerprint", "component_id")
+    assert got[3] == (0, 3) and got[4] == (0, 3) and got[1][1] == got[2][1] == 1
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id in (1, 2)").count() == 1 and kept.where("doc_id in (3, 4, 5)").count() == 1
+    assert kept.where("doc_id is null").count() == 1
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_licenses(spark, odd, empty):
+    docs = spark.createDataFrame([(1, "Licensed under the Apache License,\nVersion 2.0. CC-BY"), (2, None), (3, "all rights, reserved. All Rights Reserved"), (4, "der mit under the license apache licensed")], "doc_id long, text string")
+    got = by_id(licenses.scan(docs, ["doc_id"]), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
+    assert got[1] == (10, 1, 8, 8, ["cc-by"], ["apache", "cc-by"])
+    assert got[2] == (0, 0, None, None, [], []) and got[3] == (6, 2, 0, 3, ["reserved"], ["reserved"]) and got[4][5] == []
+    assert licenses.scan(odd, ["doc_id"]).count() == odd.count()
+    assert licenses.scan(empty, ["doc_id"]).count() == 0
+
+
+def test_quality(odd, empty):
+    kept = quality.keep_good(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id in (3, 4, 5, 7)").count() == 0
+    assert quality.keep_good(empty).count() == 0
+
+
+def test_chat(spark):
+    rows = spark.createDataFrame([(1, 0, "user", None), (1, None, None, "x <|im_end|> \\[ <"), (None, 0, "assistant", "y"), (1, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    out = {r["conv_id"]: r for r in chat.digests(chat.formatted(chat.canonical_turns(chat.records_of_rows(rows)))).collect()}
+    assert out[1]["n_turns"] == 3 and out[None]["loss_chars"] == 1
+    assert chat.digests(chat.formatted(chat.canonical_turns(chat.records_of_rows(rows.limit(0))))).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_rows(spark, small_dir, odd, empty, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    for docs in (odd, empty):
+        out = stage(spark, docs, small_dir)
+        assert out.columns == docs.columns and out.agg(F.count(F.lit(1))).first()[0] >= 0
