@@ -113,7 +113,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = SAM
     """A model from about ``most`` rows of ``docs`` at most, the same share of the languages
     each, drawn by a hash of the text; rows without language or text are not used.
 
-    A language with fewer rows gives all of them."""
+    A language with fewer rows gives all of them.  Equal texts of a language are drawn as
+    one, so a text with many copies cannot fill the sample."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, F.col(lang).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     each = most / max(len(sizes), 1)
@@ -121,6 +122,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = SAM
     for k, n in sizes.items():
         share = F.when(F.col("lang") == k, min(1.0, each / n)).otherwise(share)
     drawn = rows.where(F.pmod(F.xxhash64(text, F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = drawn.dropDuplicates([text, "lang"])
     counted = count_words(drawn, text, {"lang": F.col("lang")}, lambda b: map(str.encode, words_of(b.decode("utf-8", "replace"))))
     counts: dict[str, Counter] = {k: Counter() for k in sorted(sizes)}
     for r in counted.toLocalIterator():
