@@ -28,11 +28,13 @@ _WHAT = dict(averages=("avg_cpu_centi", "avg_data_io"), peaks=("storage_in_megab
     _SHAPE,
     f"""
     SELECT time_bucket(INTERVAL 5 MINUTE, end_time) AS window_start, time_bucket(INTERVAL 5 MINUTE, end_time) + INTERVAL 5 MINUTE AS window_end, {_MEASURES}
-    FROM resource_stats GROUP BY ALL
+    FROM resource_stats
+    WHERE time_bucket(INTERVAL 5 MINUTE, end_time) + INTERVAL 5 MINUTE <= (SELECT MAX(end_time) - INTERVAL 10 MINUTE FROM resource_stats)
+    GROUP BY ALL
     """,
 )
 def stream_resource_tumbling(t):
-    return op.run_to_table(op.stream_resource_tumbling(t.stream("resource_stats"), **_WHAT), "complete")
+    return op.run_to_table(op.stream_resource_tumbling(t.stream("resource_stats"), **_WHAT))
 
 
 @query(
@@ -41,11 +43,13 @@ def stream_resource_tumbling(t):
     SELECT s AS window_start, s + INTERVAL 1 HOUR AS window_end, {_MEASURES} FROM (
       SELECT *, unnest([time_bucket(INTERVAL 15 MINUTE, end_time), time_bucket(INTERVAL 15 MINUTE, end_time) - INTERVAL 15 MINUTE,
         time_bucket(INTERVAL 15 MINUTE, end_time) - INTERVAL 30 MINUTE, time_bucket(INTERVAL 15 MINUTE, end_time) - INTERVAL 45 MINUTE]) AS s
-      FROM resource_stats) GROUP BY ALL
+      FROM resource_stats)
+    WHERE s + INTERVAL 1 HOUR <= (SELECT MAX(end_time) - INTERVAL 10 MINUTE FROM resource_stats)
+    GROUP BY ALL
     """,
 )
 def stream_resource_sliding(t):
-    return op.run_to_table(op.stream_resource_sliding(t.stream("resource_stats"), **_WHAT), "complete")
+    return op.run_to_table(op.stream_resource_sliding(t.stream("resource_stats"), **_WHAT))
 
 
 _BUCKET = "time_bucket(INTERVAL 1 HOUR, start_time)"
@@ -56,7 +60,7 @@ _BUCKET = "time_bucket(INTERVAL 1 HOUR, start_time)"
     f"""
     SELECT {_BUCKET} AS window_start, {_BUCKET} + INTERVAL 1 HOUR AS window_end, database_name, event_subtype, COUNT(*) AS failures FROM event_log
     WHERE event_type = 'connection_failed'
-      AND {_BUCKET} + INTERVAL 1 HOUR <= (SELECT MAX(start_time) - INTERVAL 10 MINUTE FROM event_log WHERE event_type = 'connection_failed')
+      AND {_BUCKET} + INTERVAL 1 HOUR <= (SELECT MAX(start_time) - INTERVAL 10 MINUTE FROM event_log)
     GROUP BY ALL
     """,
 )

@@ -72,10 +72,30 @@ def test_last_backup_keeps_the_latest(spark, tmp_path):
     assert rows(got, "database_name", "last_backup") == [("a", at(hours=3)), ("b", at())]
 
 
-def test_sliding_windows_equal_batch(spark, tmp_path):
-    schema = "sku string, database_name string, end_time timestamp, cpu long, mb long"
+def test_events_of_other_types_close_a_window(spark, tmp_path):
+    schema = "database_name string, start_time timestamp, event_type string, event_subtype int"
+    batches = [[("d", at(minutes=5), "connection_failed", 4)], [("d", at(hours=5), "connection_successful", 0)]]
+    got = op.run_to_table(op.stream_connection_failures(stream_of(spark, tmp_path, batches, schema)))
+    assert rows(got, "window_start", "failures") == [(at(), 1)]
+
+
+RESOURCES = "sku string, database_name string, end_time timestamp, cpu long, mb long"
+
+
+def test_closed_sliding_windows_equal_batch(spark, tmp_path):
     data = [("s", "d", at(minutes=7 * n), n, n) for n in range(40)]
-    stream = stream_of(spark, tmp_path, [data[:20], data[20:]], schema)
-    got = op.run_to_table(op.stream_resource_sliding(stream, averages=("cpu",), peaks=("mb",)), "complete")
-    batch = spark.createDataFrame(data, schema).groupBy(F.window("end_time", "1 hour", "15 minutes").alias("w")).agg(F.sum("cpu").alias("s"), F.max("mb").alias("m"))
-    assert rows(got, "window_start", "sum_cpu", "max_mb") == rows(batch, "w.start", "s", "m")
+    stream = stream_of(spark, tmp_path, [data[:20], data[20:]], RESOURCES)
+    got = op.run_to_table(op.stream_resource_sliding(stream, averages=("cpu",), peaks=("mb",)))
+    batch = spark.createDataFrame(data, RESOURCES).groupBy(F.window("end_time", "1 hour", "15 minutes").alias("w")).agg(F.sum("cpu").alias("s"), F.max("mb").alias("m"))
+    closed = batch.filter(F.col("w.end") <= F.lit(at(minutes=7 * 39 - 10)))
+    assert rows(got, "window_start", "sum_cpu", "max_mb") == rows(closed, "w.start", "s", "m")
+
+
+def test_closed_windows_leave_the_state(spark, tmp_path):
+    batches = [[("s", "d", at(hours=2 * n, minutes=m), n, n) for m in (0, 30)] for n in range(8)]
+    live = op.stream_resource_sliding(stream_of(spark, tmp_path, batches, RESOURCES), averages=("cpu",), peaks=("mb",))
+    run = live.writeStream.outputMode("append").format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    # six windows a batch: what is held does not add up
+    assert len(held) >= 8 and max(held) <= 12 and held[-1] <= 6
