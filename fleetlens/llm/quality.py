@@ -24,12 +24,22 @@ MIN_WORDS = 50  # fewer words say too little: such a document fails
 MAX_REPEATED = 50  # per cent of the words that may stand in repeated windows
 MAX_CLASS_DISTANCE = 0.27
 MAX_WORD_DISTANCE = 0.50
+PLACES = (1 << 31) - 1  # lower bits of a hash that give way to the place of its window
 
 
 def _left(text: Column, drop: str) -> Column:
     return F.length(F.regexp_replace(text, drop, "")).cast("long")
 
 
+def _met(placed: Column) -> Column:
+    """Places whose upper hash bits a neighbour of the sorted ``placed`` has too: those of
+    all repeated windows, and a few more that the texts of the windows tell apart."""
+    last = F.size(placed) - 1
+    same = lambda k, x: F.get(placed, k).bitwiseXOR(x).bitwiseAND(F.lit(~PLACES)) == 0
+    met = F.filter(placed, lambda x, k: ((k > 0) & same(k - 1, x)) | ((k < last) & same(k + 1, x)))
+    return F.transform(met, lambda x: x.bitwiseAND(F.lit(PLACES)).cast("int"))
+
+
 def _repeated(windows: Column) -> Column:
     """Words covered by windows of three that occur twice or more.
 
@@ -48,20 +58,18 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     counted = docs.withColumn("_words", native_words(F.col(text)))
     n = F.size("_words")
-    windows = F.when(
-        n >= 3,
-        F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    counted = counted.withColumn("_windows", windows)
-    pairs = F.sort_array(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    window = lambda f: lambda i: f(*[F.get("_words", i + k) for k in range(3)])
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), window(F.xxhash64))
+    counted = counted.withColumn("_windows", F.when(n >= 3, hashes).otherwise(F.array().cast("array<bigint>")))
+    # most texts repeat no window, which their hashes tell; in others places are sorted by hash
+    placed = F.sort_array(F.transform("_windows", lambda h, i: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(i.cast("long"))))
     counted = counted.withColumn(
         "_windows",
-        F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs).otherwise(
-            F.array().cast("array<struct<w:string,i:int>>")
-        ),
+        F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), placed).otherwise(F.array().cast("array<bigint>")),
+    ).withColumn("_windows", _met(F.col("_windows")))
+    texts = window(lambda *w: F.concat_ws(" ", *w))
+    counted = counted.withColumn(
+        "_windows", F.sort_array(F.transform("_windows", lambda i: F.struct(texts(i).alias("w"), i.alias("i"))))
     ).withColumn("_places", _repeated(F.col("_windows")))
     covered = F.transform("_places", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_places", k + 1) - p, F.lit(3))))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
@@ -73,9 +81,16 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("long"),
             "_lines": lines,
             "_tokens": F.array_remove(F.split(F.lower(t), "[^\\p{L}]+"), ""),
-            "_upper": _left(t, "[^\\p{Lu}]+"),
-            "_digit": _left(t, "[^\\p{Nd}]+"),
-            "_mark": _left(t, "[^.,;:!?'\"()-]+"),
+            # one pass over the text leaves the few characters of the next three classes
+            "_few": F.regexp_replace(t, "[^\\p{Lu}\\p{Nd}.,;:!?'\"()-]+", ""),
+        }
+    )
+    few = F.col("_few")
+    counted = counted.withColumns(
+        {
+            "_upper": _left(few, "[^\\p{Lu}]+"),
+            "_digit": _left(few, "[^\\p{Nd}]+"),
+            "_mark": _left(few, "[^.,;:!?'\"()-]+"),
         }
     )
     size = F.length(t).cast("long")
