@@ -15,7 +15,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.text import fixed, small_side, text_key
+from fleetlens.llm.text import fixed, small_side, text_key, with_facts
 
 # fixed values: phrases that are looked up as they stand, and their labels
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -99,7 +99,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", threshold: float
     shared = F.size(F.array_intersect("b", "ranks"))
     verified = met.where(shared >= F.col("need")).select("_ka", "_kb", "label", (shared / F.size("ranks")).alias("share"))
     labelled = verified.groupBy("_ka", "_kb").agg(F.collect_set("label").alias("_more"), F.max("share").alias("_share"))
-    out = found.drop("_words").join(labelled, ["_ka", "_kb"], "left")
+    out = with_facts(found.drop("_words"), fixed(labelled), ["_ka", "_kb"], keep)
     n_base = F.size(every).cast("long")
     return out.select(
         *keep,

@@ -91,3 +91,16 @@ def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df`` (narrow rows, already fixed), marked for broadcast if it has at most ``most``
     rows; beyond that the join is left to shuffle."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: list[str], spread: list[str], most: int = 200_000, parts: int = 16) -> DataFrame:
+    """Left join of ``rows`` and ``facts`` (narrow, already fixed, one row a key).
+
+    At most ``most`` facts are broadcast.  Beyond that every fact goes to ``parts`` places
+    and a row to one of them by the hash of ``spread``, so the rows of a hot key are dealt
+    over as many tasks."""
+    if facts.count() <= most:
+        return rows.join(F.broadcast(facts), key, "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
+    copies = facts.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(parts)])))
+    return salted.join(copies, [*key, "_salt"], "left").drop("_salt")

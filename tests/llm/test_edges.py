@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetlens.llm import chat, decontaminate, language, licenses, mixing, pii, pitman_yor, quality, simhash, token_counts
+from fleetlens.llm.text import with_facts
 
 ITEMS = "item_id long, text string"
 
@@ -85,6 +86,15 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 10])
+def test_facts_of_hot_keys(spark, most):
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(90)] + [(None, None)], "doc_id long, k long")
+    facts = spark.createDataFrame([(7, "hot"), (3, "three"), (8, "none")], "k long, fact string")
+    got = by_id(with_facts(rows, facts, ["k"], ["doc_id"], most=most), "fact")
+    assert len(got) == 91 and got[1] == ("hot",) and got[3] == ("three",) and got[6] == (None,) and got[None] == (None,)
+    assert sum(v == ("hot",) for v in got.values()) == 60
+
+
 def test_quality(odd, empty):
     kept = quality.keep_good(odd)
     assert kept.columns == odd.columns and kept.where("doc_id in (3, 4, 5, 7)").count() == 0
