@@ -77,6 +77,29 @@ def test_simhash(odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_stage_keeps_one_of_near_copies(spark):
+    import random
+
+    rng, texts = random.Random(5), []
+    for i in range(60):
+        text = [f"w{rng.randrange(4000)}" for _ in range(150)]
+        texts.append(text)
+        for n in (1, 2, 4, 8)[: i % 5]:
+            copy = list(texts[-1] if i % 2 else text)
+            for at in rng.sample(range(150), n):
+                copy[at] = f"other{rng.random()}"
+            texts.append(copy)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    least = list(range(len(sets)))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(9):
+        for i, j in near:
+            least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept == set(least) and len(kept) < len(texts) - 20
+
+
 def test_licenses(spark, odd, empty):
     docs = spark.createDataFrame([(1, "Licensed under the Apache License,\nVersion 2.0. CC-BY"), (2, None), (3, "all rights, reserved. All Rights Reserved"), (4, "der mit under the license apache licensed")], "doc_id long, text string")
     got = by_id(licenses.scan(docs, ["doc_id"]), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
