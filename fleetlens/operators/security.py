@@ -69,11 +69,11 @@ def user_permission_audit(
     ).withColumns({**user, "role_name": F.lit(None).cast("string")})
     roles = _names(principals, k, "role_principal_id", "role_name")
     members = role_members.select(*k, "role_principal_id", F.col("member_principal_id").alias("principal_id")).join(roles, [*k, "role_principal_id"])
-    through = described(
-        members.join(people, [*k, "principal_id"]).join(
-            grants.withColumnRenamed("grantee_principal_id", "role_principal_id"), [*k, "role_principal_id"], "left"
-        )
-    ).withColumns(user)
+    # a role's grants are named once, not for each member
+    role_grants = described(grants.withColumnRenamed("grantee_principal_id", "role_principal_id")).select(
+        *k, "role_principal_id", "permission_name", "state_desc", "object_type", "object_name", "column_name"
+    ).distinct()
+    through = members.join(people, [*k, "principal_id"]).join(role_grants, [*k, "role_principal_id"], "left").withColumns(user)
     everyone = F.lit("{All Users}")
     own_objects = objects.filter(F.col("is_ms_shipped") == 0) if has(objects, "is_ms_shipped") else objects
     public = (

@@ -588,15 +588,12 @@ ADAPTERS.update({
         union all select s_suppkey, -1 - (s_nationkey + 7) % 20 from supplier where s_acctbal > 5000
     """,
     "db_permissions": """
-        select l_suppkey as grantee_principal_id, l_partkey as major_id, l_linenumber % 3 as minor_id,
-        case l_returnflag when 'A' then 'SELECT' when 'N' then 'CONNECT' else 'EXECUTE' end as permission_name,
+        select distinct case when l_orderkey % 2 = 0 then l_suppkey else -1 - l_suppkey % 25 end as grantee_principal_id, l_partkey as major_id,
+        l_linenumber % 3 as minor_id,
+        case l_returnflag when 'A' then 'SELECT' when 'R' then 'EXECUTE' else case when l_orderkey % 2 = 0 then 'CONNECT' else 'UPDATE' end end as permission_name,
         case l_linestatus when 'F' then 'GRANT' else 'DENY' end as state_desc,
-        case when l_linenumber = 1 then 'DATABASE' else 'OBJECT_OR_COLUMN' end as class_desc
-        from lineitem where l_quantity = 50
-        union all select -1 - l_suppkey % 25, l_partkey, l_linenumber % 3,
-        case l_returnflag when 'A' then 'SELECT' when 'N' then 'UPDATE' else 'EXECUTE' end,
-        case l_linestatus when 'F' then 'GRANT' else 'DENY' end, case when l_linenumber < 3 then 'DATABASE' else 'SCHEMA' end
-        from lineitem where l_quantity = 49
+        case when l_linenumber = 1 or (l_linenumber = 2 and l_orderkey % 2 <> 0) then 'DATABASE' when l_orderkey % 2 = 0 then 'OBJECT_OR_COLUMN' else 'SCHEMA' end as class_desc
+        from lineitem
     """,
     "db_objects": """
         select p_partkey as object_id, 'obj' || p_partkey as name, case p_size % 4 when 0 then 'USER_TABLE' when 1 then 'VIEW'
@@ -625,7 +622,7 @@ ADAPTERS.update({
     "server_permissions": """
         select l_suppkey as grantee_principal_id, l_partkey % 100 as grantor_principal_id, 65536 + l_linenumber as major_id, 'CONNECT' as permission_name,
         case l_linestatus when 'F' then 'GRANT' else 'DENY' end as state_desc
-        from lineitem where l_quantity = 50
+        from lineitem
     """,
     "endpoints": "select 65536 + n_nationkey as endpoint_id, case when n_nationkey = 5 then 'Hadr_endpoint' else 'ep' || n_nationkey end as name, 'STARTED' as state_desc from nation where n_nationkey < 6",
     "server_props": """

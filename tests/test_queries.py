@@ -40,6 +40,16 @@ def test_matches_check_sql(spark, small_dir, check, name):
     assert ordered(got) == ordered(check.execute(q.check_sql()).fetchall())
 
 
+def test_every_line_is_a_grant(spark, small_dir, check):
+    """No row of lineitem is left out of the grants, and both sides of them are there."""
+    t = Tables(spark, small_dir)
+    lines = check.execute("SELECT DISTINCT l_partkey, l_linenumber % 3, l_linestatus FROM lineitem").fetchall()
+    found = t.db_permissions.selectExpr("major_id", "minor_id", "CASE state_desc WHEN 'GRANT' THEN 'F' ELSE 'O' END AS status").distinct().collect()
+    assert ordered(found) == ordered(lines)
+    assert t.server_permissions.count() == check.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert t.db_permissions.filter("grantee_principal_id < 0").count() and t.db_permissions.filter("grantee_principal_id > 0").count()
+
+
 @pytest.mark.skipif(not os.environ.get("FLEET_TESTS"), reason="set FLEET_TESTS=1; runs every query twice")
 @pytest.mark.parametrize("name", [n for n in REGISTRY if n not in NOT_FLEET and not n.startswith("stream_")])
 def test_servers_do_not_mix(spark, small_dir, name):
