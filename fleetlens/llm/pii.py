@@ -1,10 +1,11 @@
 """Personal data: pattern spans, and those a character-level BiLSTM-CRF adds.
 
 The tagger learns from spans that the patterns label in a bounded sample of windows of
-the corpus, and from the same spans written in ways the patterns miss.  All four kinds
-need a digit or an ``@``, so windows are laid over such characters and a text without
-any has no spans.  Windows overlap; the spans that they decode are reconciled over the
-whole text by the best set of spans that do not meet.
+the corpus, and from the same spans written in ways the patterns miss.  A span that is
+plausible at all lies in the unbroken word around an ``@``, or in the stretch of digits,
+blanks and separators around a digit, so overlapping windows are laid over these whole
+stretches, however long.  Each character takes its tag from the window that has it most
+central, and spans are read from the joined tags; they may be longer than a window.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
-_GAP = re.compile(r"[^0-9@]{%d,}" % (WIDTH // 2))
+_WORD = re.compile(r"\S+")
+_NUMERIC = re.compile(r"[0-9\s().+/\-]+")  # all that the other kinds may hold, see plausible()
 
 SAMPLE_WINDOWS = 3000  # labelled windows that the tagger is fitted on, at most
 STEP = WIDTH // 2
@@ -78,17 +81,36 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of the parts of a text, apart by ``STEP`` or more, in which every plausible span lies."""
+    if not _ANCHOR.search(text):
+        return []
+    found = [m.span() for m in _WORD.finditer(text) if "@" in m[0]] if "@" in text else []
+    for m in _NUMERIC.finditer(text):
+        if any(map(str.isdecimal, m[0])):
+            own = m[0].rstrip()
+            found.append((m.end() - len(m[0].lstrip()), m.start() + len(own)))
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(found):
+        if out and lo < out[-1][1] + STEP:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def chains(text: str) -> list[range]:
+    """Starts of overlapping windows, a range for each stretch of a text."""
+    out = []
+    for lo, hi in stretches(text):
+        first = max(0, lo - STEP // 2)
+        out.append(range(first, max(first + 1, hi - STEP // 2), STEP))
+    return out
+
+
 def windows(text: str) -> list[int]:
-    """Starts of overlapping windows over all digits and ``@`` of a text, each in the
-    middle part of one window at least."""
-    starts, at = [], 0
-    while m := _ANCHOR.search(text, at):
-        gap = _GAP.search(text, m.start())
-        end = gap.start() if gap else len(text)
-        first = max(0, m.start() - STEP // 2)
-        starts += range(first, max(first + 1, end - STEP // 2), STEP)
-        at = max(end, m.end())
-    return starts
+    """Starts of overlapping windows over all stretches of a text."""
+    return [s for chain in chains(text) for s in chain]
 
 
 def _coded(text: str, starts: list[int]) -> np.ndarray:
@@ -111,21 +133,40 @@ def tags_of(spans: list[Span], start: int) -> np.ndarray:
     return out
 
 
-def spans_of(path: np.ndarray, start: int, size: int) -> Iterator[Span]:
-    """Whole spans of a tag path: those cut by an inner window edge are left to the next one."""
-    at, path = 0, path[: size - start].tolist()
-    while at < len(path):
-        if path[at] % 2:
-            end = at + 1
-            while end < len(path) and path[end] == path[at] + 1:
+def joined_spans(paths: np.ndarray, chain: range, size: int) -> Iterator[Span]:
+    """Spans of the tag paths of a chain of windows over a text of ``size`` characters.
+
+    A tag comes from the window that has the character most central.  A first tag where
+    the windows change goes on with the span before, if that is of its kind."""
+    edge, last = STEP // 2, len(chain) - 1
+    parts = [path[edge if k else 0 : WIDTH if k == last else edge + STEP] for k, path in enumerate(paths)]
+    tags = np.concatenate(parts)[: size - chain[0]].tolist()
+    seams = set(np.cumsum([len(x) for x in parts]).tolist())
+    at = 0
+    while at < len(tags):
+        if tags[at]:
+            kind, end = (tags[at] - 1) // 2, at + 1
+            while end < len(tags) and tags[end] and (tags[end] - 1) // 2 == kind and (tags[end] % 2 == 0 or end in seams):
                 end += 1
-            if end < WIDTH or start + end >= size:
-                yield start + at, start + end, KINDS[path[at] // 2]
+            yield chain[0] + at, chain[0] + end, KINDS[kind]
             at = end
         else:
             at += 1
 
 
+def to_word_ends(text: str, span: Span) -> Span:
+    """An address that starts or ends inside a word taken to the ends of the word."""
+    a, b, kind = span
+    if kind == "email":
+        while a and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
+            a -= 1
+        while a < span[0] and not text[a].isalnum():
+            a += 1
+        while b < len(text) and (text[b].isalnum() or text[b] in ".-" and text[b + 1 : b + 2].isalnum()):
+            b += 1
+    return a, b, kind
+
+
 def plausible(text: str, span: Span) -> bool:
     """What a span must have to be of its kind at all, whoever found it."""
     own, n = text[span[0] : span[1]], len(_digits(text[span[0] : span[1]]))
@@ -140,46 +181,37 @@ def plausible(text: str, span: Span) -> bool:
     return 7 <= n <= 15 and not re.search(r"[^0-9 ().+/\-]", own)
 
 
-def reconciled(spans: dict[Span, int]) -> list[Span]:
-    """Of spans with votes, the set without overlaps that has the most characters times votes."""
-    order = sorted(spans, key=lambda s: (s[1], s[0], s[2]))
-    ends, best = [s[1] for s in order], [(0, None, 0)]
-    for i, s in enumerate(order):
-        before = bisect_right(ends, s[0], 0, i)
-        value = best[before][0] + spans[s] * (s[1] - s[0])
-        best.append((value, s, before) if value > best[i][0] else (best[i][0], None, i))
-    out, at = [], len(order)
-    while at:
-        _, s, before = best[at]
-        if s:
-            out.append(s)
-        at = before
-    return out[::-1]
-
-
 def added_spans(texts: list[str], based: list[list[Span]], tagger: Tagger, batch: int = 512) -> list[list[Span]]:
     """For each text the spans of the tagger that meet no base span."""
-    places = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
-    votes: list[dict[Span, int]] = [{} for _ in texts]
-    for at in range(0, len(places), batch):
-        some = places[at : at + batch]
-        x = np.concatenate([_coded(texts[i], [s]) for i, s in some])
-        for (i, s), path in zip(some, tagger.decode(x)):
-            for span in spans_of(path, s, len(texts[i])):
-                if plausible(texts[i], span):
-                    votes[i][span] = votes[i].get(span, 0) + 1
+    places = [(i, chain) for i, t in enumerate(texts) for chain in chains(t)]
+    found: list[list[Span]] = [[] for _ in texts]
+    waiting: list[np.ndarray] = []
+    windows_of = ((i, s) for i, chain in places for s in chain)
+    at = 0
+    while some := list(islice(windows_of, batch)):
+        waiting += list(tagger.decode(np.concatenate([_coded(texts[i], [s]) for i, s in some])))
+        used = 0
+        while at < len(places) and used + len(places[at][1]) <= len(waiting):
+            i, chain = places[at]
+            spans = joined_spans(np.array(waiting[used : used + len(chain)]), chain, len(texts[i]))
+            whole = {to_word_ends(texts[i], x): None for x in spans if "@" in texts[i][x[0] : x[1]] or x[2] != "email"}
+            for x in whole:
+                if plausible(texts[i], x) and (not found[i] or found[i][-1][1] <= x[0]):
+                    found[i].append(x)
+            used, at = used + len(chain), at + 1
+        waiting = waiting[used:]
     out = []
-    for mine, base in zip(votes, based):
+    for mine, base in zip(found, based):
         # base spans of several kinds may overlap: the furthest end so far decides
         starts, ends, far = [b[0] for b in base], [], 0
         for b in base:
             ends.append(far := max(far, b[1]))
-        clear = {}
-        for s, n in mine.items():
+        clear = []
+        for s in mine:
             k = bisect_right(starts, s[1] - 1)
             if not k or ends[k - 1] <= s[0]:
-                clear[s] = n
-        out.append(reconciled(clear))
+                clear.append(s)
+        out.append(clear)
     return out
 
 
@@ -198,7 +230,8 @@ def _other_ways(text: str, spans: list[Span], rng: np.random.Generator) -> tuple
         elif kind == "card":
             own = rng.choice(["-", ".", "/", "  "]).join(own.replace("-", "")[i : i + 4] for i in range(0, len(own.replace("-", "")), 4))
         else:
-            own = rng.choice([own, "é" + own, own.replace("@", "é@", 1)])
+            long = rng.choice(["maria.elena.de.la.", "jean-jacques.andré.", "anna_sofie.von.der.linden."])
+            own = rng.choice(["é" + own, own.replace("@", "é@", 1), long + own.replace("@", "é@", 1), long + own.replace("@", ".sébastien.ragnarsdóttir@", 1)])
         moved.append((len(out), len(out) + len(own), kind))
         out += own
     return out + text[at:], moved
@@ -215,9 +248,8 @@ def fit(docs: DataFrame, most: int = SAMPLE_WINDOWS) -> Tagger:
                 found = base_spans(t) if t else []
                 for s in windows(t) if t else ():
                     own = [x for x in found if x[0] < s + WIDTH and x[1] > s]
-                    if all(x[0] >= s and x[1] <= s + WIDTH for x in own):
-                        texts.append(t[s : s + WIDTH])
-                        spans.append(",".join(f"{a - s}:{b - s}:{k}" for a, b, k in own))
+                    texts.append(t[s : s + WIDTH])
+                    spans.append(",".join(f"{a - s}:{b - s}:{k}" for a, b, k in own))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(spans, pa.string())], names=["w", "spans"])
 
     rows = docs.select("text").mapInArrow(cut, "w string, spans string").distinct()
@@ -226,7 +258,7 @@ def fit(docs: DataFrame, most: int = SAMPLE_WINDOWS) -> Tagger:
     for r in rows:
         own = [(int(a), int(b), k) for a, b, k in (p.split(":") for p in r["spans"].split(",") if p)]
         own.sort()
-        for text, spans in [(r["w"], own), *([_other_ways(r["w"], own, rng)] if own else [])]:
+        for text, spans in [(r["w"], own), *([_other_ways(r["w"], own, rng)] if own and all(a >= 0 and b <= WIDTH for a, b, _ in own) else [])]:
             shift = int(rng.integers(0, 8))
             x.append(_coded(text[shift:], [0])[0])
             y.append(tags_of(spans, shift))

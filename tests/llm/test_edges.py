@@ -60,6 +60,30 @@ def test_personal_data(odd, empty):
     assert pii.redacted(empty).count() == 0
 
 
+class Marks:
+    """A tagger that marks all words of a window as addresses."""
+
+    def decode(self, x):
+        out = (x < 128) * 0
+        for row, path in zip(x, out):
+            on = [int(c not in (32, pii.PAD)) for c in row]
+            for i, c in enumerate(on):
+                path[i] = c * (2 if i and on[i - 1] else 1)
+        return out
+
+
+@pytest.mark.parametrize("size", [3, 20, 40, 64, 100, 300])
+@pytest.mark.parametrize("before", [0, 1, 40, 200])
+def test_spans_longer_than_a_window(size, before):
+    own = "a" * size + "é@mail.example.com"
+    text = " " * before + own + " then nothing more of note"
+    assert pii.base_spans(text) == []
+    for batch in (1, 3, 512):
+        got = pii.added_spans([text, "none", text], [[], [], []], Marks(), batch)
+        assert got == [[(before, before + len(own), "email")], [], [(before, before + len(own), "email")]]
+    assert all(any(s <= k < s + pii.WIDTH for s in pii.windows(text)) for k in range(before, before + len(own)))
+
+
 def test_language(odd, empty):
     got = by_id(language.predicted(odd, language.fit(odd), ["doc_id"]), "lang_pred", "score")
     assert got[3] == ("und", 0.0) and got[5] == ("und", 0.0) and got[1][0] == "en"
