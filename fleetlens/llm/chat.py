@@ -43,10 +43,12 @@ class Layout:
         found = F.try_variant_get(record, f"$.{self.messages}", f"array<struct<`{self.role}`:string,`{self.content}`:string>>")
         named = lambda c: reduce(lambda e, kv: e.when(c == kv[0], F.lit(kv[1])), self.roles, F.when(F.lit(False), c)).otherwise(c)
         text = lambda m, f: F.coalesce(m[f], F.lit(""))
-        return F.coalesce(
+        system = F.try_variant_get(record, "$.system", "string")
+        first = F.when(system.isNotNull(), F.array(F.struct(F.lit("system").alias("role"), system.alias("text")))).otherwise(F.array().cast(TURNS))
+        return F.concat(first, F.coalesce(
             F.transform(found, lambda m: F.struct(named(text(m, self.role)).alias("role"), text(m, self.content).alias("text"))),
             F.array().cast(TURNS),
-        )
+        ))
 
 
 _SINGLE = (("prompt", "response"), ("prompt", "completion"), ("question", "answer"), ("instruction", "output"), ("input", "output"))
@@ -59,39 +61,47 @@ LAYOUTS = (
     Layout("instruction_input_output", fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Layout("system_instruction_input_output", fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
 )
-PATHS = tuple(sorted({p for layout in LAYOUTS for p in layout.paths()}))
-EMPTY_LISTS = tuple(sorted({(f"$.{x.messages}",) for x in LAYOUTS if x.messages}))
-
-
+LISTS = tuple(x for x in LAYOUTS if x.messages)
+FIELDS = tuple(x for x in LAYOUTS if not x.messages)
 def path_hash(paths) -> int:
     """What ``xxhash64`` gives for the sorted paths, as a signed number."""
     value = xxhash.xxh64_intdigest("\n".join(sorted(paths)).encode(), 42)
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the known nested paths that a record (variant) has; other fields do not count."""
-    has = [F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in PATHS]
-    return F.xxhash64(F.concat_ws("\n", *has))
+def fingerprint(record: Column, layouts: tuple[Layout, ...]) -> Column:
+    """Hash of the nested paths of ``layouts`` that a record (variant) has; other fields do not count."""
+    paths = sorted({p for x in layouts for p in x.paths()})
+    return F.xxhash64(F.concat_ws("\n", *[F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in paths]))
 
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
-    """Adds ``layout`` and ``turns`` (role, text); an unknown layout gives null for both.
+    """Adds ``layout`` and ``turns`` (role, text); an unknown layout gives null for both, see ``layout_counts``.
 
     ``record`` is a variant; for JSON text use ``try_parse_json``.  A null text is empty,
-    an empty list has no turns, extra fields are ignored.
+    an empty list has no turns, extra fields are ignored.  A list with messages wins over
+    single fields, and a system field beside it is its first turn.
     """
-    marked = records.withColumn("_print", fingerprint(F.col(record)))
-    pick = lambda value: reduce(
-        lambda e, x: e.when(F.col("_print") == path_hash(x.paths()), value(x)), LAYOUTS, F.when(F.lit(False), value(LAYOUTS[0]))
-    )
-    empty = F.col("_print").isin([path_hash(p) for p in EMPTY_LISTS])
+    value = F.col(record)
+    marked = records.withColumns({f"_print{k}": fingerprint(value, (x,)) for k, x in enumerate(LISTS)} | {"_print": fingerprint(value, FIELDS)})
+    empty = reduce(lambda e, m: e | F.coalesce(F.size(F.try_variant_get(value, f"$.{m}", "array<variant>")) == 0, F.lit(False)), {x.messages for x in LISTS}, F.lit(False))
+
+    def pick(of, none: Column) -> Column:
+        found = F.when(F.lit(False), none)
+        for k, x in enumerate(LISTS):
+            found = found.when(F.col(f"_print{k}") == path_hash(x.paths()), of(x))
+        for x in FIELDS:
+            found = found.when(F.col("_print") == path_hash(x.paths()), of(x))
+        return found.when(empty & (F.col("_print") == path_hash(())), none)
+
     return marked.withColumns(
-        {
-            "layout": pick(lambda x: F.lit(x.name)).when(empty, F.lit("empty")),
-            "turns": pick(lambda x: x.turns(F.col(record))).when(empty, F.array().cast(TURNS)),
-        }
-    ).drop("_print")
+        {"layout": pick(lambda x: F.lit(x.name), F.lit("empty")), "turns": pick(lambda x: x.turns(value), F.array().cast(TURNS))}
+    ).drop("_print", *[f"_print{k}" for k in range(len(LISTS))])
+
+
+def layout_counts(chats: DataFrame) -> DataFrame:
+    """``layout``, ``count``: records of each layout; the row with a null layout counts those that are lost."""
+    return chats.groupBy("layout").count()
 
 
 def escaped(text: Column) -> Column:

@@ -161,3 +161,20 @@ def test_stages_take_odd_and_empty_rows(spark, small_dir, odd, empty, name):
     for docs in (odd, empty):
         out = stage(spark, docs, small_dir)
         assert out.columns == docs.columns and out.agg(F.count(F.lit(1))).first()[0] >= 0
+
+
+def test_message_lists_win_over_fields(spark):
+    records = [
+        ('{"messages": [{"role": "user", "content": "a"}], "system": "s"}', "messages", [("system", "s"), ("user", "a")]),
+        ('{"conversations": [{"from": "human", "value": "a"}], "prompt": "p", "input": "i"}', "from_value", [("user", "a")]),
+        ('{"messages": [{"role": "user", "content": "a", "text": "t"}]}', "messages", [("user", "a")]),
+        ('{"messages": [], "prompt": "p", "response": "r"}', "prompt_response", [("user", "p"), ("assistant", "r")]),
+        ('{"messages": [], "id": 1}', "empty", []),
+        ('{"messages": [{"who": "x"}]}', None, None),
+        ('{"prompt": "p"}', None, None),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(records)], "doc_id long, j string").selectExpr("doc_id", "parse_json(j) as record")
+    out = chat.canonical_turns(df)
+    got = {r["doc_id"]: (r["layout"], r["turns"] if r["turns"] is None else [tuple(t) for t in r["turns"]]) for r in out.collect()}
+    assert got == {i: r[1:] for i, r in enumerate(records)}
+    assert {r["layout"]: r["count"] for r in chat.layout_counts(out).collect()}[None] == 2
