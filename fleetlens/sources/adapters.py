@@ -120,11 +120,14 @@ ADAPTERS: dict[str, str] = {
         from documents
     """,
     "query_stats": """
-        select user_id as plan_handle, user_id as sql_handle, count(*) as execution_count,
+        select plan_handle, cast(floor(plan_handle * documents_end / (5 * users_end)) as bigint) as sql_handle, count(*) as execution_count,
         sum(cast(round(value * 100) as bigint)) * 1000 as total_elapsed_time, sum(cast(round(value * 100) as
         bigint)) * 300 as total_worker_time, sum(event_id) as total_logical_reads
-        from events
-        group by user_id
+        from (select user_id * 5 + case event_type when 'signup' then 0 when 'error' then 1 when 'click' then 2 when 'view' then 3 else 4 end as plan_handle,
+        value, event_id from events) e
+        cross join (select max(user_id) + 1.0 as users_end from events) u
+        cross join (select max(doc_id) + 1.0 as documents_end from documents) d
+        group by plan_handle, users_end, documents_end
     """,
     "resource_stats": """
         select 'db' || user_id as database_name, event_type as sku, ts as end_time, cast(round(value * 100) as

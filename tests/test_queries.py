@@ -50,6 +50,15 @@ def test_every_line_is_a_grant(spark, small_dir, check):
     assert t.db_permissions.filter("grantee_principal_id < 0").count() and t.db_permissions.filter("grantee_principal_id > 0").count()
 
 
+def test_statements_reach_over_all_documents(spark, small_dir, check):
+    """Plans have texts from the first to the last tenth of the documents."""
+    end = check.execute("SELECT max(doc_id) + 1 FROM documents").fetchone()[0]
+    plans = Tables(spark, small_dir).query_stats
+    found = {r["sql_handle"] * 10 // end for r in plans.select("sql_handle").collect()}
+    assert found == set(range(10))
+    assert plans.agg({"execution_count": "sum"}).first()[0] == check.execute("SELECT count(*) FROM events WHERE user_id IS NOT NULL").fetchone()[0]
+
+
 @pytest.mark.skipif(not os.environ.get("FLEET_TESTS"), reason="set FLEET_TESTS=1; runs every query twice")
 @pytest.mark.parametrize("name", [n for n in REGISTRY if n not in NOT_FLEET and not n.startswith("stream_")])
 def test_servers_do_not_mix(spark, small_dir, name):
