@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import chat, decontaminate, language, licenses, mixing, pii, pitman_yor, quality, simhash, token_counts
+from fleetlens.llm import (
+    bpe_lexicon, chat, decontaminate, hard_negatives, language, licenses, mixing, pii, pitman_yor, quality, resampling, simhash, token_counts,
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +17,14 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_resample": resampling.op12_resample,
+    "op13_bpe": bpe_lexicon.op13_bpe,
 }
 
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
+ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_chat_format": chat.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_resample": resampling.ORACLE_SQL,
+}

@@ -104,3 +104,15 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: list[str], spread: list[s
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
     copies = facts.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(parts)])))
     return salted.join(copies, [*key, "_salt"], "left").drop("_salt")
+
+
+def spare(columns: Iterable[str], *names: str) -> list[str]:
+    """Names for own columns beside ``columns``: the given ones, with as many underscores in
+    front as it takes to differ from all of them (case does not matter to Spark)."""
+    used, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
