@@ -19,13 +19,15 @@ Other columns, whatever their names, are passed on if they are asked for.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +38,9 @@ from fleetlens.llm.text import above_count, count_words, fixed, spare
 from fleetlens.session import scratch
 
 TOKENIZER = "byte_bpe_50k.json"
-WORDS = 131_072  # words of the lexicon at most
+WORDS = 262_144  # words of the lexicon at most
 LONGEST = 32  # bytes of a word of the lexicon at most
-PART = 1 << 20  # characters worked on at once
+PART = 1 << 18  # characters worked on at once
 COUNTED = 400_000  # words counted before the counts are passed on
 _NEVER = 1 << 62
 # letters of ASCII and all other bytes beyond it make words
@@ -78,8 +80,15 @@ class Merges:
         self.pairs = {vocab[a] << 24 | vocab[b]: rank << 24 | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         self.keys = np.array(sorted(self.pairs), np.int64)
         self.worth = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
+        self.spelling = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids."""
+        if len(ids) and ids.max() >= len(self.spelling):
+            ids = ids[ids < len(self.spelling)]
+        return b"".join(map(self.spelling.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
     def _values(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What the merges of id pairs are worth; pairs that do not merge, or with a -1, never."""
         key = left << 24 | right
@@ -244,11 +253,11 @@ def packed(states: list[tuple]) -> bytes:
         at, tries = low, 0
         while not all(free[at - letters[0] + b] for b in letters):
             at, tries = free.index(1, at + 1), tries + 1
-            if tries > 400 and at < top:  # dense region: go on behind all arcs
+            if tries > 48 and at < top:  # dense region: go on behind all arcs
                 at = top
                 if at - letters[0] < 0:
                     at = letters[0]
-        if tries > 400:
+        if tries > 48:
             low = max(low, at - 4096)
         base[s] = at - letters[0]
         for b in letters:
@@ -416,7 +425,7 @@ def lexicon(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, wor
     chosen = counts.where(F.col("n") >= often).select("word", (F.col("n") >= bare).alias("bare"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(_path(tokenizer))
+        merges = _merges(tokenizer)
         for batch in batches:
             found = batch.column(0).to_pylist()
             plain = [w for w, b in zip(found, batch.column(1).to_pylist()) if b]
@@ -426,7 +435,7 @@ def lexicon(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, wor
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), lists], names=["word", "ids"])
 
     table = chosen.mapInArrow(run, "word binary, ids array<int>").toArrow()
-    merges = Merges(_path(tokenizer))
+    merges = _merges(tokenizer)
     known = {bytes([b]): (int(i),) for b, i in enumerate(merges.first)}
     known.update(zip(table.column("word").to_pylist(), map(tuple, table.column("ids").to_pylist())))
     return publish(docs.sparkSession, packed(minimal_transducer(sorted(known.items()))))
@@ -443,23 +452,37 @@ def publish(spark: SparkSession, data: bytes) -> str:
     return where.rsplit("/", 1)[-1]
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+@functools.cache
+def _merges(tokenizer: str) -> Merges:
+    return Merges(_path(tokenizer))
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(tokenizer: str, name: str) -> Encoder:
+    return Encoder(_path(tokenizer), SparkFiles.get(name))
+
+
+def _served(batches: Iterator[pa.RecordBatch], values: Callable[[list[bytes]], list], field: pa.Field) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is replaced by ``values`` of it (null: empty), some 4 MB at a time."""
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1).cast(pa.large_binary())
+        schema = pa.schema([*[batch.schema.field(i) for i in range(batch.num_columns - 1)], field])
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 22))) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            out = pa.array(values([v or b"" for v in column.slice(a, b - a).to_pylist()]), field.type)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)], out], schema=schema)
 
 
 def encoded(docs: DataFrame, name: str, keep: list[str], text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """The columns ``keep`` of every row and ``ids`` (array of int); ``name`` is that of a :func:`lexicon`."""
+    """The columns ``keep`` of every row and ``ids`` as training files hold them: little-endian unsigned
+    32-bit numbers in a row (binary); ``name`` is that of a :func:`lexicon`."""
     source = spare(keep, "text")[0]
-    shape = T.StructType([*[docs.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    shape = T.StructType([*[docs.schema[c] for c in keep], T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (tokenizer, name) not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[tokenizer, name] = Encoder(_path(tokenizer), SparkFiles.get(name))
-        for batch in batches:
-            found = list(_ENCODERS[tokenizer, name].encode([t or "" for t in batch.column(len(keep)).to_pylist()]))
-            offsets = np.concatenate([[0], np.cumsum(list(map(len, found)))]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.uint32)]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], ids], names=[*keep, "ids"])
+        encoder = _encoder(tokenizer, name)
+        return _served(batches, lambda own: [ids.astype("<u4").tobytes() for ids in encoder.encode([t.decode() for t in own])], pa.field("ids", pa.binary()))
 
     return docs.select(*keep, F.col(text).cast("string").alias(source)).mapInArrow(run, shape)
 
@@ -471,35 +494,15 @@ def decoded(rows: DataFrame, keep: list[str], ids: str = "ids", tokenizer: str =
     shape = T.StructType([*[rows.schema[c] for c in keep], T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Merges(_path(tokenizer)).tokens
-        for batch in batches:
-            lists = batch.column(len(keep)).to_pylist()
-            texts = [b"".join([tokens.get(i, b"") for i in own or ()]).decode("utf-8", "replace") for own in lists]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(texts, pa.string())], names=[*keep, "decoded"])
+        merges = _merges(tokenizer)
+        return _served(batches, lambda own: [merges.decode(np.frombuffer(x, "<u4")) for x in own], pa.field("decoded", pa.string()))
 
     return rows.select(*keep, F.col(ids).alias(source)).mapInArrow(run, shape)
 
 
-def ids_digest(rows: DataFrame, keep: list[str], ids: str = "ids") -> DataFrame:
-    """The columns ``keep`` and ``ids_sha256``: of the ids as little-endian unsigned 32-bit numbers."""
-    import hashlib
-
-    source = spare(keep, "ids")[0]
-    shape = T.StructType([*[rows.schema[c] for c in keep], T.StructField("ids_sha256", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(len(keep))
-            values = column.values.to_numpy(zero_copy_only=False).astype("<u4")
-            ends = column.offsets.to_numpy().tolist()
-            out = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(out, pa.string())], names=[*keep, "ids_sha256"])
-
-    return rows.select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias(source)).mapInArrow(run, shape)
-
-
 def op13_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    own = encoded(docs, lexicon(docs), ["doc_id"]).withColumn("n_tokens", F.size("ids").cast("long"))
-    read = decoded(own, ["doc_id", "n_tokens", "ids"]).withColumn("decoded_sha256", F.sha2("decoded", 256))
-    return ids_digest(read, ["doc_id", "n_tokens", "decoded_sha256"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    own = encoded(docs, lexicon(docs), ["doc_id"])
+    numbers = own.select("doc_id", "ids", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    read = decoded(numbers, ["doc_id", "n_tokens", "ids_sha256"])
+    return read.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
