@@ -15,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.text import fixed, native_words, small_side, text_key
+from fleetlens.llm.text import fixed, native_words, small_side, text_key, whole_row
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -93,23 +93,24 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     texts = small_side(fixed(candidates.select("_ka", "_kb").distinct()))
     chosen = docs.select(*text_key(), "text").join(texts, ["_ka", "_kb"], "left_semi").dropDuplicates(["_ka", "_kb"])
     chosen = fixed(chosen.select("_ka", "_kb", native_words(F.lower("text")).alias("_w")))
-    sizes = shingles.groupBy("item", "width").agg(F.count(F.lit(1)).alias("n_shingles"))
-    pairs = candidates.join(sizes, "item")
+    # each pair asks for its own item's shingles: a shingle that many items share makes no further pairs
+    asked = candidates.join(small_side(shingles), "item")
     runs = [chosen.select("_ka", "_kb", F.lit(k).alias("width"), F.explode(F.array_distinct(_runs("_w", k, _joined))).alias("shingle")) for k in sorted({c["width"] for c in classes})]
-    shared = reduce(DataFrame.unionByName, runs).join(shingles, ["width", "shingle"])
-    counted = shared.groupBy("_ka", "_kb", "item").agg(F.count(F.lit(1)).alias("n_shared"))
-    return (
-        counted.join(pairs.select("_ka", "_kb", "item", "n_shingles"), ["_ka", "_kb", "item"])
-        .where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * threshold - 1e-9))
-        .select("_ka", "_kb", "item", "n_shared", "n_shingles")
+    have = reduce(DataFrame.unionByName, runs).withColumn("_has", F.lit(1))
+    counted = asked.join(have, ["_ka", "_kb", "width", "shingle"], "left").groupBy("_ka", "_kb", "item").agg(
+        F.count("_has").alias("n_shared"), F.count(F.lit(1)).alias("n_shingles")
     )
+    return counted.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * threshold - 1e-9))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with their columns."""
-    found = small_side(fixed(find_items(docs, items).select(F.col("_ka").alias("_fa"), F.col("_kb").alias("_fb")).distinct()))
-    keyed = docs.select(*docs.columns, *text_key())
-    return keyed.join(found, [F.col("_ka") == F.col("_fa"), F.col("_kb") == F.col("_fb")], "left_anti").select(docs.columns)
+    """The rows of ``docs`` (text) that contain no item.
+
+    Null and empty texts contain none; without items all rows stay.  Columns keep their names
+    and values; any names are allowed."""
+    found = small_side(fixed(find_items(docs, items).select("_ka", "_kb").distinct()))
+    keyed = docs.select(whole_row(docs), *text_key())
+    return keyed.join(found, ["_ka", "_kb"], "left_anti").select("row.*")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.ordering import positions
-from fleetlens.llm.text import SPACE, fixed
+from fleetlens.llm.text import SPACE, fixed, small_side, whole_row
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5  # of all sizes
@@ -139,16 +139,23 @@ def _units(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source), each as often as the mix takes it.
 
-    All other columns stay.  Repeated rows are decided one by one; null sources are a
-    source, null and empty texts have no words and leave the mix.
-    """
-    key = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": words_in(F.col("text")), "_hash": F.xxhash64("text")}
-    taken = copies(_units(docs, key), seed).where("copies > 0").select(*[F.col(f"unit.{n}").alias(f"_u{i}") for i, n in enumerate([*key, "k"])], F.col("copies").alias("_copies"))
-    keyed = docs.select(*[F.col(c) for c in docs.columns], *[c.alias(f"_k{i}") for i, c in enumerate(key.values())])
-    keyed = keyed.withColumn("_k4", F.row_number().over(Window.partitionBy("_k0", "_k3", "_k1", "_k2").orderBy(F.lit(1))).cast("long"))
-    same = [F.col(f"_k{i}").eqNullSafe(F.col(f"_u{i}")) for i in range(5)]
-    both = keyed.join(taken, same)
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    Repeated rows are decided one by one, and only they are numbered; null sources are a
+    source, null and empty texts have no words and leave the mix.  Columns keep their names
+    and values; any names are allowed."""
+    key = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": words_in(F.col("text")), "hash": F.xxhash64("text")}
+    units = fixed(_units(docs, key))
+    taken = small_side(fixed(copies(units, seed).where("copies > 0").select("unit.*", "copies")))
+    keyed = docs.select(whole_row(docs), *[c.alias(n) for n, c in key.items()])
+    repeated = fixed(units.where("unit.k = 2").select("unit.*").drop("k"))
+    same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
+    numbered = keyed.withColumn("k", F.lit(1).cast("long"))
+    if not repeated.isEmpty():
+        repeated = small_side(repeated)
+        order = Window.partitionBy(*key).orderBy(F.lit(1))
+        again = keyed.join(repeated, same(keyed, repeated, key), "left_semi").withColumn("k", F.row_number().over(order).cast("long"))
+        numbered = numbered.join(repeated, same(numbered, repeated, key), "left_anti").unionByName(again)
+    both = numbered.join(taken, same(numbered, taken, [*key, "k"]))
+    return both.select("row", F.explode(F.sequence(F.lit(1), taken["copies"].cast("int"))).alias("copy")).select("row.*")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

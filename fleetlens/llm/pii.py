@@ -305,27 +305,29 @@ def masked(text: str, spans: list[Span]) -> str:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` (text) with personal data masked, ``n_chars`` following where it is there.
 
-    All rows stay; null and clean texts stay as they are."""
-    names = docs.columns
+    All rows stay; null and clean texts stay as they are.  Other columns keep their names and
+    values; any names are allowed."""
     tagger = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(tagger.p)
-    place = names.index("text")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    narrow = docs.select(F.struct(*rest, F.lit(0).alias("")).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Tagger(1 + 2 * len(KINDS))
         own.p = shared.value
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = batch.column(1).to_pylist()
             open_ = [i for i, t in enumerate(texts) if t and _ANCHOR.search(t)]
             based = [base_spans(texts[i]) for i in open_]
             for i, base, more in zip(open_, based, added_spans([texts[i] for i in open_], based, own)):
                 texts[i] = masked(texts[i], sorted([*base, *more]))
-            cols = list(batch.columns)
-            cols[place] = pa.array(texts, cols[place].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, batch.column(1).type)], names=["row", "text"])
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    masks = narrow.mapInArrow(run, narrow.schema)
+    value = {c: F.col("text") if c == "text" else F.col("row").getField(c) for c in docs.columns}
+    if "n_chars" in value:
+        value["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return masks.select(*[v.alias(c) for c, v in value.items()])
 
 
 def listed(spans):

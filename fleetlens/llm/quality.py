@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.text import SPACE, fixed, native_words, small_side, text_key
+from fleetlens.llm.text import SPACE, fixed, native_words, small_side, text_key, whole_row
 
 # fixed values: the most common function words of each language with a reference
 COMMON = {
@@ -182,17 +182,19 @@ def judged(measured: DataFrame, references: dict, lang: str = "lang") -> DataFra
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (text, lang) that the rules keep, with its columns only.
+    """The rows of ``docs`` (text, lang) that the rules keep.
 
     Texts are measured once; the small table of measures is written, and the verdicts on a
-    text and its language come back as those to leave out."""
+    text and its language come back as those to leave out.  Null and short texts go, a null
+    language is judged like one without references.  Columns keep their names and values; any
+    names are allowed."""
     keyed = docs.select("text", "lang", *text_key())
     measured = fixed(measures(keyed).drop("text"))
     bad = judged(measured, language_references(measured)).where(~F.col("kept"))
-    bad = small_side(fixed(bad.select(F.col("_ka").alias("_ba"), F.col("_kb").alias("_bb"), F.col("lang").alias("_bl")).distinct()))
-    named = docs.select(*docs.columns, *text_key(), F.col("lang").alias("_kl"))
-    same = [F.col("_ka") == F.col("_ba"), F.col("_kb") == F.col("_bb"), F.col("_kl").eqNullSafe(F.col("_bl"))]
-    return named.join(bad, same, "left_anti").select(docs.columns)
+    bad = small_side(fixed(bad.select("_ka", "_kb", F.col("lang").alias("_bl")).distinct()))
+    named = docs.select(whole_row(docs), F.col("lang").alias("_kl"), *text_key())
+    same = [named["_ka"] == bad["_ka"], named["_kb"] == bad["_kb"], F.col("_kl").eqNullSafe(F.col("_bl"))]
+    return named.join(bad, same, "left_anti").select("row.*")
 
 
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -6,11 +6,6 @@ at some depth whose paths differ in no more bits than the budget, and pairs that
 too many fingerprints are expanded further, so no task gets more than ``block`` of
 them.  Within a task the two subtrees are walked together, level by level, adding up
 differing bits and dropping pairs of nodes above the budget.
-
-The pipeline stage links texts whose sets of five-word shingles have a similarity
-(Jaccard) of 0.8 or more.  Such SimHashes differ by about 10 bits, and by 18 now and
-then; a trie join that wide compares nearly all pairs.  So its candidates come from
-bands of MinHashes, and each link is verified on the shingles.
 """
 
 from __future__ import annotations
@@ -28,15 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.components import components
-from fleetlens.llm.text import fixed, raw, small_side, text_key
+from fleetlens.llm.text import fixed, raw, small_side, text_key, whole_row
 
 SEED = 42
 CHUNK = 1 << 17  # shingles whose bits are unpacked at once
-STAGE_WORDS = 5  # words in a shingle of the pipeline stage
-BANDS, ROWS = 40, 5  # bands of MinHashes: a pair of similarity 0.8 has none in common once in 8 million times
-_rng = np.random.default_rng(SEED)
-_FLIPS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
-_FACTORS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -221,87 +211,28 @@ def _named(rows: DataFrame, same: DataFrame, key: str, links: DataFrame) -> Data
     return rows.join(classes.join(least, "_root").select(key, "component_id"), key)
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A hash of each band of MinHashes of a set of shingles; none for the empty set."""
-    if not len(shingles):
-        return []
-    short, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(short), 4096):
-        np.minimum(least, ((short[at : at + 4096] ^ _FLIPS) * _FACTORS).min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
-def _with_sets(docs: DataFrame, keep: list[str], fields: str, values) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (text) and what ``values`` makes of the sorted distinct shingles."""
-    shape = T.StructType([*[docs.schema[c] for c in keep], *T.StructType.fromDDL(fields).fields])
-    kinds = [{"binary": pa.binary(), "int": pa.int32()}.get(f.dataType.simpleString(), pa.list_(pa.int64())) for f in shape[len(keep) :]]
+def keep_one(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
+    """``docs`` (doc_id, text) with one row of each component of linked fingerprints: that with
+    the least id, null ids last, then the least hash of its text.  Of repeated rows one stays.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [values(np.unique(shingle_hashes(t, STAGE_WORDS))) for t in raw(batch.column("text"))]
-            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], names=shape.names)
-
-    return docs.select(*keep, "text").mapInArrow(run, shape)
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
-    """Those ``pairs`` (``a``, ``b``) of nodes whose shingle sets have a similarity of 0.8 or more."""
-    pairs = fixed(pairs)
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    used = fixed(nodes.join(used, "node", "left_semi").select("node", "_ka", "_kb"))
-    texts = named.drop("doc_id").join(small_side(used), ["_ka", "_kb"]).dropDuplicates(["node"])
-    sets = fixed(_with_sets(texts, ["node"], "shingles array<long>", lambda s: (s.view(np.int64),)))
-    sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"_{x}")) for x in ("a", "b")]
-    common = F.size(F.array_intersect("_a", "_b"))
-    # common / (both - common) >= 4 / 5
-    return fixed(pairs.join(sides[0], "a").join(sides[1], "b").where(9 * common >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b"))
-
-
-def similar_links(named: DataFrame, printed: DataFrame) -> DataFrame:
-    """Links that connect the nodes (shingle sets) of ``printed`` just as all pairs of similarity 0.8 do.
-
-    The members of a band are first compared with its least one.  What is then connected
-    is not compared again, so a large group of near copies does not cost its square."""
-    nodes = fixed(
-        printed.groupBy("node").agg(F.min(F.struct("_ka", "_kb")).alias("t"), F.max("size").alias("size"), F.first("bands").alias("bands"))
-        .select("node", "t._ka", "t._kb", "size", "bands")
-    )
-    slots = nodes.select("node", "size", F.explode("bands").alias("band"))
-    heads = slots.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    shared = fixed(slots.join(heads, "band").where("node <> head"))
-    near = _verified(shared.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), nodes, named)
-    roots = components(near).withColumnRenamed("root", "_root")
-    labelled = shared.join(roots, "node", "left").select("band", "node", "size", F.coalesce("_root", "node").alias("root"))
-    split = labelled.groupBy("band").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("band")
-    labelled = fixed(labelled.join(split, "band", "left_semi"))
-    one, two = [labelled.select("band", *[F.col(c).alias(f"{c}{k}") for c in ("node", "size", "root")]) for k in (1, 2)]
-    rest = one.join(two, "band").where("node1 < node2 AND root1 <> root2 AND 5 * least(size1, size2) >= 4 * greatest(size1, size2)")
-    return near.union(_verified(rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), nodes, named))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with one row of each component of texts of similarity 0.8 or
-    more: that with the least id, null ids last, then the least hash of its text.  Of
-    repeated rows one stays."""
+    Null, empty and blank texts have fingerprint zero and are linked like others.  Columns keep
+    their names and values; any names are allowed."""
     named = docs.select("doc_id", "text", *text_key())
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_ka", "_kb")
     key = ["doc_id", "_ka", "_kb"]
-    sketch = lambda s: (xxhash.xxh128_digest(s.tobytes(), SEED), len(s), band_keys(s))
-    printed = fixed(_with_sets(named, key, "node binary, size int, bands array<long>", sketch).withColumn("rank", rank))
-    same = fixed(printed.groupBy("node").agg(F.min("rank").alias("_first")))
-    found = _named(printed.drop("size", "bands"), same, "node", similar_links(named, printed))
-    gone = small_side(fixed(found.where("rank <> component_id").select(*[F.col(k).alias(f"g{k}") for k in key]).distinct()))
-    twice = fixed(printed.groupBy(*key).count().where("count > 1").select(*[F.col(k).alias(f"g{k}") for k in key]))
-    keyed = docs.select(*docs.columns, *text_key(), F.col("doc_id").alias("_kd"))
-    same = [F.col(k).eqNullSafe(F.col(f"g{n}")) for k, n in zip(("_kd", "_ka", "_kb"), key)]
+    printed = fixed(fingerprints(named, words=words, keep=key).withColumn("rank", rank))
+    found = near_duplicates(printed, "rank", budget)
+    other = [F.col(c).alias(f"_{i}") for i, c in enumerate(key)]
+    gone = small_side(fixed(found.where("rank <> component_id").select(*other).distinct()))
+    twice = fixed(printed.groupBy(*key).count().where("count > 1").select(*other))
+    keyed = docs.select(whole_row(docs), F.col("doc_id").alias("_kd"), *text_key())
+    same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(("_kd", "_ka", "_kb"))]
     left = keyed.join(gone, same, "left_anti")
     if not twice.isEmpty():
         twice = small_side(twice)
         again = left.join(twice, same, "left_semi").dropDuplicates(["_kd", "_ka", "_kb"])
         left = left.join(twice, same, "left_anti").unionByName(again)
-    return left.select(docs.columns)
+    return left.select("row.*")
 
 
 def as_hex(fp):

@@ -87,6 +87,12 @@ def text_key(text: str = "text") -> list[Column]:
     return [F.xxhash64(whole).alias("_ka"), F.xxhash64(whole, F.lit(1)).alias("_kb")]
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``row``: whatever they are called, they cannot
+    clash with what stands beside it, and ``row.*`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df`` (narrow rows, already fixed), marked for broadcast if it has at most ``most``
     rows; beyond that the join is left to shuffle."""
