@@ -33,6 +33,11 @@ def _runs(words: str, width: int, value) -> Column:
     return F.when(F.size(words) >= width, each)
 
 
+def _hashes(words: Column) -> Column:
+    """A hash of each word; hashes of shingles are made from these, so that words are hashed once."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _joined(*words: Column) -> Column:
     return F.concat_ws(" ", *words)
 
@@ -51,7 +56,7 @@ def item_shingles(items: DataFrame, shingle: int = SHINGLE, item_id: str = "item
 def sketches(shingles: DataFrame, threshold: float) -> DataFrame:
     """``item``, ``width``, ``need``, ``size_class`` and the sketch values ``h`` of items."""
     sized = shingles.groupBy("item", "width").agg(
-        F.array_sort(F.collect_set(F.xxhash64(*_split(F.col("shingle"))))).alias("hs"), F.count(F.lit(1)).alias("n")
+        F.array_sort(F.collect_set(F.xxhash64(_hashes(F.split("shingle", " "))))).alias("hs"), F.count(F.lit(1)).alias("n")
     )
     need = F.ceil(F.col("n") * threshold - 1e-9)
     return sized.select(
@@ -60,10 +65,6 @@ def sketches(shingles: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _split(shingle: Column) -> list[Column]:
-    return [F.split(shingle, " ")]
-
-
 def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, item_id: str = "item_id") -> DataFrame:
     """``_ka``, ``_kb`` (the key of a text), ``item``, ``n_shared``, ``n_shingles`` of all
     pairs of a text of ``docs`` and an item of which it has ``threshold`` of the shingles.
@@ -74,15 +75,16 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     shingles = fixed(item_shingles(items, shingle, item_id))
     keys = fixed(sketches(shingles, threshold))
     classes = keys.groupBy("width", "size_class").agg(F.max("h").alias("top"), F.min("need").alias("least")).collect()
-    worded = docs.select(*text_key(), native_words(F.lower("text")).alias("_w"))
+    worded = docs.select(*text_key(), _hashes(native_words(F.lower("text"))).alias("_w"))
     out = None
     for width in sorted({c["width"] for c in classes}):
         own = [c for c in classes if c["width"] == width]
-        hashed = worded.select("_ka", "_kb", F.size("_w").alias("_n"), F.explode(_runs("_w", width, lambda *w: F.xxhash64(F.array(*w)))).alias("h"))
         # a size class can only be met below its ceiling and by a text with enough shingles
-        open_ = reduce(or_, [(F.col("h") <= c["top"]) & (F.col("_n") - (width - 1) >= c["least"]) for c in own])
+        open_ = lambda h: reduce(or_, [(h <= c["top"]) & (F.size("_w") - (width - 1) >= c["least"]) for c in own])  # noqa: B023, E731
+        hashes = F.filter(_runs("_w", width, F.xxhash64), open_)
+        hashed = worded.select("_ka", "_kb", F.size("_w").alias("_n"), F.explode(hashes).alias("h"))
         side = small_side(keys.where(F.col("width") == width).select("h", "item", "need"))
-        met = hashed.where(open_).join(side, "h").where(F.col("_n") - (width - 1) >= F.col("need"))
+        met = hashed.join(side, "h").where(F.col("_n") - (width - 1) >= F.col("need"))
         met = met.select("_ka", "_kb", "item")
         out = met if out is None else out.unionByName(met)
     if out is None:
@@ -96,7 +98,9 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     # each pair asks for its own item's shingles: a shingle that many items share makes no further pairs
     asked = candidates.join(small_side(shingles), "item")
     runs = [chosen.select("_ka", "_kb", F.lit(k).alias("width"), F.explode(F.array_distinct(_runs("_w", k, _joined))).alias("shingle")) for k in sorted({c["width"] for c in classes})]
-    have = reduce(DataFrame.unionByName, runs).withColumn("_has", F.lit(1))
+    # of a text's shingles only those of some item are shuffled
+    some = small_side(shingles.select("width", "shingle").distinct())
+    have = reduce(DataFrame.unionByName, runs).join(some, ["width", "shingle"], "left_semi").withColumn("_has", F.lit(1))
     counted = asked.join(have, ["_ka", "_kb", "width", "shingle"], "left").groupBy("_ka", "_kb", "item").agg(
         F.count("_has").alias("n_shared"), F.count(F.lit(1)).alias("n_shingles")
     )

@@ -183,7 +183,7 @@ def test_items_that_share_a_shingle(spark):
     """Each text is held against its own candidates, however many items share a passage."""
     common = "one passage that all of the items have in common"
     words = [f"w{i}" for i in range(400)]
-    items = [(i, f"{common} {' '.join(words[i : i + 12])}") for i in range(300)]
+    items = [(i, f"{common} {' '.join(words[i : i + 60])}") for i in range(300)]
     texts = [(i, f"x y z {items[i][1]} end") for i in range(0, 300, 25)] + [(1000, common), (1001, "w1 w2 w3"), (1002, None)]
     found = decontaminate.find_items(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, ITEMS))
     sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
