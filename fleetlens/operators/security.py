@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.fleet import DATABASE, has, optional, shared_keys
+from fleetlens.functions.fleet import DATABASE, existing, has, optional, shared_keys
 from fleetlens.functions.tsql import blank_if_null, decode, int_div, text
 
 # fixed values: built-in database principals
@@ -35,8 +35,9 @@ def user_permission_audit(
 ) -> DataFrame:
     """Everything a user may do: direct grants, grants through roles, grants to everyone.
 
-    Grants are reduced to distinct ids before the names of objects, columns and
-    logins are looked up.
+    Objects and columns are named once for each pair that some grant mentions.  Grants
+    through roles are the product of two distinct tables, members by role name and grants by
+    role name, so it is distinct as it is and is not shuffled again.
     """
     k = shared_keys(principals, logins, permissions, role_members, columns, objects, scope=DATABASE)
     grants = permissions.select(*k, "grantee_principal_id", "major_id", "minor_id", "permission_name", "state_desc").distinct()
@@ -47,43 +48,50 @@ def user_permission_audit(
         "user_name": F.when(F.col("type") == "S", F.col("name")).when(F.col("type") == "U", F.col("_login")),
         "user_type": decode("type", kind), "database_user_name": F.col("name"),
     }
-
-    def described(df: DataFrame) -> DataFrame:
-        """Object and column names of the grants; a missing one stays NULL."""
-        return df.join(_object_names(objects, k).drop("schema_id", "is_ms_shipped"), [*k, "major_id"], "left").join(
-            columns, [*k, "major_id", "minor_id"], "left"
-        )
+    # names of the securables of all grants; a missing one stays NULL
+    securables = (
+        permissions.select(*k, "major_id", "minor_id").distinct()
+        .join(_object_names(objects, k).drop("schema_id"), [*k, "major_id"], "left")
+        .join(columns, [*k, "major_id", "minor_id"], "left")
+    )
+    shown = [F.col("permission_name").alias("permission_type"), F.col("state_desc").alias("permission_state"), "object_type", "object_name", "column_name"]
+    people = principals.join(token, [*k, "sid"], "left").withColumns(user)
 
     def listed(df: DataFrame) -> DataFrame:
-        return df.select(*k, "user_name", "user_type", "database_user_name", "role_name",
-                         F.col("permission_name").alias("permission_type"), F.col("state_desc").alias("permission_state"),
-                         "object_type", "object_name", "column_name")
+        return df.select(*k, "user_name", "user_type", "database_user_name", "role_name", *shown)
+
+    def with_names(df: DataFrame) -> DataFrame:
+        return df.join(securables.drop("is_ms_shipped"), [*k, "major_id", "minor_id"], "left")
 
-    people = principals.join(token, [*k, "sid"], "left")
     direct_users = people.filter(
         F.col("type").isin("S", "U") & (F.col("principal_id") > min_principal_id)
         & ~F.col("name").isin("NT AUTHORITY\\SYSTEM", "dbo")
-    )
-    direct = described(
-        direct_users.join(grants.withColumnRenamed("grantee_principal_id", "principal_id"), [*k, "principal_id"], "left")
-    ).withColumns({**user, "role_name": F.lit(None).cast("string")})
+    ).select(*k, "principal_id", *user, F.lit(None).cast("string").alias("role_name"))
+    direct = listed(with_names(direct_users.join(grants.withColumnRenamed("grantee_principal_id", "principal_id"), [*k, "principal_id"], "left")))
     roles = _names(principals, k, "role_principal_id", "role_name")
-    members = role_members.select(*k, "role_principal_id", F.col("member_principal_id").alias("principal_id")).join(roles, [*k, "role_principal_id"])
-    # a role's grants are named once, not for each member
-    role_grants = described(grants.withColumnRenamed("grantee_principal_id", "role_principal_id")).select(
-        *k, "role_principal_id", "permission_name", "state_desc", "object_type", "object_name", "column_name"
-    ).distinct()
-    through = members.join(people, [*k, "principal_id"]).join(role_grants, [*k, "role_principal_id"], "left").withColumns(user)
+    members = (
+        role_members.select(*k, "role_principal_id", F.col("member_principal_id").alias("principal_id"))
+        .join(roles, [*k, "role_principal_id"]).join(people.select(*k, "principal_id", *user), [*k, "principal_id"])
+        .select(*k, F.col("role_name").alias("_role"), *user).distinct()
+    )
+    in_use = roles.join(existing(role_members, [*k, "role_principal_id"]), [*k, "role_principal_id"], "left_semi")
+    role_grants = (
+        with_names(in_use.join(grants.withColumnRenamed("grantee_principal_id", "role_principal_id"), [*k, "role_principal_id"], "left"))
+        .select(*k, "role_name", "permission_name", "state_desc", "object_type", "object_name", "column_name").distinct()
+    )
+    same = [members[c] == role_grants[c] for c in k] + [F.col("_role").eqNullSafe(F.col("role_name"))]
+    through = members.join(role_grants, same).select(*[members[c] for c in k], *user, "role_name", *shown)
     everyone = F.lit("{All Users}")
-    own_objects = objects.filter(F.col("is_ms_shipped") == 0) if has(objects, "is_ms_shipped") else objects
+    shipped = (F.col("is_ms_shipped") == 0) if has(objects, "is_ms_shipped") else F.col("object_name").isNotNull()
     public = (
         _names(principals.filter((F.col("type") == "R") & (F.col("name") == public_role)), k, "grantee_principal_id", "role_name")
         .join(grants, [*k, "grantee_principal_id"])
-        .join(_object_names(own_objects, k).drop("schema_id", "is_ms_shipped"), [*k, "major_id"])
-        .join(columns, [*k, "major_id", "minor_id"], "left")
+        .join(securables.filter(shipped), [*k, "major_id", "minor_id"])
         .withColumns({"user_name": everyone, "user_type": everyone, "database_user_name": everyone})
     )
-    return listed(direct).unionByName(listed(through)).unionByName(listed(public)).distinct()
+    # rows without a role name are the only ones that two parts may share
+    alone = direct.unionByName(through.filter(F.col("role_name").isNull())).distinct()
+    return alone.unionByName(through.filter(F.col("role_name").isNotNull())).unionByName(listed(public).distinct())
 
 
 def role_and_grant_listing(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("catalog", "workload", "storage", "history", "packages", "maintenance", "trace", "security", "topology", "streaming")
+AREAS = ("catalog", "workload", "storage", "history", "packages", "maintenance", "trace", "security", "grants", "topology", "streaming")
 
 
 def load_all():

@@ -170,14 +170,6 @@ ADAPTERS: dict[str, str] = {
         end as error_number
         from orders
     """,
-    "permissions": """
-        select l_suppkey as grantee_principal_id, l_partkey as major_id, l_linenumber % 3 as minor_id, case
-        l_returnflag when 'A' then 'SELECT' when 'N' then 'CONNECT' else 'EXECUTE' end as permission_name, case
-        l_linestatus when 'F' then 'GRANT' else 'DENY' end as state_desc, case when l_linenumber = 1 then 'DATABASE'
-        else 'OBJECT_OR_COLUMN' end as class_desc
-        from lineitem
-        where l_quantity = 50
-    """,
     "jobs": """
         select p_partkey as job_id, case when p_partkey % 50 = 0 then 'own' || p_partkey else 'job' || p_partkey end
         as name, p_partkey % 110 as owner_sid, case when p_partkey % 9 = 0 then 0 else 1 end as enabled, case when
@@ -590,6 +582,15 @@ ADAPTERS.update({
         select s_suppkey as member_principal_id, -1 - s_nationkey as role_principal_id from supplier where s_nationkey < 20
         union all select s_suppkey, -1 - (s_nationkey + 7) % 20 from supplier where s_acctbal > 5000
     """,
+    "nested_members": """
+        select s_suppkey as member_principal_id, -1000 - s_suppkey as role_principal_id from supplier
+        union all select -1000 - p_partkey, case when p_partkey < 3 then -1 - p_partkey else -1000 - cast(floor(p_partkey / 3) as bigint) end from part
+        union all select -1000 - p_partkey, -1000 - 3 * p_partkey from part where p_partkey % 40 = 1
+    """,
+    "role_nesting": """
+        select s_suppkey as member_principal_id, -1 - s_nationkey as role_principal_id from supplier
+        union all select -1 - n_nationkey, -1 - cast(floor(n_nationkey / 4) as bigint) from nation where n_nationkey % 8 < 3
+    """,
     "db_permissions": """
         select distinct case when l_orderkey % 2 = 0 then l_suppkey else -1 - l_suppkey % 25 end as grantee_principal_id, l_partkey as major_id,
         l_linenumber % 3 as minor_id,

@@ -59,8 +59,13 @@ def test_statements_reach_over_all_documents(spark, small_dir, check):
     assert plans.agg({"execution_count": "sum"}).first()[0] == check.execute("SELECT count(*) FROM events WHERE user_id IS NOT NULL").fetchone()[0]
 
 
-@pytest.mark.skipif(not os.environ.get("FLEET_TESTS"), reason="set FLEET_TESTS=1; runs every query twice")
-@pytest.mark.parametrize("name", [n for n in REGISTRY if n not in NOT_FLEET and not n.startswith("stream_")])
+FLEET = [n for n in REGISTRY if n not in NOT_FLEET and not n.startswith("stream_")]
+# always run: a window, an existence test, a rollup, a selection, permissions, factored grants
+ALWAYS = {"wait_pareto", "indexes_unused", "table_size_rollup", "select_by_patterns", "user_permission_audit", "member_grant_classes", "profile_permissions"}
+_often = pytest.mark.skipif(not os.environ.get("FLEET_TESTS"), reason="set FLEET_TESTS=1; runs every query twice")
+
+
+@pytest.mark.parametrize("name", [n if n in ALWAYS else pytest.param(n, marks=_often) for n in FLEET])
 def test_servers_do_not_mix(spark, small_dir, name):
     """On a fleet of equal servers each server gets the result of a single one."""
     q = REGISTRY[name]
