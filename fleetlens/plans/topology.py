@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators import samples, selection
+from fleetlens.operators import pattern_index, samples, selection
 from fleetlens.operators import topology as op
 from fleetlens.plans.registry import query
 from fleetlens.plans.storage import variants
@@ -123,6 +123,34 @@ def select_by_patterns(t):
     )
 
 
+_ENTRIES = """
+    WITH parsed AS (SELECT selection, position, entry, NOT starts_with(entry, '-') AS include, trim(CASE WHEN starts_with(entry, '-') THEN substr(entry, 2) ELSE entry END) AS bare FROM selection_entries),
+    entries AS (SELECT selection, position, entry, include, bare IN ('SYSTEM_DATABASES', 'USER_DATABASES') AS keyword,
+      lower(CASE WHEN starts_with(bare, '[') THEN replace(substr(bare, 2, length(bare) - 2), ']]', ']') ELSE bare END) AS pattern FROM parsed)
+"""
+_FITS = "lower(d.name) LIKE replace(pattern, '_', '\\_') ESCAPE '\\'"
+
+
+@query(
+    "selection:i name:s start_position:i",
+    _ENTRIES + f"""
+    SELECT selection, name, MIN(CASE WHEN include THEN position END) AS start_position
+    FROM databases d JOIN entries ON CASE WHEN keyword THEN pattern = 'user_databases' ELSE {_FITS} END
+    GROUP BY selection, name HAVING bool_or(include) AND NOT bool_or(NOT include)
+    """,
+)
+def select_by_table(t):
+    return pattern_index.select_by_table(t.databases, t.selection_entries).drop("recovery_model_desc", "owner_id", "is_read_only")
+
+
+@query(
+    "selection:i entry:s position:i",
+    _ENTRIES + f"SELECT selection, entry, position FROM entries WHERE NOT keyword AND NOT EXISTS (SELECT 1 FROM databases d WHERE {_FITS})",
+)
+def unmatched_entries(t):
+    return pattern_index.unmatched_entries(t.databases, t.selection_entries)
+
+
 @query(
     "variant:s database_name:s schema_name:s object_name:s index_name:s filegroup_name:s start_position:i",
     """

@@ -701,5 +701,13 @@ ADAPTERS.update({
         'T' || cast(floor(p_partkey / 8) as bigint) as object_name, 'IX_' || p_partkey as index_name, 'FG' || (p_size % 4) as filegroup_name
         from part
     """,
+    "selection_entries": """
+        select p_partkey % 60 as selection, p_partkey as position,
+        case p_partkey % 8 when 0 then 'db' || p_partkey || '%' when 1 then '%' || p_partkey when 2 then '-%' || (p_partkey % 997) || '%'
+        when 3 then '-DB' || (p_partkey * 3) when 4 then '[db' || p_partkey || ']' when 5 then 'db' || (p_partkey % 90) || '%' || (p_partkey % 10)
+        when 6 then 'd_' || p_partkey || '%' else case when p_partkey % 400 = 7 then 'SYSTEM_DATABASES' when p_partkey % 400 = 15 then '-[nobk%]'
+        when p_partkey % 400 = 23 then 'USER_DATABASES' when p_partkey % 400 = 31 then '%' else '%b' || (p_partkey % 800) || '%' end end as entry
+        from part
+    """,
     "group_databases": "select 'ag' || (c_nationkey % 12) as availability_group, 'db' || c_custkey as name from customer where c_nationkey < 20",
 })
