@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 from fleetlens.operators import history as op
 from fleetlens.plans.registry import query
 from fleetlens.plans.storage import variants
+from fleetlens.session import scratch
+from fleetlens.sources import keyed_log
 
 AS_OF = "2001-08-01 00:00:00"
 T = f"TIMESTAMP '{AS_OF}'"
 
+# fixed values: words for the backup types
 _TYPE = """CASE type WHEN 'D' THEN 'Database' WHEN 'L' THEN 'Log' WHEN 'I' THEN 'Differential' WHEN 'F' THEN 'File or filegroup'
   WHEN 'G' THEN 'Differential file' WHEN 'P' THEN 'Partial' WHEN 'Q' THEN 'Differential partial' ELSE 'Unknown' END"""
 _HISTORY = f"""
@@ -252,3 +255,20 @@ def command_log_report(t):
 )
 def last_good_check(t):
     return op.last_good_check(t.command_log, t.databases)
+
+
+@query(
+    "id:i database_name:s command_type:s start_time:t end_time:t error_number:i",
+    "SELECT id, database_name, command_type, start_time, end_time, error_number FROM command_log",
+)
+def command_log_merged(t):
+    """Starts and completions appended to a log in several commits, compacted in between, and merged on read."""
+    log = keyed_log.command_log(t.spark, scratch(t.spark, "command_log"))
+    done = t.command_log.filter(F.col("end_time").isNotNull())
+    early = F.col("id") % 3 == 0
+    keyed_log.log_started(log, t.command_log.filter(early))
+    keyed_log.log_completed(log, done.filter(early))
+    log.compact()
+    keyed_log.log_completed(log, done.filter(~early))
+    keyed_log.log_started(log, t.command_log.filter(~early))
+    return log.read()

@@ -7,7 +7,9 @@ the windows that are still open, the check leaves them out by the same rule.
 from pyspark.sql import functions as F
 
 from fleetlens.plans.registry import query
+from fleetlens.session import scratch
 from fleetlens.streaming import operators as op
+from fleetlens.streaming import stateful
 
 _TRACE = "SELECT t.event_id, e.name AS event_name, start_time, database_name FROM trace t JOIN trace_events e ON e.trace_event_id = t.event_class"
 
@@ -130,3 +132,16 @@ def stream_dedup_backups(t):
     media = t.backupmediafamily
     repeated = t.stream("backupset").join(media, "media_set_id")
     return op.run_to_table(op.stream_dedup_backups(repeated))
+
+
+@query(
+    "database_name:s type:s last_backup:t",
+    "SELECT database_name, type, MAX(backup_finish_date) AS last_backup FROM backupset GROUP BY database_name, type",
+)
+def stream_last_backup_upserts(t):
+    """The same table kept by a stream that writes only changed keys, in two runs from one checkpoint."""
+    base = scratch(t.spark, "last_backup")
+    log = stateful.last_backup_log(t.spark, f"{base}/table")
+    for _ in range(2):
+        stateful.run_upserts(stateful.last_backup_changes(t.stream("backupset")), log, f"{base}/state", "backups")
+    return log.read()
