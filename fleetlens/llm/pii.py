@@ -1,7 +1,8 @@
 """Personal data: pattern spans, and those a character-level BiLSTM-CRF adds.
 
 The tagger learns from spans that the patterns label in a bounded sample of windows of
-the corpus, and from the same spans written in ways the patterns miss.  A span that is
+the corpus, and from such spans written in ways the patterns miss, put into windows of the
+corpus: all kinds alike often, whatever the corpus holds, beside numbers that are none.  A span that is
 plausible at all lies in the unbroken word around an ``@``, or in the stretch of digits,
 blanks and separators around a digit, so overlapping windows are laid over these whole
 stretches, however long.  Each character takes its tag from the window that has it most
@@ -35,6 +36,8 @@ _WORD = re.compile(r"\S+")
 _NUMERIC = re.compile(r"[0-9\s().+/\-]+")  # all that the other kinds may hold, see plausible()
 
 SAMPLE_WINDOWS = 3000  # labelled windows that the tagger is fitted on, at most
+PLANTED = 12000  # windows that are made from these for the fit
+STEPS = 900  # of the fit, 48 windows each
 STEP = WIDTH // 2
 
 Span = tuple[int, int, str]
@@ -215,26 +218,79 @@ def added_spans(texts: list[str], based: list[list[Span]], tagger: Tagger, batch
     return out
 
 
-def _other_ways(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
-    """The window with its spans written in ways that the patterns miss."""
-    out, moved, at = "", [], 0
-    for a, b, kind in spans:
-        if a < at:
-            continue
-        out, own = out + text[at:a], text[a:b]
-        at = b
-        if kind == "phone":
-            own = rng.choice([re.sub(r"^\+\d+ ?", "", own), own.replace("+", "00"), own.replace(" ", "/")])
-        elif kind == "ip":
-            own = rng.choice([own, own.replace(".", " ")])
-        elif kind == "card":
-            own = rng.choice(["-", ".", "/", "  "]).join(own.replace("-", "")[i : i + 4] for i in range(0, len(own.replace("-", "")), 4))
+def _digits_anew(own: str, rng: np.random.Generator) -> str:
+    """The same shape with other digits; an address keeps parts of at most 255."""
+    if own.count(".") == 3:
+        return ".".join(str(int(rng.integers(1, 256))) for _ in range(4))
+    return re.sub("[0-9]", lambda _: str(int(rng.integers(0, 10))), own)
+
+
+def written_otherwise(own: str, kind: str, word: str, rng: np.random.Generator) -> str:
+    """A span of a kind written in one of the ways that its pattern misses; ``word`` is some word of the corpus."""
+    pick = lambda *some: some[int(rng.integers(0, len(some)))]
+    if kind == "email":
+        local, _, host = own.partition("@")
+        name = pick(local, word, f"{word}.{local}", f"{local}_{word}", f"{word}-{word}.{local}", f"maria.{word}.de.la.{word}")
+        accent, place = pick(*"éèáàöüñçøå"), int(rng.integers(0, 4))
+        if place == 0:
+            return f"{name}{accent}@{host}"
+        if place == 1:
+            return f"{accent}{name}{accent}@{host}"
+        if place == 2:
+            return f"{name}@{word[:6]}{accent}{word[6:9]}.{host}"
+        return f"{name[: len(name) // 2]}{accent}{name[len(name) // 2 :]}{accent}@{host}"
+    if kind == "ip":
+        return pick(" ", " ", ". ", " . ", " .", "  ").join(_digits_anew(own, rng).split("."))
+    digits = _digits(_digits_anew(own, rng))
+    if kind == "card":
+        sizes = pick((4, 4, 4, 4), (4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3))
+        cuts = np.cumsum((0, *sizes))
+        groups = [g for a, b in zip(cuts[:-1], cuts[1:]) if (g := digits[a:b])]
+        return pick(".", "/", "  ", " - ", "- ", ". ", " / ").join(groups)
+    area, first, last = digits[-10:-7] or "743", digits[-7:-4], digits[-4:]
+    gap = pick(" ", "-", ".", "/", " ")
+    start = pick("", "", "0", "001 ", "0049 ", "00 44 ", "1-", "0", "1 ", "011 1 ", "+1/")
+    middle = pick(area, f"({area})", f"({area}) ", area)
+    return f"{start}{middle}{'' if middle.endswith(' ') else gap}{first}{pick(gap, '', ' ', '-')}{last}"
+
+
+def _no_span(rng: np.random.Generator) -> str:
+    """Numbers that are no personal data: dates, times, sums, versions, pages, long counts."""
+    n = lambda a, b: int(rng.integers(a, b))
+    some = [
+        f"{n(1950, 2030)}-{n(1, 13):02d}-{n(1, 29):02d}", f"{n(1, 29)}.{n(1, 13)}.{n(1950, 2030)}", f"{n(1, 29)}/{n(1, 13)}/{n(1950, 2030)}", f"{n(0, 24)}:{n(0, 60):02d}",
+        f"{n(1, 999)},{n(0, 1000):03d}.{n(0, 100):02d}", f"version {n(1, 9)}.{n(0, 20)}.{n(0, 20)}", f"pp. {n(1, 99)}-{n(100, 300)}", f"({n(1950, 2030)})", str(n(1, 10**6)),
+        f"{n(1950, 2030)}-{n(1950, 2030)}", f"{n(1, 99)} x {n(1, 99)}", f"{n(1, 99)}.{n(0, 99)} %", f"{n(1, 50)}, {n(1, 50)}, {n(1, 50)} and {n(1, 50)}", "@home", "a @ b", f"room {n(1, 900)}",
+        f"{n(1, 30)} 000 {n(100, 999)}", f"no. {n(10**11, 10**12)}",
+    ]
+    return some[int(rng.integers(0, len(some)))]
+
+
+def _planted(windows: list[str], spans: dict[str, list[str]], number: int, rng: np.random.Generator) -> tuple[list[str], list[list[Span]]]:
+    """Windows of the corpus with spans of all kinds alike put in, most of them written otherwise,
+    and with numbers that are none; a third holds no span."""
+    kinds = [k for k in KINDS if spans[k]]
+    words = sorted({w.lower() for text in windows[:500] for w in re.findall(r"[A-Za-z]{3,12}", text)}) or ["some"]
+    draw = lambda some: some[int(rng.integers(0, len(some)))]
+    texts, tagged = [], []
+    for i in range(number if kinds else 0):
+        # what surrounds the span: prose of the corpus without its own numbers
+        around = [re.sub(r"\S*[0-9@]\S*", draw(words), draw(windows)) for _ in range(2)]
+        kind = kinds[i % len(kinds)] if rng.random() < 0.67 else None
+        if kind is None:
+            own = _no_span(rng)
         else:
-            long = rng.choice(["maria.elena.de.la.", "jean-jacques.andré.", "anna_sofie.von.der.linden."])
-            own = rng.choice(["é" + own, own.replace("@", "é@", 1), long + own.replace("@", "é@", 1), long + own.replace("@", ".sébastien.ragnarsdóttir@", 1)])
-        moved.append((len(out), len(out) + len(own), kind))
-        out += own
-    return out + text[at:], moved
+            own = draw(spans[kind])
+            own = written_otherwise(own, kind, draw(words), rng) if rng.random() < 0.8 else own if kind == "email" else _digits_anew(own, rng)
+        before = around[0].rstrip() + draw([" ", " ", " ", ": ", ", ", " (", "\n"])
+        lead = int(rng.integers(0, 34))  # as much of it as the window shows
+        before = before[-lead:] if lead else ""
+        drop = int(rng.integers(1, max(2, len(own) // 2))) if not before and rng.random() < 0.5 else 0
+        text = before + own[drop:] + draw([" ", " ", ". ", ", ", ") ", "\n"]) + around[1].lstrip()
+        texts.append(text[:WIDTH])
+        # a span that began before the window goes on in it
+        tagged.append([] if kind is None else [(len(before) - drop, len(before) + len(own) - drop, kind)])
+    return texts, tagged
 
 
 def fit(docs: DataFrame, most: int = SAMPLE_WINDOWS) -> Tagger:
@@ -254,18 +310,22 @@ def fit(docs: DataFrame, most: int = SAMPLE_WINDOWS) -> Tagger:
 
     rows = docs.select("text").mapInArrow(cut, "w string, spans string").distinct()
     rows = rows.orderBy(F.xxhash64("w", "spans"), "w", "spans").limit(most).collect()
-    rng, x, y = np.random.default_rng(5), [], []
+    rng, x, y, spans = np.random.default_rng(5), [], [], {k: [] for k in KINDS}
     for r in rows:
         own = [(int(a), int(b), k) for a, b, k in (p.split(":") for p in r["spans"].split(",") if p)]
-        own.sort()
-        for text, spans in [(r["w"], own), *([_other_ways(r["w"], own, rng)] if own and all(a >= 0 and b <= WIDTH for a, b, _ in own) else [])]:
-            shift = int(rng.integers(0, 8))
-            x.append(_coded(text[shift:], [0])[0])
-            y.append(tags_of(spans, shift))
+        for a, b, k in own:
+            if a >= 0 and b <= len(r["w"]):
+                spans[k].append(r["w"][a:b])
+        shift = int(rng.integers(0, 8))
+        x.append(_coded(r["w"][shift:], [0])[0])
+        y.append(tags_of(own, shift))
+    texts, tagged = _planted([r["w"] for r in rows], spans, PLANTED, rng)
+    x += [_coded(t, [0])[0] for t in texts]
+    y += [tags_of(own, 0) for own in tagged]
     tagger = Tagger(1 + 2 * len(KINDS))
     if not x:
         tagger.p["bias"][0] = 50.0
-    return tagger.fit(np.array(x), np.array(y)) if x else tagger
+    return tagger.fit(np.array(x), np.array(y), steps=STEPS, batch=48) if x else tagger
 
 
 def find(docs: DataFrame, tagger: Tagger, keep: list[str], text: str = "text") -> DataFrame:
