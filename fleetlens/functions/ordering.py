@@ -72,3 +72,29 @@ def running_totals(
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
     """Row number per group in ``order`` (which must be a total order)."""
     return running_totals(df, keys, order).drop("sum_before", "sum_total").withColumnRenamed("position", name)
+
+
+def previous_values(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], prefix: str = "previous_", slices: int | None = None
+) -> DataFrame:
+    """Add ``previous_`` columns: ``values`` of the row before in ``order`` of the same ``keys`` group.
+
+    A window alone would send a hot group to one task.  Here groups are cut into slices as in
+    :func:`running_totals`; the last row of each slice is carried to the first row of the next
+    one of its group.  ``order`` must be total; null keys are a group.
+    """
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(slices, *[F.col(c) for c in (*keys, *order)]).withColumn("_slice", F.spark_partition_id())
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    row = F.struct(*values)
+    placed = spread.withColumns({"_before": F.lag(row).over(local), "_first": F.row_number().over(local) == 1}).checkpoint()
+    # one row a group and slice
+    last = placed.groupBy(*keys, "_slice").agg(F.max_by(row, F.struct(*order)).alias("_last"))
+    carried = last.select(
+        *[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_slice").alias("_k_slice"), F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry")
+    ).where("_carry IS NOT NULL")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys] + [F.col("_slice") == F.col("_k_slice"), F.col("_first")]
+    met = placed.join(carried, same, "left").withColumn("_before", F.coalesce("_before", "_carry"))
+    return met.select(*df.columns, *[F.col("_before")[c].alias(f"{prefix}{c}") for c in values])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fleetlens.operators import counters
 from fleetlens.operators import workload as op
 from fleetlens.plans.registry import check_ratio, query
 
@@ -208,3 +209,31 @@ def error_log_filter(t):
     everywhere = op.error_log_filter(t.event_log, exclude_like="%7%Connected%").withColumn("variant", F.lit("no 7 in text"))
     one = op.error_log_filter(t.event_log, "db7", "%9%").withColumn("variant", F.lit("one database"))
     return everywhere.unionByName(one)
+
+
+_DELTAS = """
+    SELECT counter_name, sample_time, sample_id, value, previous_time, date_diff('microsecond', previous_time, sample_time) AS elapsed_us,
+      CASE WHEN previous_time IS NOT NULL THEN CASE WHEN value < before THEN value ELSE value - before END END AS delta,
+      COALESCE(value < before, FALSE) AS was_reset
+    FROM (SELECT *, LAG(sample_time) OVER w AS previous_time, LAG(value) OVER w AS before FROM counter_samples WHERE value IS NOT NULL
+      WINDOW w AS (PARTITION BY counter_name ORDER BY sample_time, sample_id))
+"""
+
+
+@query(
+    "counter_name:s sample_time:t sample_id:i value:i previous_time:t elapsed_us:i delta:i was_reset:b",
+    _DELTAS + " UNION ALL SELECT counter_name, sample_time, sample_id, NULL, NULL, NULL, NULL, FALSE FROM counter_samples WHERE value IS NULL",
+)
+def counter_deltas(t):
+    return counters.counter_deltas(t.counter_samples)
+
+
+@query(
+    "counter_name:s window_start:t total:i covered_us:i resets:i",
+    f"""
+    SELECT counter_name, date_trunc('hour', sample_time) AS window_start, SUM(delta) AS total, SUM(elapsed_us) AS covered_us, SUM(was_reset::INT) AS resets
+    FROM ({_DELTAS}) WHERE delta IS NOT NULL GROUP BY ALL
+    """,
+)
+def counter_rates(t):
+    return counters.counter_rates(counters.counter_deltas(t.counter_samples))

@@ -97,6 +97,11 @@ ADAPTERS: dict[str, str] = {
         from lineitem
         group by l_partkey
     """,
+    "counter_samples": """
+        select case when event_id % 3 = 0 then 'HOT' else 'C' || (user_id % 20) end as counter_name, ts as sample_time, event_id as sample_id,
+        case when event_id % 50 = 7 then null else (event_id % 4000) * 25 + user_id % 7 end as value
+        from events
+    """,
     "wait_ignore": """
         select 'W' || p_partkey as wait_type
         from part
