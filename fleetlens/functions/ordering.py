@@ -98,3 +98,23 @@ def previous_values(
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys] + [F.col("_slice") == F.col("_k_slice"), F.col("_first")]
     met = placed.join(carried, same, "left").withColumn("_before", F.coalesce("_before", "_carry"))
     return met.select(*df.columns, *[F.col("_before")[c].alias(f"{prefix}{c}") for c in values])
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str = "max_before", slices: int | None = None) -> DataFrame:
+    """Add ``name``: the greatest ``value`` of the rows before in ``order`` of the same ``keys`` group, null for the first.
+
+    Cut into slices like :func:`previous_values`; the greatest value of the earlier slices is carried
+    to each slice.  ``order`` must be total up to equal rows; null keys are a group, null values are passed over."""
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.withColumn("_value", value).repartitionByRange(slices, *[F.col(c) for c in keys], *order).withColumn("_slice", F.spark_partition_id())
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = spread.withColumn("_local", F.max("_value").over(local)).checkpoint()
+    # one row a group and slice
+    tops = placed.groupBy(*keys, "_slice").agg(F.max("_value").alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_slice").alias("_k_slice"), F.max("_top").over(earlier).alias("_carry")).where("_carry IS NOT NULL")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys] + [F.col("_slice") == F.col("_k_slice")]
+    met = placed.join(carried, same, "left")
+    return met.select(*df.columns, F.greatest("_local", "_carry").alias(name))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fleetlens.operators import chains
 from fleetlens.operators import history as op
 from fleetlens.plans.registry import query
 from fleetlens.plans.storage import variants
@@ -272,3 +273,58 @@ def command_log_merged(t):
     keyed_log.log_completed(log, done.filter(~early))
     keyed_log.log_started(log, t.command_log.filter(~early))
     return log.read()
+
+
+_LOGS = "SELECT * FROM bk_chain WHERE type = 'L' AND is_damaged = 0"
+_REACH = """
+    , walk AS (SELECT database_name, recovery_fork, id, lsn, lsn AS r FROM points
+      UNION SELECT w.database_name, w.recovery_fork, w.id, w.lsn, l.last_lsn FROM walk w JOIN logs l
+        ON l.database_name = w.database_name AND l.recovery_fork = w.recovery_fork AND l.first_lsn <= w.r AND l.last_lsn > w.r)
+    , reached AS (SELECT database_name, recovery_fork, id, lsn, MAX(r) AS r FROM walk GROUP BY ALL)
+    , met AS (SELECT p.*, EXISTS (SELECT 1 FROM logs l WHERE l.database_name = p.database_name AND l.recovery_fork = p.recovery_fork AND l.first_lsn <= p.lsn AND l.last_lsn >= p.lsn) AS covered
+      FROM reached p)
+"""
+
+
+@query(
+    "database_name:s recovery_fork:i backup_set_id:i first_lsn:i last_lsn:i chain_start:i chain_end:i place:s missing:i",
+    f"""
+    WITH logs AS ({_LOGS}),
+    reached AS (SELECT *, MAX(last_lsn) OVER (PARTITION BY database_name, recovery_fork ORDER BY first_lsn, last_lsn, backup_set_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM logs),
+    counted AS (SELECT *, reach IS NULL OR first_lsn > reach AS opens, SUM(CASE WHEN reach IS NULL OR first_lsn > reach THEN 1 ELSE 0 END)
+      OVER (PARTITION BY database_name, recovery_fork ORDER BY first_lsn, last_lsn, backup_set_id) AS chain FROM reached)
+    SELECT *, MIN(first_lsn) OVER c AS chain_start, MAX(last_lsn) OVER c AS chain_end, CASE WHEN opens AND reach IS NOT NULL THEN first_lsn - reach END AS missing,
+      CASE WHEN reach IS NULL THEN 'start' WHEN opens THEN 'gap' WHEN last_lsn <= reach THEN 'covered' WHEN first_lsn < reach THEN 'overlap' ELSE 'next' END AS place
+    FROM counted WINDOW c AS (PARTITION BY database_name, recovery_fork, chain)
+    """,
+)
+def backup_log_chains(t):
+    return chains.backup_log_chains(t.bk_chain)
+
+
+@query(
+    "database_name:s recovery_fork:i start_id:i start_lsn:i restorable_lsn:i has_log_chain:b",
+    f"""
+    WITH RECURSIVE logs AS ({_LOGS}),
+    points AS (SELECT database_name, recovery_fork, backup_set_id AS id, last_lsn AS lsn FROM bk_chain WHERE type IN ('D', 'I') AND is_damaged = 0)
+    {_REACH}
+    SELECT database_name, recovery_fork, id AS start_id, lsn AS start_lsn, r AS restorable_lsn, covered AS has_log_chain FROM met
+    """,
+)
+def last_restorable_points(t):
+    return chains.last_restorable_points(t.bk_chain, ("D", "I"))
+
+
+@query(
+    "database_name:s recovery_fork:i parent_fork:i fork_lsn:i parent_reaches:b continues:b reaches:i",
+    f"""
+    WITH RECURSIVE logs AS ({_LOGS}),
+    points AS (SELECT database_name, recovery_fork, recovery_fork AS id, fork_lsn AS lsn FROM bk_forks)
+    {_REACH}
+    SELECT f.*, m.covered AS continues, m.r AS reaches, EXISTS (SELECT 1 FROM logs l WHERE l.database_name = f.database_name AND l.recovery_fork = f.parent_fork
+      AND l.first_lsn <= f.fork_lsn AND l.last_lsn >= f.fork_lsn) AS parent_reaches
+    FROM bk_forks f JOIN met m ON m.database_name = f.database_name AND m.recovery_fork = f.recovery_fork AND m.id = f.recovery_fork
+    """,
+)
+def fork_continuity(t):
+    return chains.fork_continuity(t.bk_chain, t.bk_forks)

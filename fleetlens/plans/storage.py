@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fleetlens.operators import dependencies
 from fleetlens.operators import storage as op
 from fleetlens.plans.registry import check_ratio, query
 
@@ -521,3 +522,28 @@ def table_ddl_text(t):
 )
 def cdc_tables(t):
     return op.cdc_tables(t.tables, t.schemas)
+
+
+_BROKEN = """
+    WITH RECURSIVE refs AS (SELECT DISTINCT r.referencing_id AS u, r.referenced_id AS v, o.object_id IS NOT NULL AS there FROM object_references r
+      JOIN code_objects s ON s.object_id = r.referencing_id LEFT JOIN code_objects o ON o.object_id = r.referenced_id),
+    walk AS (SELECT DISTINCT u, 1 AS distance FROM refs WHERE NOT there
+      UNION SELECT refs.u, distance + 1 FROM walk JOIN refs ON refs.v = walk.u AND there WHERE distance < 40),
+    broken AS (SELECT u, MIN(distance) AS distance FROM walk GROUP BY u)
+"""
+
+
+@query(
+    "object_id:i name:s type_desc:s distance:i via_id:i",
+    _BROKEN + """
+    SELECT o.object_id, o.name, o.type_desc, b.distance, (SELECT MIN(r.v) FROM refs r JOIN broken n ON n.u = r.v WHERE r.u = b.u AND n.distance = b.distance - 1) AS via_id
+    FROM broken b JOIN code_objects o ON o.object_id = b.u
+    """,
+)
+def broken_objects(t):
+    return dependencies.broken_objects(t.object_references, t.code_objects)
+
+
+@query("type_desc:s distance:i objects:i", _BROKEN + "SELECT o.type_desc, b.distance, COUNT(*) AS objects FROM broken b JOIN code_objects o ON o.object_id = b.u GROUP BY ALL")
+def broken_impact(t):
+    return dependencies.broken_impact(dependencies.broken_objects(t.object_references, t.code_objects))

@@ -331,6 +331,12 @@ ADAPTERS.update({
         case o_orderstatus when 'F' then 'SQL_TRIGGER' when 'O' then 'VIEW' else 'SQL_STORED_PROCEDURE' end as type_desc
         from orders
     """,
+    "object_references": """
+        select o_orderkey as referencing_id, cast(floor(o_orderkey / 3) as bigint) as referenced_id from orders where o_orderkey > 2
+        union all select p_partkey, 2 * p_partkey + 1 from part where p_partkey % 5 = 0
+        union all select c_custkey, -1 - c_custkey from customer where c_custkey % 29 = 3
+        union all select l_orderkey, l_orderkey + l_linenumber from lineitem where l_orderkey % 10 = 4
+    """,
     "known_objects": "select p_partkey as object_id from part where p_size <= 45",
     "code_dependencies": """
         select l_orderkey as referencing_id, l_partkey as referenced_name_id, l_linenumber % 2 as is_ambiguous,
@@ -433,6 +439,18 @@ ADAPTERS.update({
         case when o_orderpriority = '1-URGENT' then 1 else 0 end as is_damaged, o_orderkey as last_lsn
         from orders
     """,
+    "bk_chain": """
+        select case when o_orderkey % 3 = 0 then 'hot' else 'db' || (o_custkey % 50) end as database_name, o_orderkey % 4 as recovery_fork, o_orderkey as backup_set_id,
+        case o_orderkey % 20 when 5 then 'D' when 12 then 'I' else 'L' end as type,
+        o_orderkey as first_lsn, o_orderkey + case when o_orderkey % 3 = 0 then (o_orderkey * 7) % 30 else (o_orderkey * 13) % 900 end as last_lsn,
+        case when o_orderkey % 11 = 0 then 1 else 0 end as is_damaged
+        from orders
+    """,
+    "bk_forks": """
+        select 'hot' as database_name, o_orderkey as recovery_fork, o_orderkey - 1 as parent_fork, o_orderkey * 400 + 37 as fork_lsn
+        from orders where o_orderkey between 1 and 3
+        union all select 'db' || c_custkey, 1, 0, c_custkey * 20 + 300 from customer where c_custkey < 50
+    """,
     "diff_bases": "select 'db' || c_custkey as database_name, c_custkey * 7 as differential_base_lsn from customer where c_acctbal > 0",
     "job_schedules_full": """
         select p_partkey as job_id, p_partkey as schedule_id, 'sched ' || p_partkey as name,
