@@ -1,23 +1,29 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Words are split by their training counts.  The ``alphabet`` most frequent ones and the
-end of a text are dishes of their own; all others share one dish there and are told
-apart in a restaurant of rare words, whose base is uniform.  Every dish has a context
-restaurant for what follows it, and all context restaurants share one parent.
-
-Seatings are sampled by Gibbs sweeps.  In turn, all customers of a dish get up and are
-seated again one after the other by the Chinese restaurant process, given the tables of
-the other dishes and the parent's probabilities; a Metropolis test makes up for the
-changing normaliser, so the sweep keeps the posterior.  Only the number of tables
-matters, and the customers between two new tables are skipped at once.  Predictive
-probabilities are averaged over the sweeps after the first ones.
-
-The context model has a fixed size (alphabet squared).  The rare words grow with the
-corpus: their counts and seats stay in a table, and texts meet it in a join.
+Every word of the training texts has a context restaurant for what follows it (the start of a text is
+one too), and all context restaurants share one parent over all words and the end of a text, whose base is
+uniform over them and one unknown word.  The model grows with the corpus: every pair of neighbouring words
+is a dish, none is merged or left out.
+
+Seatings are sampled by Gibbs sweeps.  In a sweep all customers of a dish get up and are seated again by the
+Chinese restaurant process, given the tables of the other dishes and the parent's probability; a Metropolis
+test makes up for the changing normaliser.  Dishes of a restaurant are seated side by side against the tables
+before the sweep; after the 16th customer of a dish a sixteenth of those seated sit down in one binomial draw.
+Tables of contexts are means over the sweeps after the first ones; predictive probabilities are linear in
+them, so these are averaged probabilities.  Contexts are seated against word frequencies (rare words against their
+mean); the parent then seats the tables that they sent, in 6 sweeps, averaged over dishes of equal customers.
+
+Where it lives: a word is a small number if it is one of the ``known`` most frequent, else 63 bits of its hash.
+Pairs are combined in the tasks, packed, and sent to buckets by context, whose number grows with the corpus;
+contexts that would fill a good part of a bucket are split over all buckets by the next word.  Scoring sends the pairs
+of the texts to the same buckets: the log probability of a pair is a part of the context, a part of the word,
+and what a seen pair adds, so only the last needs the buckets.  A lost executor repeats with the same seeds, which
+belong to the buckets.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,227 +31,343 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.text import above_count, count_words, fixed, raw
+from fleetlens.llm.text import above_count, count_words, raw, small_side
+from fleetlens.session import scratch
 
-ALPHABET = 1024  # dishes of the context restaurants: end, rare, and the most frequent words
-KNOWN = 131_072  # words whose counts every worker has; the others are joined
-SWEEPS, BURN_IN = 3, 1
-DISCOUNT, STRENGTH = 0.6, 1.0  # of the context restaurants and their parent
-RARE_DISCOUNT, RARE_STRENGTH = 0.7, 1.0  # of the restaurant of rare words
-END, RARE = 0, 1
+KNOWN = 131_072  # words that every worker holds; the others are joined
+BUCKET = 4_000_000  # training tokens a bucket
+FLUSH = 2_000_000  # tokens that a task holds before it packs their pairs
+SWEEPS, BURN_IN = 4, 2
+DISCOUNT, STRENGTH = 0.75, 1.0  # of the context restaurants
+PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 1.0
+END, HIGH = 0, 1 << 63
+TABLE, OUTCOMES, CONTEXTS, REQUEST, CHANCE = range(5)  # kinds of rows
 
 
-def seated(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator):
-    """Tables of dishes after their ``c`` customers sat down again one by one, and the log of
-    the product of the normalisers that they met.
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as a compressed table to the shared folder."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    ``a`` is strength plus discount times the tables of the other dishes, ``p`` the parent's
-    probability of the dish.  With i seated at t tables a new one has the weight (a + d t) p,
-    the others together i - d t; the next new table is drawn from how long none comes.
-    """
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of equal length, compressed byte by byte place."""
+    bytewise = [np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    return pickle.dumps([len(columns[0]), *[pa.compress(b, codec="zstd", asbytes=True) for b in bytewise]])
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    n, *columns = pickle.loads(data)
+    whole = [np.frombuffer(pa.decompress(c, 8 * n, codec="zstd", asbytes=True), np.uint8) for c in columns]
+    return [np.ascontiguousarray(w.reshape(8, n).T).view(np.uint64).ravel() for w in whole]
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _spread(_spread(u) + w)
+
+
+def seated(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of dishes after their ``c`` customers sat down again, and the log of the product of the
+    normalisers that they met.  ``a`` is strength plus discount times the tables of the other dishes,
+    ``p`` the parent's probability of the dish: at t tables a new one has the weight (a + d t) p."""
     tables, sat, norm = np.ones(len(c)), np.ones(len(c)), np.zeros(len(c))
     live = np.flatnonzero(c > 1)
     while len(live):
         t, i = tables[live], sat[live]
-        b = (a[live] + d * t) * p[live]
-        x = i - d * t
-        middle = (b - 1) / 2
-        with np.errstate(over="ignore"):
-            skip = np.floor(np.maximum(x + middle, 1e-9) * np.exp(-np.log(rng.random(len(live))) / np.maximum(b, 1e-12)) - (x + middle))
-        j = np.minimum(i + np.maximum(skip, 0), c[live])  # customers seated before the new table
-        norm[live] += _gain(x + b, j - i)
-        more = j < c[live]
-        norm[live[more]] += np.log((j + b - d * t)[more])
-        sat[live] = j + more
-        tables[live] += more
-        live = live[more & (sat[live] < c[live])]
+        step = np.minimum(np.maximum(np.floor(i / 16), 1), c[live] - i)
+        new, old = (a[live] + d * t) * p[live], i + (step - 1) / 2 - d * t
+        tables[live] += rng.binomial(step.astype(np.int64), new / (new + old))
+        norm[live] += step * np.log(new + old)
+        sat[live] += step
+        live = live[sat[live] < c[live]]
     return tables, norm
 
 
-def _gain(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log of x (x+1) ... (x+n-1), by Stirling's series above ten and term by term below."""
-    out, x = np.zeros(len(x)), x.copy()
-    n = n.copy()
-    while (low := (x < 10) & (n > 0)).any():
-        out[low] += np.log(x[low])
-        x[low] += 1
-        n[low] -= 1
-    s = lambda v: (v - 0.5) * np.log(v) - v + 1 / (12 * v)
-    big = n > 0
-    out[big] += s((x + n)[big]) - s(x[big])
-    return out
-
-
-def sweep(c, tables, norm, p, d: float, strength: float, rng: np.random.Generator, others: float | None = None):
-    """One Gibbs sweep over the dishes of a restaurant; ``others`` are its tables elsewhere.
-
-    Dishes are seated side by side against the tables before the sweep."""
-    total = tables.sum() if others is None else others
-    a = strength + d * (total - tables)
-    new, new_norm = seated(c, a, p, d, rng)
+def sweep(c, tables, norm, totals, p, d: float, strength: float, rng: np.random.Generator):
+    """One Gibbs sweep over dishes; ``totals`` are the tables of the restaurant of each dish."""
+    new, new_norm = seated(c, strength + d * (totals - tables), p, d, rng)
     if norm is None:
         return new, new_norm
     keep = np.log(rng.random(len(c))) > new_norm - norm
     return np.where(keep, tables, new), np.where(keep, norm, new_norm)
 
 
-def _restaurants(pairs: DataFrame, parent: np.ndarray, seed: int) -> DataFrame:
-    """``u``, ``w``, ``t`` (tables) for all pairs ``u``, ``w``, ``n``: a restaurant is a group
-    of at most ``ALPHABET`` rows."""
+def parent_tables(customers: np.ndarray, dishes: np.ndarray, base: float, seed: int, copies: int = 16) -> tuple[np.ndarray, float]:
+    """Mean tables of a dish with each number of ``customers`` (``dishes`` of them have it), and all tables."""
+    rng = np.random.default_rng(seed)
+    c, weight = np.repeat(customers.astype(np.float64), copies), np.repeat(dishes / copies, copies)
+    p, tables, norm, mean = np.full(len(c), base), np.ones(len(c)), None, np.zeros(len(c))
+    for k in range(6):
+        tables, norm = sweep(c, tables, norm, (weight * tables).sum(), p, PARENT_DISCOUNT, PARENT_STRENGTH, rng)
+        mean += tables / 4 if k >= 2 else 0
+    return mean.reshape(-1, copies).mean(axis=1), float((weight * mean).sum())
 
-    def seat(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("w")
-        rng = np.random.default_rng([seed, int(key[0])])
-        c, p = group["n"].to_numpy(np.float64), parent[group["w"].to_numpy()]
-        tables, norm = sweep(c, np.ones(len(c)), None, p, DISCOUNT, STRENGTH, rng)
-        for _ in range(2):
-            tables, norm = sweep(c, tables, norm, p, DISCOUNT, STRENGTH, rng)
-        return pd.DataFrame({"u": group["u"], "w": group["w"], "t": tables.astype(np.int64)})
 
-    return pairs.groupBy("u").applyInPandas(seat, "u int, w int, t long")
+@dataclass
+class Codes:
+    """What every worker needs to number words and to find the bucket of a pair."""
+
+    words: dict[bytes, int]  # known words, from 1
+    split: np.ndarray  # by known code: is the context dealt over all buckets
+    buckets: int
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        get, rest = self.words.get, xxhash.xxh64_intdigest
+        return np.array([END, *[get(w) or rest(w, 42) | HIGH for w in found], END], np.uint64)
 
+    def is_split(self, u: np.ndarray) -> np.ndarray:
+        return self.split[np.minimum(u, np.uint64(len(self.split) - 1)).astype(np.int64)]
 
-def _predictive(c: np.ndarray, t: np.ndarray, p: np.ndarray, d: float, strength: float) -> np.ndarray:
-    """Of restaurants (rows) and dishes: what the next customer eats."""
-    left = np.maximum(c - d * t, 0) + (strength + d * t.sum(axis=-1, keepdims=True)) * p
-    return left / (strength + c.sum(axis=-1, keepdims=True))
+    def bucket(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return ((np.where(self.is_split(u), _pair(u, w), _spread(u)) >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
 
 
 @dataclass
 class Model:
-    words: dict[bytes, int]  # known words; the first ones are in the alphabet
-    base_logs: np.ndarray  # by known word, then unknown
-    rare_logs: np.ndarray  # by known word (0 in the alphabet)
-    counts_known: np.ndarray
-    dish: np.ndarray  # alphabet dish by known word, then RARE
-    context_logs: np.ndarray  # log10 of dish (column) after dish (row)
-    end_log: float
+    codes: Codes
+    base_logs: np.ndarray  # by known code (0 is the end), then 0 for the others
+    word_logs: np.ndarray  # parts of the word as context and as outcome together, likewise
+    chance: np.ndarray  # the parent's probability by known code
+    tables: np.ndarray  # mean tables of the context by known code
     end_known: int
     total: int
-    rare_nothing: float  # log10 of a word that training has not
+    nothing: float  # log10 of a word that training has not
     base_nothing: float
 
 
-def _contexts(train: DataFrame, text: str, dishes: dict[bytes, int], size: int, seed: int) -> np.ndarray:
-    """Averaged predictive probabilities of every dish after every dish."""
+@dataclass
+class Stored:
+    """Tables that grow with the corpus."""
+
+    words: DataFrame  # word, n, word_log: of words that the model does not hold
+    pairs: DataFrame  # bucket, kind, data
+    chances: DataFrame  # bucket, code, p: the parent's probability of words that the model does not hold
+
+
+def _sums(u: np.ndarray, w: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct pairs in order with sums of ``values``."""
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]) if len(u) else np.zeros(0, np.int64)
+    return [u[first], w[first], *[np.add.reduceat(v[order], first) if len(u) else v for v in values]]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], codes: Codes, combine) -> Iterator[pa.RecordBatch]:
+    """Packed rows of each bucket; ``combine`` makes columns that begin with context and word from arrays of contexts, words and rows."""
+    us, ws, rows, held, at = [], [], [], 0, TaskContext.get().partitionId() << 33
+
+    def out():
+        columns = combine(np.concatenate(us), np.concatenate(ws), np.repeat(np.array([r for r, _ in rows], np.uint64), [n for _, n in rows]))
+        bucket = codes.bucket(columns[0], columns[1])
+        order = np.argsort(bucket, kind="stable")
+        names, start = np.unique(bucket[order], return_index=True)
+        for b, part in zip(names, np.split(order, start[1:])):
+            context = columns[0][part]
+            data = pack(np.diff(context, prepend=np.uint64(0)), *[c[part] for c in columns[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
+        for x in (us, ws, rows):
+            x.clear()
+
+    for batch in batches:
+        for value in raw(batch.column(0)):
+            own = codes.of((value or b"").lower().split())
+            us.append(own[:-1])
+            ws.append(own[1:])
+            rows.append((at, len(own) - 1))
+            at, held = at + 1, held + len(own)
+            if held > FLUSH:
+                yield from out()
+                held = 0
+    if us:
+        yield from out()
+
+
+def _pieces(data) -> list[np.ndarray]:
+    """Columns of packed chunks, joined; contexts are no longer differences."""
+    parts = [unpack(bytes(d)) for d in data]
+    return [np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), *[np.concatenate(c) for c in zip(*[x[1:] for x in parts])]]
+
+
+def _seat(train: DataFrame, text: str, shared, first_chance: np.ndarray, rare_chance: float, seed: int) -> DataFrame:
+    """``bucket``, ``kind``, ``data``: pairs with counts and tables, tables by word, tables by context."""
+
+    def count(batches):
+        return _chunks(batches, shared.value, lambda u, w, _: _sums(u, w, np.ones(len(u), np.int64)))
+
+    chances = train.sparkSession.sparkContext.broadcast(first_chance)
 
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size * size, np.int64)
-        get = dishes.get
+    def seat(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        codes, rng = shared.value, np.random.default_rng([seed, int(key[0])])
+        u, w, n = _pieces(group["data"])
+        u, w, n = _sums(u, w, n)
+        held = np.append(chances.value, rare_chance)
+        p = held[np.minimum(w, np.uint64(len(held) - 1)).astype(np.int64)]
+        contexts, place = np.unique(u, return_inverse=True)
+        # a split context has its other tables in the other buckets, as many in each
+        times = np.where(codes.is_split(contexts), codes.buckets, 1)
+        c, tables, norm, mean = n.astype(np.float64), np.ones(len(n)), None, np.zeros(len(n), np.int64)
+        many = np.flatnonzero(c > 1)
+        for k in range(SWEEPS):
+            totals = (np.bincount(place, tables, len(contexts)) * times)[place[many]]
+            now, norm = sweep(c[many], tables[many], norm, totals, p[many], DISCOUNT, STRENGTH, rng)
+            tables[many] = now
+            if k >= BURN_IN:
+                mean += tables.astype(np.int64)
+        words, at = np.unique(w, return_inverse=True)
+        data = [
+            pack(np.diff(u, prepend=np.uint64(0)), w, n, mean),
+            pack(words, np.bincount(at, tables, len(words))),
+            pack(contexts, np.bincount(place, mean, len(contexts))),
+        ]
+        return pd.DataFrame({"bucket": np.int32(key[0]), "kind": [TABLE, OUTCOMES, CONTEXTS], "data": data})
+
+    packed = train.select(text).mapInArrow(count, "bucket int, data binary")
+    return stored(packed.groupBy("bucket").applyInPandas(seat, "bucket int, kind int, data binary"), "pairs")
+
+
+def _facts(pairs: DataFrame) -> DataFrame:
+    """``code``, ``tw`` and ``tu`` (tables of the word as outcome, and of its context times the draws), ``buckets`` where it is an outcome."""
+
+    def rows(batches):
         for batch in batches:
-            for value in raw(batch.column(0)):
-                found = [END, *[get(w, RARE) for w in (value or b"").lower().split()], END]
-                own = np.array(found, np.int64)
-                place, n = np.unique(own[:-1] * size + own[1:], return_counts=True)
-                seen[place] += n
-        place = np.flatnonzero(seen)
-        for at in range(0, len(place), 1 << 17):
-            part = place[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in ((part // size).astype(np.int32), (part % size).astype(np.int32), seen[part])], names=["u", "w", "n"])
-
-    pairs = fixed(train.select(text).mapInArrow(pairs_of, "u int, w int, n long").groupBy("u", "w").agg(F.sum("n").alias("n")))
-    # at most size x size numbers
-    counts = np.zeros((size, size))
-    for part in pairs.toArrow().to_batches():
-        u, w, n = (part.column(i).to_numpy() for i in range(3))
-        counts[u, w] = n
-    rng = np.random.default_rng(seed)
-    parent, out = np.full(size, 1.0 / size), np.zeros((size, size))
-    for k in range(SWEEPS):
-        tables = np.zeros((size, size))
-        for part in _restaurants(pairs, parent, seed + k).toArrow().to_batches():
-            u, w, t = (part.column(i).to_numpy() for i in range(3))
-            tables[u, w] = t
-        customers, flat = tables.sum(axis=0), np.full(size, 1.0 / size)
-        own = np.flatnonzero(customers)
-        seats = np.zeros(size)
-        state = (np.ones(len(own)), None)
-        for _ in range(3):
-            state = sweep(customers[own], *state, flat[own], DISCOUNT, STRENGTH, rng)
-        seats[own] = state[0]
-        parent = _predictive(customers[None], seats[None], flat, DISCOUNT, STRENGTH)[0]
-        if k >= BURN_IN:
-            out += _predictive(counts, tables, parent, DISCOUNT, STRENGTH) / (SWEEPS - BURN_IN)
-    return out
-
-
-def _rare_words(counts: DataFrame, cut: DataFrame, distinct: int, seed: int) -> tuple[DataFrame, float]:
-    """``word``, ``n``, ``p`` (averaged predictive probability among rare words) of the words
-    in ``counts`` that are not in ``cut``, and the probability of one that is not there.
-
-    The restaurant is spread over the tasks: each seats its dishes against the tables that
-    all had after the sweep before."""
-    rare = fixed(counts.join(F.broadcast(cut), "word", "left_anti"))
-    customers, kinds = rare.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    flat, total, totals = 1.0 / (distinct + 1), float(kinds), []
-    for k in range(SWEEPS):
-        others = total
-
-        def seat(batches: Iterator[pa.RecordBatch], k=k, others=others) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-                rng = np.random.default_rng([seed, k, len(words), *words[0][:8]] if words else [seed])
-                tables = np.ones(len(words))
-                if len(words):
-                    tables, _ = sweep(n.astype(np.float64), tables, None, np.full(len(words), flat), RARE_DISCOUNT, RARE_STRENGTH, rng, others)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tables)], names=[*batch.schema.names, f"t{k}"])
-
-        shape = T.StructType([*rare.schema.fields, T.StructField(f"t{k}", T.DoubleType())])
-        rare = fixed(rare.mapInArrow(seat, shape))
-        total = rare.agg(F.coalesce(F.sum(f"t{k}"), F.lit(0.0))).first()[0]
-        totals.append(total)
-    full, used = RARE_STRENGTH + customers, range(BURN_IN, SWEEPS)
-    new = [(RARE_STRENGTH + RARE_DISCOUNT * totals[k]) * flat for k in used]
-    p = sum((F.col("n") - RARE_DISCOUNT * F.col(f"t{k}") + b) / full for k, b in zip(used, new)) / len(new)
-    return rare.select("word", "n", p.alias("p")), sum(new) / len(new) / full
+            for bucket, kind, data in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                code, t = unpack(data)
+                none = np.zeros(len(code), np.int64)
+                tw, tu = (t.astype(np.int64), none) if kind == OUTCOMES else (none, t.astype(np.int64))
+                for at in range(0, len(code), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    arrays = [pa.array(code[part].view(np.int64)), pa.array(tw[part]), pa.array(tu[part]), pa.array(np.full(len(code[part]), bucket, np.int32))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["code", "tw", "tu", "bucket"])
+
+    loose = pairs.where(F.col("kind").isin(OUTCOMES, CONTEXTS)).mapInArrow(rows, "code long, tw long, tu long, bucket int")
+    rare = (F.col("tw") > 0) & (F.col("code") < 0)  # the high bit of a hash
+    return stored(loose.groupBy("code").agg(F.sum("tw").alias("tw"), F.sum("tu").alias("tu"), F.collect_list(F.when(rare, F.col("bucket"))).alias("buckets")), "facts")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def fit(train: DataFrame, text: str = "text", alphabet: int = ALPHABET, known: int = KNOWN, seed: int = 3) -> tuple[Model, DataFrame]:
-    """The model and the table of words (``word``, ``n``, ``rare_log``) that it does not hold.
+def fit(train: DataFrame, text: str = "text", known: int = KNOWN, seed: int = 3, bucket: int = BUCKET) -> tuple[Model, Stored]:
+    """The model and the tables that grow with the corpus.
 
     Null and empty texts are only an end; without rows every word is unknown."""
-    counts = fixed(count_words(train, text, {}, lambda b: b.lower().split()))
+    spark, draws = train.sparkSession, SWEEPS - BURN_IN
+    counts = stored(count_words(train, text, {}, lambda b: b.lower().split()), "counts")
     ends = train.count()
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = words + ends, kinds + (1 if ends else 0)
     least = above_count(counts, known)
     # at most ``known`` rows
     often = sorted(((r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= least).collect()), key=lambda x: (-x[0], x[1]))
-    dishes = {w: i + 2 for i, (_, w) in enumerate(often[: alphabet - 2])}
-    contexts = _contexts(train, text, dishes, alphabet, seed)
-    cut = train.sparkSession.createDataFrame([(bytearray(w),) for w in dishes], "word binary")
-    rare, nothing = _rare_words(counts, cut, distinct, seed)
-    n_known = np.array([n for n, _ in often], np.float64)
+    n = np.array([ends, *[c for c, _ in often]], np.float64)
+    buckets = total // bucket + 1
+    split = np.append(n * 4 > bucket, False)
+    codes = Codes({w: i for i, (_, w) in enumerate(often, 1)}, split, buckets)
+    shared = spark.sparkContext.broadcast(codes)
+    rare_mass = (total - n.sum() + 1) / max(kinds - len(often), 1)  # training tokens of a rare word, in the mean
+    pairs = _seat(train, text, shared, (n + 1) / (total + distinct + 1), rare_mass / (total + distinct + 1), seed)
+    facts = _facts(pairs)
+    # one row for each number of tables that a word has
+    sizes = sorted((r["tw"], r["dishes"]) for r in facts.where("tw > 0").groupBy("tw").agg(F.count(F.lit(1)).alias("dishes")).collect())
+    customers, dishes = np.array([t for t, _ in sizes], np.float64), np.array([d for _, d in sizes], np.float64)
+    means, tables = parent_tables(customers, dishes, 1 / (distinct + 1), seed)
+    full = PARENT_STRENGTH + (customers * dishes).sum()
+    left = (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (distinct + 1)
+    chance = {0.0: left / full} | dict(zip(customers.tolist(), ((customers - PARENT_DISCOUNT * means + left) / full).tolist()))
+    tw, tu = np.zeros(len(n)), np.zeros(len(n))
+    for r in facts.where((F.col("code") >= 0)).select("code", "tw", "tu").collect():  # known words and the end
+        tw[r["code"]], tu[r["code"]] = r["tw"], r["tu"] / draws
+    own = np.array([chance[t] for t in tw.tolist()])
+    back = np.log10((STRENGTH + DISCOUNT * tu) / (STRENGTH + n))
     base = lambda c: np.log10((c + 1) / (total + distinct + 1))
-    rare_logs = np.zeros(len(often) + 1)
-    index = {w: i for i, (_, w) in enumerate(often)}
-    for r in rare.where(F.col("n") >= least).select("word", "p").collect():
-        rare_logs[index[bytes(r["word"])]] = np.log10(r["p"])
-    dish = np.full(len(often) + 1, RARE, np.int64)
-    dish[: len(dishes)] = np.arange(2, 2 + len(dishes))
     model = Model(
-        index, np.append(base(n_known), 0.0), rare_logs, np.append(n_known, 0), dish, np.log10(contexts).astype(np.float32),
-        float(base(ends)), int(ends > 0), int(total), float(np.log10(nothing)), float(base(0)),
+        codes, np.append(base(n), 0.0), np.append(back + np.log10(own), 0.0), own, tu,
+        int(ends > 0), int(total), float(np.log10(left / full)), float(base(0)),
     )
-    return model, rare.where(F.col("n") < least).select("word", "n", F.log10("p").alias("rare_log"))
+    by_size = small_side(spark.createDataFrame([(int(t), float(p)) for t, p in chance.items()], "tw long, p double"))
+    rare = stored(facts.where("code < 0").join(by_size, "tw").select("code", "tu", "p", "buckets"), "rare")
+    hashed = counts.where(F.col("n") < least).withColumn("code", F.xxhash64("word").bitwiseOR(F.lit(-HIGH)))
+    part = F.log10((STRENGTH + DISCOUNT * F.col("tu") / draws) / (STRENGTH + F.col("n"))) + F.log10("p")
+    table = stored(hashed.join(rare.drop("buckets"), "code").select("word", "n", part.alias("word_log")), "words")
+    return model, Stored(table, pairs.where(F.col("kind") == TABLE), rare.select(F.explode("buckets").alias("bucket"), "code", "p"))
+
+
+def _added(docs: DataFrame, shared, found: Stored, text: str) -> DataFrame:
+    """``_row``, ``score``: what the seen pairs of a text add, a row for each bucket and text."""
+
+    def ask(batches):
+        def columns(u, w, rows):
+            order = np.lexsort((w, u))
+            return [u[order], w[order], rows[order]]
+
+        return _chunks(batches, shared.value.codes, columns)
+
+    def answer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        m = shared.value
+        kind = group["kind"].to_numpy()
+        if not ((kind == TABLE).any() and (kind == REQUEST).any()):
+            return pd.DataFrame({"_row": np.zeros(0, np.int64), "score": np.zeros(0)})
+        u, w, n, mean = _pieces(group["data"][kind == TABLE])
+        code, p = group["code"].to_numpy()[kind == CHANCE].astype(np.int64).view(np.uint64), group["p"].to_numpy()[kind == CHANCE]
+        order = np.argsort(code)
+        code, p = np.append(code[order], np.uint64(0)), np.append(p[order], 1.0)
+        tables = mean / (SWEEPS - BURN_IN)
+        contexts, place = np.unique(u, return_inverse=True)
+        all_tables = np.bincount(place, tables, len(contexts))
+        split = m.codes.is_split(contexts)
+        all_tables[split] = m.tables[contexts[split].astype(np.int64)]
+        held = w < np.uint64(HIGH)
+        chance = np.where(held, m.chance[np.where(held, w, 0).astype(np.int64)], p[np.searchsorted(code[:-1], w)])
+        gain = np.log10(1 + (n - DISCOUNT * tables) / ((STRENGTH + DISCOUNT * all_tables[place]) * chance))
+        pairs = _pair(u, w)
+        order = np.argsort(pairs)
+        pairs, gain = pairs[order], gain[order]
+        out = []
+        for data in group["data"][kind == REQUEST]:
+            ru, rw, rows = _pieces([data])
+            asked = _pair(ru, rw)
+            at = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
+            low = rows.min()
+            sums = np.bincount((rows - low).astype(np.int64), np.where(pairs[at] == asked, gain[at], 0.0))
+            named = np.flatnonzero(sums)
+            out.append(pd.DataFrame({"_row": named + np.int64(low), "score": sums[named]}))
+        return pd.concat(out)
+
+    asked = docs.select(text).mapInArrow(ask, "bucket int, data binary")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = (
+        asked.select("bucket", F.lit(REQUEST).alias("kind"), "data", none("long").alias("code"), none("double").alias("p"))
+        .unionByName(found.pairs.select("bucket", "kind", "data", none("long").alias("code"), none("double").alias("p")))
+        .unionByName(found.chances.select("bucket", F.lit(CHANCE).alias("kind"), none("binary").alias("data"), "code", "p"))
+    )
+    # a long would turn into a double beside nulls
+    whole = rows.withColumn("code", F.coalesce("code", F.lit(0)))
+    return whole.groupBy("bucket").applyInPandas(answer, "_row long, score double")
 
 
-def scored(docs: DataFrame, model: Model, table: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, found: Stored, keep: list[str], text: str = "text", repeatable: bool = False) -> DataFrame:
     """The columns ``keep`` of every row with ``n_tokens``, ``n_known``, ``base_score``, ``score``.
 
-    One pass gives a row for each text, with the sums over the words that the model holds,
-    and one for each of its other words; the latter meet ``table``, and all are summed by
-    the place of the text in its task's input.
+    One pass gives a row for each text, with the sums over the words that the model holds, and one for each
+    of its other words, which meet the table of words; another sends the pairs to the buckets.  All are summed by
+    the place of the text in its task's input.  Both passes must number the texts alike: ``repeatable`` says that
+    ``docs`` come in the same order whenever they are read, as a scan of files does; else they are written first.
     """
+    if not repeatable:
+        docs, text = stored(docs.select(*keep, F.col(text).alias("_text")), "texts"), "_text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["_row", "word", "times", *keep, "n_tokens", "n_known", "base_score", "score"]
     more = "n_tokens long, n_known long, base_score double, score double"
@@ -253,16 +375,17 @@ def scored(docs: DataFrame, model: Model, table: DataFrame, keep: list[str], tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, at = shared.value, TaskContext.get().partitionId() << 33
-        get, none = m.words.get, len(m.words)
+        get, none = m.codes.words.get, len(m.base_logs) - 1
         for batch in batches:
             rows, rest, which = [], [], []
             for value in raw(batch.column("_text")):
                 found = (value or b"").lower().split()
                 own = np.array([get(w, none) for w in found], np.int64)
-                dishes = np.concatenate([[END], m.dish[own], [END]])
                 held = own < none
-                score = float(m.context_logs[dishes[:-1], dishes[1:]].sum(dtype=np.float64) + m.rare_logs[own].sum())
-                rows.append((at, b" %d" % at, len(found) + 1, int(held.sum()) + m.end_known, float(m.base_logs[own].sum() + m.end_log), score))
+                rows.append((
+                    at, b" %d" % at, len(found) + 1, int(held.sum()) + m.end_known,
+                    float(m.base_logs[own].sum() + m.base_logs[END]), float(m.word_logs[own].sum() + m.word_logs[END]),
+                ))
                 if not held.all():
                     others = Counter(found[i] for i in np.flatnonzero(~held).tolist())
                     rest += others.items()
@@ -281,20 +404,20 @@ def scored(docs: DataFrame, model: Model, table: DataFrame, keep: list[str], tex
             yield pa.RecordBatch.from_arrays([own[x] for x in names], names=names)
 
     parts = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, shape)
-    met = parts.join(table, "word", "left")
+    met = parts.join(found.words, "word", "left")
     scale = -model.base_nothing  # log10 of the base's denominator
     base = F.when(F.col("n").isNotNull(), F.log10(F.col("n") + 1.0) - scale).otherwise(F.lit(model.base_nothing))
-    rare = F.coalesce("rare_log", F.lit(model.rare_nothing))
-    other = F.col("times") > 0
+    other, times = F.col("times") > 0, F.col("times")
+    words = met.select(
+        "_row", *keep, "n_tokens",
+        (F.col("n_known") + F.when(F.col("n").isNotNull(), times).otherwise(0)).alias("n_known"),
+        (F.col("base_score") + F.when(other, base * times).otherwise(0.0)).alias("base_score"),
+        (F.col("score") + F.when(other, F.coalesce("word_log", F.lit(model.nothing)) * times).otherwise(0.0)).alias("score"),
+    )
     return (
-        met.groupBy("_row")
-        .agg(
-            *[F.max(c).alias(c) for c in keep],
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base_score") + F.when(other, base * F.col("times")).otherwise(0.0)).alias("base_score"),
-            F.sum(F.col("score") + F.when(other, rare * F.col("times")).otherwise(0.0)).alias("score"),
-        )
+        words.unionByName(_added(docs, shared, found, text), allowMissingColumns=True)
+        .groupBy("_row")
+        .agg(*[F.max(c).alias(c) for c in keep], *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
         .drop("_row")
     )
 
@@ -302,8 +425,8 @@ def scored(docs: DataFrame, model: Model, table: DataFrame, keep: list[str], tex
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     marked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    model, table = fit(marked.where(~F.col("held_out")))
-    out = scored(marked, model, table, ["doc_id", "held_out"])
+    model, found = fit(marked.where(~F.col("held_out")))
+    out = scored(marked, model, found, ["doc_id", "held_out"], repeatable=True)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )
