@@ -41,7 +41,7 @@ from fleetlens.llm.text import above_count, count_words, raw, small_side
 from fleetlens.session import scratch
 
 KNOWN = 131_072  # words that every worker holds; the others are joined
-BUCKET = 4_000_000  # training tokens a bucket
+BUCKET = 1_500_000  # training tokens a bucket
 FLUSH = 2_000_000  # tokens that a task holds before it packs their pairs
 SWEEPS, BURN_IN = 4, 2
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the context restaurants
