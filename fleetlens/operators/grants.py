@@ -31,7 +31,7 @@ def _set_mark(*columns: str) -> list:
     return [F.count(F.lit(1)).alias("n_grants"), F.sum(first.cast("decimal(20,0)")).alias("_s"), F.bit_xor(second).alias("_x"), F.sum(second.cast("decimal(20,0)")).alias("_t")]
 
 
-def _named_sets(rows: DataFrame, k: list[str], owner: str, columns: Sequence[str], name: str) -> DataFrame:
+def named_sets(rows: DataFrame, k: list[str], owner: str, columns: Sequence[str], name: str) -> DataFrame:
     """``owner``, ``name``, ``n_grants``: owners of equal sets of ``columns`` have one ``name``, the least owner."""
     marks = _fixed(rows.groupBy(*k, owner).agg(*_set_mark(*columns)))
     equal = [*k, "n_grants", "_s", "_x", "_t"]
@@ -79,7 +79,7 @@ def grant_classes(permissions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     k = shared_keys(permissions, scope=DATABASE)
     grants = _fixed(_grants(permissions, k))
-    owners = _fixed(_named_sets(grants, k, "grantee_principal_id", [*SECURABLE, "state_desc", "times"], "class_id"))
+    owners = _fixed(named_sets(grants, k, "grantee_principal_id", [*SECURABLE, "state_desc", "times"], "class_id"))
     first = owners.where("grantee_principal_id = class_id").select(*k, "class_id")
     rows = grants.withColumnRenamed("grantee_principal_id", "class_id").join(first, [*k, "class_id"], "left_semi")
     return owners, rows
@@ -119,7 +119,7 @@ def profiles(role_members: DataFrame, owners: DataFrame) -> tuple[DataFrame, Dat
     k = shared_keys(role_members, owners, scope=DATABASE)
     of_role = owners.select(*k, F.col("grantee_principal_id").alias("role_principal_id"), "class_id")
     held = _fixed(role_members.select(*k, "member_principal_id", "role_principal_id").join(of_role, [*k, "role_principal_id"]).select(*k, "member_principal_id", "class_id").distinct())
-    named = _fixed(_named_sets(held, k, "member_principal_id", ["class_id"], "profile_id").drop("n_grants"))
+    named = _fixed(named_sets(held, k, "member_principal_id", ["class_id"], "profile_id").drop("n_grants"))
     first = named.where("member_principal_id = profile_id").select(*k, "profile_id")
     return named, held.withColumnRenamed("member_principal_id", "profile_id").join(first, [*k, "profile_id"], "left_semi")
 

@@ -15,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.fleet import SERVER, optional
+from fleetlens.functions.fleet import SERVER, existing, optional
+from fleetlens.operators.grants import named_sets
 from fleetlens.operators.selection import DATABASE_KEYWORDS, SYSTEM_NAMES
 from fleetlens.session import checkpoint_root
 
@@ -103,6 +104,26 @@ def parsed_entries(entries: DataFrame, entry: str = "entry") -> DataFrame:
     return cut.drop("_entry", "_bare").checkpoint().where(F.length("pattern") > 0)
 
 
+def rules_of(entries: DataFrame) -> DataFrame:
+    """``selection``, ``pattern``, ``_keyword`` once, with the first position of its includes and whether it excludes (``_out``)."""
+    return parsed_entries(entries).groupBy("selection", "pattern", "_keyword").agg(
+        F.min(F.when(F.col("include"), F.col("position"))).alias("start_position"), F.max((~F.col("include")).cast("int")).alias("_out")
+    ).checkpoint()
+
+
+def _met(named: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rules`` (``pattern``, ``_keyword`` and others) with the names, types and groups that they meet."""
+    facts, listed = named.columns, rules.where("NOT _keyword")
+    by_name = matches(named, listed, "_name").withColumnRenamed("name", "_name").join(listed, "pattern").join(named, "_name")
+    tests = {"database_type": "_type", "in_availability_group": "_group"}
+    words = F.array(*[
+        F.when(F.lit(True) if not rule else F.col(tests[next(iter(rule))]) == F.lit(next(iter(rule.values()))), F.lit(word))
+        for word, rule in DATABASE_KEYWORDS.items()
+    ])
+    of_kind = named.withColumn("pattern", F.explode(F.array_compact(words))).join(rules.where("_keyword"), "pattern")
+    return by_name.select(*rules.columns, *facts).unionByName(of_kind.select(*rules.columns, *facts))
+
+
 def select_by_table(items: DataFrame, entries: DataFrame, name_col: str = "name") -> DataFrame:
     """Databases that each selection of a table takes, with ``selection`` and ``start_position``.
 
@@ -110,28 +131,28 @@ def select_by_table(items: DataFrame, entries: DataFrame, name_col: str = "name"
     matches is taken unless an exclude of the same selection matches too; the position is that of
     the first include.  tempdb is never selected.  ``database_type`` and
     ``in_availability_group`` of the items decide about keywords; without them the type follows from
-    the name and no database is in a group."""
+    the name and no database is in a group.
+
+    A pattern that a selection has very often is one rule.  Excludes are only held against names
+    that an include met, by selections that took something; exclude patterns of the same selections
+    are one set, so a name that many of them match is left out once for each selection."""
     checkpoint_root(items.sparkSession)
     lowered = F.lower(name_col)
     kind = F.col("database_type") if "database_type" in items.columns else F.when(lowered.isin(*SYSTEM_NAMES), "S").otherwise("U")
     grouped = F.col("in_availability_group") if "in_availability_group" in items.columns else F.lit(0)
     facts = {"_name": lowered, "_type": kind, "_group": F.coalesce(grouped.cast("int"), F.lit(0))}
     tagged = items.withColumns(facts).where("_name <> 'tempdb'")
-    named = tagged.select(*facts).distinct()
-    wanted = parsed_entries(entries).select("selection", "position", "include", "pattern", "_keyword").distinct()
-    listed = wanted.where("NOT _keyword").checkpoint()
-    by_name = matches(named, listed, "_name").withColumnRenamed("name", "_name").join(listed, "pattern")
-    tests = {"database_type": "_type", "in_availability_group": "_group"}
-    words = F.array(*[
-        F.when(F.lit(True) if not rule else F.col(tests[next(iter(rule))]) == F.lit(next(iter(rule.values()))), F.lit(word))
-        for word, rule in DATABASE_KEYWORDS.items()
-    ])
-    of_kind = named.withColumn("pattern", F.explode(F.array_compact(words))).join(wanted.where("_keyword"), "pattern")
-    verdicts = by_name.join(named, "_name").select("selection", *facts, "position", "include").unionByName(of_kind.select("selection", *facts, "position", "include"))
-    taken = verdicts.groupBy("selection", *facts).agg(
-        F.min(F.when(F.col("include"), F.col("position"))).alias("start_position"), F.max((~F.col("include")).cast("int")).alias("_out")
-    ).where("start_position IS NOT NULL AND _out = 0")
-    taken = taken.drop("_out").withColumnsRenamed({c: f"{c}_" for c in facts})
+    rules = rules_of(entries)
+    includes = rules.where("start_position IS NOT NULL").drop("_out")
+    found = _met(tagged.select(*facts).distinct(), includes).groupBy("selection", *facts).agg(F.min("start_position").alias("start_position")).checkpoint()
+    in_use = existing(found, ["selection"]).withColumnRenamed("selection", "_used")
+    excludes = rules.where("_out = 1").join(in_use, F.col("selection").eqNullSafe(F.col("_used")), "left_semi").select("selection", "pattern", "_keyword").checkpoint()
+    sets = named_sets(excludes, [], "pattern", ["selection"], "_set").select("pattern", "_set")
+    hit = _met(existing(found, [*facts]), excludes.select("pattern", "_keyword").distinct().join(sets, "pattern")).select("_set", *facts).distinct()
+    left_out = hit.join(excludes.select(F.col("pattern").alias("_set"), "selection"), "_set").select("selection", *facts).distinct()
+    left_out = left_out.withColumnsRenamed({c: f"{c}_" for c in left_out.columns})
+    taken = found.join(left_out, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("selection", *facts)], "left_anti")
+    taken = taken.withColumnsRenamed({c: f"{c}_" for c in facts})
     same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in facts]
     return tagged.join(taken, same).select("selection", *items.columns, "start_position")
 

@@ -50,3 +50,18 @@ def test_tables_equal_strings(spark):
         assert sorted((r["name"], r["start_position"]) for r in got.where(f"selection = {i}").collect()) == sorted(map(tuple, alone)), text
     assert pattern_index.select_by_table(dbs.limit(0), spark.createDataFrame(entries, "selection int, entry string, position int")).count() == 0
     assert pattern_index.select_by_table(dbs, spark.createDataFrame([], "selection int, entry string, position int")).count() == 0
+
+
+def test_repeated_rules_are_one(spark):
+    """A pattern listed very often, and excludes of selections that take nothing, make no rows of their own."""
+    names = spark.range(2000).selectExpr("concat('db', id) as name")
+    often = spark.range(3000).selectExpr("1 as selection", "'%' as entry", "id + 5 as position")
+    out = spark.range(100).selectExpr("explode(array(1, 2, 3)) as selection", "concat('-%', id, '%') as entry", "id as position")
+    got = pattern_index.select_by_table(names, often.union(out))
+    assert got.count() == 0
+    names = names.union(spark.sql("SELECT 'main'"))
+    got = pattern_index.select_by_table(names, often.union(out).union(spark.sql("SELECT CAST(NULL AS INT), 'DB1%', 4")).union(spark.sql("SELECT CAST(NULL AS INT), '-db1_', 1")))
+    found = {(r["selection"], r["name"], r["start_position"]) for r in got.collect()}
+    assert found == {(1, "main", 5)} | {(None, f"db{i}", 4) for i in range(2000) if str(i).startswith("1")}
+    met = pattern_index._met(names.withColumnRenamed("name", "_name").selectExpr("_name", "'U' as _type", "0 as _group"), pattern_index.rules_of(often.union(out)).where("start_position IS NOT NULL"))
+    assert met.count() == 2001
