@@ -85,10 +85,14 @@ def named_listing(name: str, table: DataFrame, **overrides) -> DataFrame:
     return catalog_listing(table, **spec)
 
 
-def sql_text_lookup(rows: DataFrame, sql_text: DataFrame, key: str = "sql_handle", outer: bool = False) -> DataFrame:
-    """Attach statement text; without ``outer`` rows with no text are dropped."""
+def sql_text_lookup(rows: DataFrame, sql_text: DataFrame, key: str = "sql_handle", outer: bool = False, few: bool = False) -> DataFrame:
+    """Attach statement text; without ``outer`` rows with no text are dropped.
+
+    The optimizer takes any string to be 20 bytes, so whole texts are sorted and merged, never
+    broadcast through the driver by that guess.  ``few``: ``rows`` are a handful, and the choice stays free."""
     keys = [*shared_keys(rows, common=sql_text), key]
-    return rows.join(sql_text.select(*keys, "text"), keys, "left" if outer else "inner")
+    texts = sql_text.select(*keys, "text")
+    return rows.join(texts if few else texts.hint("merge"), keys, "left" if outer else "inner")
 
 
 def statement_text(

@@ -110,7 +110,8 @@ def waits_now(
     out = sql_text_lookup(out, sql_text, outer=True)
     if plans is not None and has(out, "plan_handle"):
         kp = [*shared_keys(out, common=plans), "plan_handle"]
-        out = out.join(plans.select(*kp, "query_plan"), kp, "left")
+        # a plan is long text, of which the optimizer knows no size: merged, as statements are
+        out = out.join(plans.select(*kp, "query_plan").hint("merge"), kp, "left")
     return out
 
 
@@ -128,7 +129,7 @@ def head_blockers(requests: DataFrame, sql_text: DataFrame, top: int = 10) -> Da
         known = heads.join(sql_text.select(*kt), kt, "left_semi")
         w = Window.partitionBy(*k).orderBy(F.col("total_elapsed_time").desc(), F.col("session_id"))
         best = known.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).drop("_r")
-    return sql_text_lookup(best, sql_text)
+    return sql_text_lookup(best, sql_text, few=True)
 
 
 def running_requests(requests: DataFrame, sql_text: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -171,7 +172,7 @@ def top_queries_by_cpu(query_stats: DataFrame, sql_text: DataFrame, n: int = 5)
         best = known.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
     else:
         best = known.orderBy(*order).limit(n)
-    out = sql_text_lookup(best, sql_text)
+    out = sql_text_lookup(best, sql_text, few=True)
     if has(out, "statement_start_offset", "statement_end_offset"):
         return out.withColumn("statement_text", statement_text("text", "statement_start_offset", "statement_end_offset")).drop("text")
     return out.withColumnRenamed("text", "statement_text")

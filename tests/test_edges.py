@@ -526,3 +526,16 @@ def test_retention_with_server_partitions(spark, tmp_path):
     retention_rewrite(spark, "kept_history", "ts", "day", datetime(2024, 3, 1, 12), keep_days=20)
     assert sorted(r["id"] for r in spark.table("kept_history").collect()) == [3, 4]
     spark.sql("drop table kept_history")
+
+
+def test_texts_and_plans_are_not_broadcast(spark):
+    tasks = spark.createDataFrame([(1, 7, 0, 5, "CXPACKET", "nodeId=3"), (2, 8, 0, 6, "LCK", "x")], "waiting_task_address int, session_id int, exec_context_id int, wait_duration_ms int, wait_type string, resource_description string")
+    os_tasks = spark.createDataFrame([(1, 4), (2, 5)], "task_address int, scheduler_id int")
+    sessions = spark.createDataFrame([(7, 1), (8, 1)], "session_id int, is_user_process int")
+    requests = spark.createDataFrame([(7, 1, 2, 3, 1), (8, None, 2, 3, None)], "session_id int, sql_handle int, database_id int, cpu_time int, plan_handle int")
+    # sizes that the optimizer knows, and takes to be small
+    texts, plans = spark.sql("SELECT 1 AS sql_handle, 'select 1' AS text"), spark.sql("SELECT 1 AS plan_handle, '<x/>' AS query_plan")
+    got = workload.waits_now(tasks, os_tasks, sessions, requests, texts, plans)
+    assert sorted(got.select("session_id", "node_id", "text", "query_plan").collect()) == [(7, "3", "select 1", "<x/>"), (8, None, None, None)]
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in tree and "BroadcastHashJoin" not in tree
