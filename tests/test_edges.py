@@ -534,7 +534,7 @@ def test_texts_and_plans_are_not_broadcast(spark):
     sessions = spark.createDataFrame([(7, 1), (8, 1)], "session_id int, is_user_process int")
     requests = spark.createDataFrame([(7, 1, 2, 3, 1), (8, None, 2, 3, None)], "session_id int, sql_handle int, database_id int, cpu_time int, plan_handle int")
     # sizes that the optimizer knows, and takes to be small
-    texts, plans = spark.sql("SELECT 1 AS sql_handle, 'select 1' AS text"), spark.sql("SELECT 1 AS plan_handle, '<x/>' AS query_plan")
+    texts, plans = spark.range(1, 2).selectExpr("id AS sql_handle", "concat('select ', id) AS text"), spark.range(1, 2).selectExpr("id AS plan_handle", "'<x/>' AS query_plan")
     got = workload.waits_now(tasks, os_tasks, sessions, requests, texts, plans)
     assert sorted(got.select("session_id", "node_id", "text", "query_plan").collect()) == [(7, "3", "select 1", "<x/>"), (8, None, None, None)]
     tree = got._jdf.queryExecution().executedPlan().toString()

@@ -127,3 +127,17 @@ def test_silence_is_told_without_further_events(spark, tmp_path):
     finally:
         query.stop()
     assert [r["session_id"] for r in told] == [1] and str(told[0]["idle_since"]) == "2024-01-01 10:00:00"
+
+
+def test_last_backups_need_no_python_per_key(spark, tmp_path):
+    """Keys are compared by the aggregate itself: equal and older times of a later batch give nothing out."""
+    source, log = str(tmp_path / "in"), stateful.last_backup_log(spark, str(tmp_path / "log"), buckets=4)
+    stream = lambda: spark.readStream.schema(BACKUPS).parquet(source)
+    put = lambda n: spark.sql(f"SELECT 'a' AS database_name, t AS type, timestamp_ntz'2024-01-01' + make_interval(0,0,0,{n}) AS backup_finish_date FROM VALUES ('D'), (NULL) v(t)").coalesce(1).write.mode("append").parquet(source)
+    for n in (5, 5, 3, 6):
+        put(n)
+        stateful.run_upserts(stateful.last_backup_changes(stream()), log, str(tmp_path / "checkpoint"), "backups")
+    sizes = [spark.read.schema(log.schema).parquet(f"{log.path}/data/rows={d}").count() for d in log.state()["deltas"]]
+    assert sizes[0] == sizes[-1] == 2 and sum(sizes) == 4
+    assert rows(log.read(), "type", "last_backup") == rows(spark.read.schema(BACKUPS).parquet(source).groupBy("type").agg(F.max("backup_finish_date").alias("last_backup")), "type", "last_backup")
+    assert "Pandas" not in stateful.last_backup_changes(stream())._jdf.queryExecution().analyzed().toString()
