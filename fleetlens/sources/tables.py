@@ -13,6 +13,9 @@ BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
+# DISTINCT views of nearly as many rows as their base table, and that table
+LARGE_DISTINCT = {"db_permissions": "lineitem"}
+ROWS_A_PART = 250_000  # of such a view: what one task holds in memory at once
 _FROM = re.compile(r"\b(from|join)\s+(" + "|".join(BASE) + r")\b", re.IGNORECASE)
 
 
@@ -49,9 +52,16 @@ class Tables:
         if name not in ADAPTERS:
             raise AttributeError(name)
         if name not in self._frames:
-            self._frames[name] = self._shape(ADAPTERS[name], self.base)
+            self._frames[name] = self._distinct(name) if name in LARGE_DISTINCT else self._shape(ADAPTERS[name], self.base)
         return self._frames[name]
 
+    def _distinct(self, name: str) -> DataFrame:
+        """A DISTINCT view in parts of so many rows, however many there are: a hash table of rows that hardly
+        repeat is as large as the part.  The rows are counted from the footers."""
+        one = self._shape(re.sub(r"(?i)^\s*select\s+distinct\b", "select", ADAPTERS[name]), self.base)
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-self.base(LARGE_DISTINCT[name]).count() // ROWS_A_PART))
+        return one.repartition(parts, *one.columns).distinct()
+
     def spread(self, name: str) -> DataFrame:
         """An adapter view whose narrow base rows are spread over all cores before
         the view is built, for views that are costly per row (large documents)."""
