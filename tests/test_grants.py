@@ -75,3 +75,13 @@ def test_deny_wins(spark):
     assert rows(own, "grantee_principal_id", "major_id", "state_desc", "decided_by") == [
         (20, 10, "DENY", "role"), (20, 12, "DENY", "own"), (21, 11, "GRANT", "both"),
     ]
+
+
+def test_additional_permissions_are_made_distinct_once(spark):
+    users = spark.createDataFrame([(20, "u", "SQL_USER"), (4, "dbo", "SQL_USER")], "principal_id long, name string, type_desc string")
+    objects = spark.createDataFrame([(10, "o", "VIEW", 1), (11, "o", "VIEW", 1), (12, "p", "VIEW", 2)], "object_id long, name string, type_desc string, schema_id long")
+    schemas = spark.createDataFrame([(1, "s")], "schema_id long, name string")
+    more = given(spark).union(given(spark)).union(spark.createDataFrame([(20, 11, 3, "OBJECT", "SELECT", "GRANT"), (20, 11, 0, "DATABASE", "CONNECT", "GRANT")], PERMISSIONS))
+    got = security.additional_permissions(users, more, objects, schemas)
+    assert rows(got, "database_user", "permission_state", "object_name") == [("u", "DENY", ""), ("u", "GRANT", "[s].[o]")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
