@@ -17,37 +17,44 @@ Where it lives: a word is a small number if it is one of the ``known`` most freq
 Pairs are combined in the tasks, packed, and sent to buckets by context, whose number grows with the corpus;
 contexts that would fill a good part of a bucket are split over all buckets by the next word.  Scoring sends the pairs
 of the texts to the same buckets: the log probability of a pair is a part of the context, a part of the word,
-and what a seen pair adds, so only the last needs the buckets.  A lost executor repeats with the same seeds, which
-belong to the buckets.
+and what a seen pair adds, so only the last needs the buckets, and the other two for words that are not known; those
+are compared as a whole, not by hash.  A bucket answers with packed sums to ``HOMES`` places, so its rows
+grow with the buckets only; sums travel as whole numbers of 2^-36 and do not depend on their order.  A lost
+executor repeats with the same seeds, which belong to the buckets.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.text import above_count, count_words, raw, small_side
+from fleetlens.llm.text import above_count, small_side
 from fleetlens.session import scratch
 
 KNOWN = 131_072  # words that every worker holds; the others are joined
 BUCKET = 1_500_000  # training tokens a bucket
 FLUSH = 2_000_000  # tokens that a task holds before it packs their pairs
+SLICE = 2_000_000  # bytes of text that are cut into words at once
+HELD = 400_000  # different words that a task holds before it passes them on
+HOMES, BLOCK = 64, 4096  # places where sums of texts meet; texts that go there together
+ONE = float(1 << 36)  # sums of logarithms travel as whole numbers of this part
 SWEEPS, BURN_IN = 4, 2
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the context restaurants
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 1.0
 END, HIGH = 0, 1 << 63
-TABLE, OUTCOMES, CONTEXTS, REQUEST, CHANCE = range(5)  # kinds of rows
+TABLE, OUTCOMES, CONTEXTS, REQUEST, CHANCE, WORDS = range(6)  # kinds of rows
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -57,16 +64,83 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _squeezed(data: bytes) -> tuple[int, bytes]:
+    return len(data), pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _whole(squeezed: tuple[int, bytes]) -> bytes:
+    return pa.decompress(squeezed[1], squeezed[0], codec="zstd", asbytes=True)
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers of equal length, compressed byte by byte place."""
-    bytewise = [np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
-    return pickle.dumps([len(columns[0]), *[pa.compress(b, codec="zstd", asbytes=True) for b in bytewise]])
+    """Columns of whole numbers of equal length, compressed byte by byte place; places above the largest number are left out."""
+    made = []
+    for c in columns:
+        c = c.astype(np.uint64)
+        places = (int(c.max()).bit_length() + 7) // 8 if len(c) else 0
+        made.append([_squeezed(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :places].T).tobytes())])
+    return pickle.dumps([len(columns[0]), *made])
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     n, *columns = pickle.loads(data)
-    whole = [np.frombuffer(pa.decompress(c, 8 * n, codec="zstd", asbytes=True), np.uint8) for c in columns]
-    return [np.ascontiguousarray(w.reshape(8, n).T).view(np.uint64).ravel() for w in whole]
+    out = []
+    for (c,) in columns:
+        whole = np.zeros((n, 8), np.uint8)
+        if c[0]:
+            whole[:, : c[0] // n] = np.frombuffer(_whole(c), np.uint8).reshape(-1, n).T
+        out.append(whole.view(np.uint64).ravel())
+    return out
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers, small ones of both signs as small ones without; ``_unsigned`` undoes it."""
+    return ((x << 1) ^ (x >> 63)).view(np.uint64)
+
+
+def _unsigned(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)
+
+
+def _slices(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Stretches of texts of about ``size`` bytes."""
+    at = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    start = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(column)]
+    for a, b in zip(start, start[1:]):
+        if b > a:
+            yield column.slice(a, b - a)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and all words: the ASCII functions touch A-Z and ``[\\x20\\x09-\\x0D]`` only."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten().cast(pa.binary())
+    real = pc.greater(pc.binary_length(words), 0)  # blanks at the ends of a text leave empty strings
+    seen = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+    end = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return np.diff(seen[np.r_[0, end]]), words.filter(real)
+
+
+def count_words(train: DataFrame, text: str) -> DataFrame:
+    """``word`` (binary) and ``n`` over all rows; a task passes its counts on whenever it holds many."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+
+        def out():
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            held.clear()
+
+        for batch in batches:
+            for part in _slices(batch.column(0), 4 * SLICE):
+                counted = pc.value_counts(_words(part)[1])
+                for w, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist()):
+                    held[w] = held.get(w, 0) + n
+                if len(held) > HELD:
+                    yield from out()
+        yield from out()
+
+    return train.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -127,12 +201,32 @@ class Codes:
         get, rest = self.words.get, xxhash.xxh64_intdigest
         return np.array([END, *[get(w) or rest(w, 42) | HIGH for w in found], END], np.uint64)
 
+    def known(self, words: pa.Array) -> np.ndarray:
+        """Numbers of known words, 0 for the others."""
+        if not hasattr(self, "_names"):
+            self._names = pa.array(list(self.words), pa.binary())
+        return pc.index_in(words, value_set=self._names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
     def is_split(self, u: np.ndarray) -> np.ndarray:
         return self.split[np.minimum(u, np.uint64(len(self.split) - 1)).astype(np.int64)]
 
     def bucket(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return ((np.where(self.is_split(u), _pair(u, w), _spread(u)) >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
 
+    def home(self, u: np.ndarray) -> np.ndarray:
+        """Buckets of contexts that are not split."""
+        return ((_spread(u) >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def dealt(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Buckets and the places of their items, in the order that these have."""
+        order = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
+        names, start = np.unique(bucket[order], return_index=True)
+        yield from zip(names.tolist(), np.split(order, start[1:]))
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, 42) | HIGH for w in words], np.uint64)
+
 
 @dataclass
 class Model:
@@ -151,46 +245,70 @@ class Model:
 class Stored:
     """Tables that grow with the corpus."""
 
-    words: DataFrame  # word, n, word_log: of words that the model does not hold
+    words: DataFrame  # word, n: of words that the model does not hold
     pairs: DataFrame  # bucket, kind, data
-    chances: DataFrame  # bucket, code, p: the parent's probability of words that the model does not hold
+    chances: DataFrame  # bucket, code, p: the parent's probability of words that the model does not hold, where they are outcomes or contexts
+
 
+class Chunk(NamedTuple):
+    """Neighbouring words of some texts: places in ``codes`` (ascending numbers), and the texts' numbers."""
 
-def _sums(u: np.ndarray, w: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct pairs in order with sums of ``values``."""
-    order = np.lexsort((w, u))
-    u, w = u[order], w[order]
-    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]) if len(u) else np.zeros(0, np.int64)
-    return [u[first], w[first], *[np.add.reduceat(v[order], first) if len(u) else v for v in values]]
+    codes: np.ndarray
+    u: np.ndarray
+    w: np.ndarray
+    rows: np.ndarray
+    names: list[bytes]  # words that are not known, the name of each such token, and its text
+    named: np.ndarray
+    named_rows: np.ndarray
 
+    def order(self) -> np.ndarray:
+        """Pairs in order, equal ones by text."""
+        code, place = len(self.codes).bit_length(), len(self.u).bit_length()
+        if 2 * code + place > 64:
+            return np.argsort(self.u << np.uint64(32) | self.w, kind="stable")
+        whole = (self.u << np.uint64(code) | self.w) << np.uint64(place) | np.arange(len(self.u), dtype=np.uint64)
+        return (np.sort(whole) & np.uint64((1 << place) - 1)).astype(np.int64)
 
-def _chunks(batches: Iterator[pa.RecordBatch], codes: Codes, combine) -> Iterator[pa.RecordBatch]:
-    """Packed rows of each bucket; ``combine`` makes columns that begin with context and word from arrays of contexts, words and rows."""
-    us, ws, rows, held, at = [], [], [], 0, TaskContext.get().partitionId() << 33
+
+def _chunks(batches: Iterator[pa.RecordBatch], codes: Codes, packed) -> Iterator[pa.RecordBatch]:
+    """Rows of ``packed``, which makes pairs of bucket and data from a chunk."""
+    held, rows, words, size, at = [], [], [], 0, TaskContext.get().partitionId() << 33
 
     def out():
-        columns = combine(np.concatenate(us), np.concatenate(ws), np.repeat(np.array([r for r, _ in rows], np.uint64), [n for _, n in rows]))
-        bucket = codes.bucket(columns[0], columns[1])
-        order = np.argsort(bucket, kind="stable")
-        names, start = np.unique(bucket[order], return_index=True)
-        for b, part in zip(names, np.split(order, start[1:])):
-            context = columns[0][part]
-            data = pack(np.diff(context, prepend=np.uint64(0)), *[c[part] for c in columns[1:]])
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
-        for x in (us, ws, rows):
+        lengths, code, row = np.concatenate([n for n, _ in held]), np.concatenate([c for _, c in held]), np.concatenate(rows)
+        rest = pa.concat_arrays(words).dictionary_encode()
+        names, named = rest.dictionary.to_pylist(), rest.indices.to_numpy(zero_copy_only=False)
+        of_names = hashes(names)
+        high, place = np.unique(of_names, return_inverse=True)
+        low = len(codes.words) + 1
+        unknown = code == 0
+        named_rows = np.repeat(row, lengths)[unknown]
+        code[unknown] = low + place[named]
+        ends = np.cumsum(lengths + 1)
+        u, w = np.zeros(ends[-1], np.uint64), np.zeros(ends[-1], np.uint64)
+        inner = np.ones(ends[-1], bool)
+        inner[ends - 1] = False
+        w[inner] = code
+        u[1:] = w[:-1]  # the end of a text is the start of the next
+        all_codes = np.concatenate([np.arange(low, dtype=np.uint64), high])
+        chunk = Chunk(all_codes, u, w, np.repeat(row, lengths + 1).astype(np.uint64), names, named, named_rows.astype(np.uint64))
+        for bucket, data in packed(chunk):
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
+        for x in (held, rows, words):
             x.clear()
 
     for batch in batches:
-        for value in raw(batch.column(0)):
-            own = codes.of((value or b"").lower().split())
-            us.append(own[:-1])
-            ws.append(own[1:])
-            rows.append((at, len(own) - 1))
-            at, held = at + 1, held + len(own)
-            if held > FLUSH:
+        for part in _slices(batch.column(0), SLICE):
+            lengths, found = _words(part)
+            code = codes.known(found)
+            held.append((lengths, code))
+            words.append(found.filter(pa.array(code == 0)))
+            rows.append(np.arange(at, at + len(part)))
+            at, size = at + len(part), size + len(code) + len(part)
+            if size > FLUSH:
                 yield from out()
-                held = 0
-    if us:
+                size = 0
+    if held:
         yield from out()
 
 
@@ -204,17 +322,28 @@ def _seat(train: DataFrame, text: str, shared, first_chance: np.ndarray, rare_ch
     """``bucket``, ``kind``, ``data``: pairs with counts and tables, tables by word, tables by context."""
 
     def count(batches):
-        return _chunks(batches, shared.value, lambda u, w, _: _sums(u, w, np.ones(len(u), np.int64)))
+        def packed(k):
+            pairs, n = np.unique(k.u << np.uint64(32) | k.w, return_counts=True)
+            u, w = k.codes[(pairs >> np.uint64(32)).astype(np.int64)], k.codes[(pairs & np.uint64((1 << 32) - 1)).astype(np.int64)]
+            for bucket, part in shared.value.dealt(shared.value.bucket(u, w)):
+                yield bucket, pack(np.diff(u[part], prepend=np.uint64(0)), w[part], n[part])
+
+        return _chunks(batches, shared.value, packed)
 
     chances = train.sparkSession.sparkContext.broadcast(first_chance)
 
     def seat(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         codes, rng = shared.value, np.random.default_rng([seed, int(key[0])])
         u, w, n = _pieces(group["data"])
-        u, w, n = _sums(u, w, n)
+        (contexts, place), (words, at) = np.unique(u, return_inverse=True), np.unique(w, return_inverse=True)
+        pairs = place << 32 | at
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        n, place, at = np.add.reduceat(n[order], first), pairs[first] >> 32, pairs[first] & ((1 << 32) - 1)
+        u, w = contexts[place], words[at]
         held = np.append(chances.value, rare_chance)
         p = held[np.minimum(w, np.uint64(len(held) - 1)).astype(np.int64)]
-        contexts, place = np.unique(u, return_inverse=True)
         # a split context has its other tables in the other buckets, as many in each
         times = np.where(codes.is_split(contexts), codes.buckets, 1)
         c, tables, norm, mean = n.astype(np.float64), np.ones(len(n)), None, np.zeros(len(n), np.int64)
@@ -225,7 +354,6 @@ def _seat(train: DataFrame, text: str, shared, first_chance: np.ndarray, rare_ch
             tables[many] = now
             if k >= BURN_IN:
                 mean += tables.astype(np.int64)
-        words, at = np.unique(w, return_inverse=True)
         data = [
             pack(np.diff(u, prepend=np.uint64(0)), w, n, mean),
             pack(words, np.bincount(at, tables, len(words))),
@@ -238,7 +366,7 @@ def _seat(train: DataFrame, text: str, shared, first_chance: np.ndarray, rare_ch
 
 
 def _facts(pairs: DataFrame) -> DataFrame:
-    """``code``, ``tw`` and ``tu`` (tables of the word as outcome, and of its context times the draws), ``buckets`` where it is an outcome."""
+    """``code``, ``tw`` and ``tu`` (tables of the word as outcome, and of its context times the draws), ``buckets`` of a hash."""
 
     def rows(batches):
         for batch in batches:
@@ -252,7 +380,7 @@ def _facts(pairs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, names=["code", "tw", "tu", "bucket"])
 
     loose = pairs.where(F.col("kind").isin(OUTCOMES, CONTEXTS)).mapInArrow(rows, "code long, tw long, tu long, bucket int")
-    rare = (F.col("tw") > 0) & (F.col("code") < 0)  # the high bit of a hash
+    rare = F.col("code") < 0  # the high bit of a hash
     return stored(loose.groupBy("code").agg(F.sum("tw").alias("tw"), F.sum("tu").alias("tu"), F.collect_list(F.when(rare, F.col("bucket"))).alias("buckets")), "facts")
 
 
@@ -265,7 +393,7 @@ def fit(train: DataFrame, text: str = "text", known: int = KNOWN, seed: int = 3,
 
     Null and empty texts are only an end; without rows every word is unknown."""
     spark, draws = train.sparkSession, SWEEPS - BURN_IN
-    counts = stored(count_words(train, text, {}, lambda b: b.lower().split()), "counts")
+    counts = stored(count_words(train, text), "counts")
     ends = train.count()
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = words + ends, kinds + (1 if ends else 0)
@@ -298,124 +426,199 @@ def fit(train: DataFrame, text: str = "text", known: int = KNOWN, seed: int = 3,
         int(ends > 0), int(total), float(np.log10(left / full)), float(base(0)),
     )
     by_size = small_side(spark.createDataFrame([(int(t), float(p)) for t, p in chance.items()], "tw long, p double"))
-    rare = stored(facts.where("code < 0").join(by_size, "tw").select("code", "tu", "p", "buckets"), "rare")
-    hashed = counts.where(F.col("n") < least).withColumn("code", F.xxhash64("word").bitwiseOR(F.lit(-HIGH)))
-    part = F.log10((STRENGTH + DISCOUNT * F.col("tu") / draws) / (STRENGTH + F.col("n"))) + F.log10("p")
-    table = stored(hashed.join(rare.drop("buckets"), "code").select("word", "n", part.alias("word_log")), "words")
-    return model, Stored(table, pairs.where(F.col("kind") == TABLE), rare.select(F.explode("buckets").alias("bucket"), "code", "p"))
+    rare = facts.where("code < 0").join(by_size, "tw").select(F.explode("buckets").alias("bucket"), "code", "p")
+    return model, Stored(counts.where(F.col("n") < least).select("word", "n"), pairs.where(F.col("kind") == TABLE), rare)
+
+
+def _by_bucket(rows: DataFrame, codes, kind: int, size: int, packed) -> DataFrame:
+    """``bucket``, ``kind``, ``data``: ``packed`` gives pairs of bucket and data for some of the rows."""
+
+    def run(batches):
+        held = []
+
+        def out():
+            for bucket, data in packed(codes.value.codes, pa.Table.from_batches(held).combine_chunks()):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "kind", "data"])
+            held.clear()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) > size:
+                yield from out()
+        if held:
+            yield from out()
+
+    return rows.mapInArrow(run, "bucket int, kind int, data binary")
+
+
+def _packed_chances(codes: Codes, rows: pa.Table) -> Iterator[tuple[int, bytes]]:
+    bucket, code, p = (rows.column(c).to_numpy() for c in ("bucket", "code", "p"))
+    code = code.view(np.uint64)
+    order = np.argsort(code)
+    for b, part in codes.dealt(bucket[order]):
+        yield b, pack(np.diff(code[order[part]], prepend=np.uint64(0)), p[order[part]].view(np.uint64))
+
+
+def _packed_words(codes: Codes, rows: pa.Table) -> Iterator[tuple[int, bytes]]:
+    words, n = rows.column("word").to_pylist(), rows.column("n").to_numpy()
+    for b, part in codes.dealt(codes.home(hashes(words))):
+        yield b, pickle.dumps([_squeezed(b" ".join([words[i] for i in part])), pack(n[part])])
 
 
 def _added(docs: DataFrame, shared, found: Stored, text: str) -> DataFrame:
-    """``_row``, ``score``: what the seen pairs of a text add, a row for each bucket and text."""
+    """``_row``, ``n_known``, ``base_score``, ``score``: what the words that the model does not hold and
+    the seen pairs add to a text; buckets answer to the places where the sums of some blocks of texts meet."""
 
     def ask(batches):
-        def columns(u, w, rows):
-            order = np.lexsort((w, u))
-            return [u[order], w[order], rows[order]]
-
-        return _chunks(batches, shared.value.codes, columns)
+        codes = shared.value.codes
+
+        def packed(k):
+            order = k.order()
+            u, w, rows = k.codes[k.u[order].astype(np.int64)], k.codes[k.w[order].astype(np.int64)], k.rows[order]
+            home = codes.home(hashes(k.names))
+            by_name = np.argsort(k.named, kind="stable")
+            times = np.bincount(k.named, minlength=len(k.names))
+            start = np.r_[0, np.cumsum(times)]
+            words = dict(codes.dealt(home)) if len(home) else {}
+            none = np.zeros(0, np.int64)
+            # a word that is not known is a context in its bucket, so every bucket with words has pairs
+            for bucket, part in codes.dealt(codes.bucket(u, w)):
+                own = words.get(bucket, none)
+                tokens = by_name[np.concatenate([none, *[np.arange(start[i], start[i + 1]) for i in own.tolist()]])]
+                yield bucket, pickle.dumps([
+                    pack(np.diff(u[part], prepend=np.uint64(0)), w[part], rows[part] - k.rows[0]), int(k.rows[0]),
+                    _squeezed(b" ".join([k.names[i] for i in own])), pack(times[own]), pack(k.named_rows[tokens] - k.rows[0]),
+                ])
+
+        return _chunks(batches, codes, packed)
 
     def answer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         m = shared.value
-        kind = group["kind"].to_numpy()
-        if not ((kind == TABLE).any() and (kind == REQUEST).any()):
-            return pd.DataFrame({"_row": np.zeros(0, np.int64), "score": np.zeros(0)})
-        u, w, n, mean = _pieces(group["data"][kind == TABLE])
-        code, p = group["code"].to_numpy()[kind == CHANCE].astype(np.int64).view(np.uint64), group["p"].to_numpy()[kind == CHANCE]
+        kind, data = group["kind"].to_numpy(), group["data"]
+        requests = [pickle.loads(d) for d in data[kind == REQUEST]]
+        if not requests:
+            return pd.DataFrame({"home": np.zeros(0, np.int32), "data": []})
+        empty = np.zeros(0, np.uint64)
+        u, w, n, mean = _pieces(data[kind == TABLE]) if (kind == TABLE).any() else [empty] * 4
+        code, p = _pieces(data[kind == CHANCE]) if (kind == CHANCE).any() else [empty] * 2
         order = np.argsort(code)
-        code, p = np.append(code[order], np.uint64(0)), np.append(p[order], 1.0)
+        code, p = code[order], np.append(p.view(np.float64)[order], 1.0)
         tables = mean / (SWEEPS - BURN_IN)
         contexts, place = np.unique(u, return_inverse=True)
         all_tables = np.bincount(place, tables, len(contexts))
         split = m.codes.is_split(contexts)
         all_tables[split] = m.tables[contexts[split].astype(np.int64)]
         held = w < np.uint64(HIGH)
-        chance = np.where(held, m.chance[np.where(held, w, 0).astype(np.int64)], p[np.searchsorted(code[:-1], w)])
+        chance = np.where(held, m.chance[np.where(held, w, 0).astype(np.int64)], p[np.searchsorted(code, w)])
         gain = np.log10(1 + (n - DISCOUNT * tables) / ((STRENGTH + DISCOUNT * all_tables[place]) * chance))
         pairs = _pair(u, w)
         order = np.argsort(pairs)
-        pairs, gain = pairs[order], gain[order]
-        out = []
-        for data in group["data"][kind == REQUEST]:
-            ru, rw, rows = _pieces([data])
-            asked = _pair(ru, rw)
-            at = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
-            low = rows.min()
-            sums = np.bincount((rows - low).astype(np.int64), np.where(pairs[at] == asked, gain[at], 0.0))
-            named = np.flatnonzero(sums)
-            out.append(pd.DataFrame({"_row": named + np.int64(low), "score": sums[named]}))
-        return pd.concat(out)
+        pairs, gain = np.append(pairs[order], np.uint64(0)), np.append(gain[order], 0.0)
+
+        words, times = [], [empty]
+        for d in data[kind == WORDS]:
+            names, packed = pickle.loads(d)
+            words += _whole(names).split()
+            times += unpack(packed)
+        times = np.concatenate(times).astype(np.int64)
+        of_words = hashes(words)
+        tables = np.append(all_tables, 0.0)[np.searchsorted(contexts, of_words)]
+        logs = np.log10((STRENGTH + DISCOUNT * tables) / (STRENGTH + times)) + np.log10(p[np.searchsorted(code, of_words)])
+        base = np.append(np.log10(times + 1.0) + m.base_nothing, m.base_nothing)
+        logs = np.append(logs, m.nothing)
+        names = [_whole(r[2]).split() for r in requests]
+        all_names = pa.array([x for part in names for x in part], pa.binary())
+        met = pc.index_in(all_names, value_set=pa.array(words, pa.binary())).fill_null(len(words)).to_numpy(zero_copy_only=False)
+
+        out, at = [], 0
+        for (packed, low, _, repeats, named_rows), part in zip(requests, names):
+            ru, rw, rows = _pieces([packed])
+            new = np.flatnonzero(np.r_[True, (ru[1:] != ru[:-1]) | (rw[1:] != rw[:-1])])
+            asked = _pair(ru[new], rw[new])
+            there = np.searchsorted(pairs[:-1], asked)
+            gains = np.where(pairs[there] == asked, gain[there], 0.0)
+            rows, own = rows.astype(np.int64), unpack(named_rows)[0].astype(np.int64)
+            word = np.repeat(met[at : at + len(part)], unpack(repeats)[0].astype(np.int64))
+            at += len(part)
+            size = int(rows.max()) + 1
+            sums = [
+                np.bincount(own, word < len(words), size),
+                np.bincount(own, base[word], size) * ONE,
+                (np.bincount(rows, np.repeat(gains, np.diff(np.r_[new, len(ru)])), size) + np.bincount(own, logs[word], size)) * ONE,
+            ]
+            sums = np.rint(np.stack(sums)).astype(np.int64)
+            some = np.flatnonzero(sums.any(axis=0))
+            out.append(np.vstack([some + low, sums[:, some]]))
+        rows, *sums = np.concatenate(out, axis=1)
+        home = (_spread((rows // BLOCK).view(np.uint64)) >> np.uint64(33)) % np.uint64(HOMES)
+        order = np.lexsort((rows, home))
+        names, start = np.unique(home[order], return_index=True)
+        parts = [o for o in np.split(order, start[1:]) if len(o)]
+        made = [pack(np.diff(rows[o], prepend=0), sums[0][o], _signed(sums[1][o]), _signed(sums[2][o])) for o in parts]
+        return pd.DataFrame({"home": names.astype(np.int32), "data": made})
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                rows, known, base, score = unpack(data)
+                rows = np.cumsum(rows).astype(np.int64)
+                sums = np.stack([known.view(np.int64), _unsigned(base), _unsigned(score)], axis=1)
+                names, start = np.unique(rows // BLOCK, return_index=True)
+                for name, r, x in zip(names.tolist(), np.split(rows, start[1:]), np.split(sums, start[1:])):
+                    if name not in blocks:
+                        blocks[name] = np.zeros((BLOCK, 3), np.int64)
+                    blocks[name][r - name * BLOCK] += x
+        for name, sums in blocks.items():
+            some = np.flatnonzero(sums.any(axis=1))
+            columns = [some + name * BLOCK, sums[some, 0], sums[some, 1] / ONE, sums[some, 2] / ONE]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_row", "n_known", "base_score", "score"])
 
     asked = docs.select(text).mapInArrow(ask, "bucket int, data binary")
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = (
-        asked.select("bucket", F.lit(REQUEST).alias("kind"), "data", none("long").alias("code"), none("double").alias("p"))
-        .unionByName(found.pairs.select("bucket", "kind", "data", none("long").alias("code"), none("double").alias("p")))
-        .unionByName(found.chances.select("bucket", F.lit(CHANCE).alias("kind"), none("binary").alias("data"), "code", "p"))
+    whole = (
+        asked.select("bucket", F.lit(REQUEST).alias("kind"), "data")
+        .unionByName(found.pairs.select("bucket", "kind", "data"))
+        .unionByName(_by_bucket(found.chances, shared, CHANCE, FLUSH, _packed_chances))
+        .unionByName(_by_bucket(found.words, shared, WORDS, HELD, _packed_words))
     )
-    # a long would turn into a double beside nulls
-    whole = rows.withColumn("code", F.coalesce("code", F.lit(0)))
-    return whole.groupBy("bucket").applyInPandas(answer, "_row long, score double")
+    answers = whole.groupBy("bucket").applyInPandas(answer, "home int, data binary")
+    return answers.repartition("home").select("data").mapInArrow(met, "_row long, n_known long, base_score double, score double")
 
 
 def scored(docs: DataFrame, model: Model, found: Stored, keep: list[str], text: str = "text", repeatable: bool = False) -> DataFrame:
     """The columns ``keep`` of every row with ``n_tokens``, ``n_known``, ``base_score``, ``score``.
 
-    One pass gives a row for each text, with the sums over the words that the model holds, and one for each
-    of its other words, which meet the table of words; another sends the pairs to the buckets.  All are summed by
+    One pass gives a row for each text, with the sums over the words that the model holds; another sends the other
+    words and the pairs to the buckets.  Both are summed by
     the place of the text in its task's input.  Both passes must number the texts alike: ``repeatable`` says that
     ``docs`` come in the same order whenever they are read, as a scan of files does; else they are written first.
     """
     if not repeatable:
         docs, text = stored(docs.select(*keep, F.col(text).alias("_text")), "texts"), "_text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["_row", "word", "times", *keep, "n_tokens", "n_known", "base_score", "score"]
+    names = ["_row", *keep, "n_tokens", "n_known", "base_score", "score"]
     more = "n_tokens long, n_known long, base_score double, score double"
-    shape = T.StructType([*T.StructType.fromDDL("_row long, word binary, times long").fields, *[T.StructField(c, docs.schema[c].dataType) for c in keep], *T.StructType.fromDDL(more).fields])
+    shape = T.StructType([T.StructField("_row", T.LongType()), *[T.StructField(c, docs.schema[c].dataType) for c in keep], *T.StructType.fromDDL(more).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, at = shared.value, TaskContext.get().partitionId() << 33
-        get, none = m.codes.words.get, len(m.base_logs) - 1
+        none = len(m.base_logs) - 1
         for batch in batches:
-            rows, rest, which = [], [], []
-            for value in raw(batch.column("_text")):
-                found = (value or b"").lower().split()
-                own = np.array([get(w, none) for w in found], np.int64)
-                held = own < none
-                rows.append((
-                    at, b" %d" % at, len(found) + 1, int(held.sum()) + m.end_known,
-                    float(m.base_logs[own].sum() + m.base_logs[END]), float(m.word_logs[own].sum() + m.word_logs[END]),
-                ))
-                if not held.all():
-                    others = Counter(found[i] for i in np.flatnonzero(~held).tolist())
-                    rest += others.items()
-                    which += [at] * len(others)
-                at += 1
-            n, k = len(rows), len(rest)
-            cols = [[r[i] for r in rows] for i in range(6)]
-            nulls = lambda kind: pa.nulls(k, kind)
-            own = {
-                "_row": pa.array(cols[0] + which, pa.int64()), "word": pa.array(cols[1] + [w for w, _ in rest], pa.binary()),
-                "times": pa.array([0] * n + [c for _, c in rest], pa.int64()),
-                **{c: pa.concat_arrays([batch.column(c), nulls(batch.column(c).type)]) for c in keep},
-                "n_tokens": pa.array(cols[2] + [0] * k, pa.int64()), "n_known": pa.array(cols[3] + [0] * k, pa.int64()),
-                "base_score": pa.array(cols[4] + [0.0] * k, pa.float64()), "score": pa.array(cols[5] + [0.0] * k, pa.float64()),
-            }
-            yield pa.RecordBatch.from_arrays([own[x] for x in names], names=names)
+            done = 0
+            for part in _slices(batch.column("_text"), SLICE):
+                lengths, words = _words(part)
+                own, row = m.codes.known(words), np.repeat(np.arange(len(part)), lengths)
+                own[own == 0] = none
+                columns = [pa.array(np.arange(at, at + len(part))), *[batch.column(c).slice(done, len(part)) for c in keep]]
+                columns += [pa.array(lengths + 1), pa.array(np.bincount(row, own < none, len(part)).astype(np.int64) + m.end_known)]
+                columns += [pa.array(np.bincount(row, logs[own], len(part)) + logs[END]) for logs in (m.base_logs, m.word_logs)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                at, done = at + len(part), done + len(part)
 
     parts = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, shape)
-    met = parts.join(found.words, "word", "left")
-    scale = -model.base_nothing  # log10 of the base's denominator
-    base = F.when(F.col("n").isNotNull(), F.log10(F.col("n") + 1.0) - scale).otherwise(F.lit(model.base_nothing))
-    other, times = F.col("times") > 0, F.col("times")
-    words = met.select(
-        "_row", *keep, "n_tokens",
-        (F.col("n_known") + F.when(F.col("n").isNotNull(), times).otherwise(0)).alias("n_known"),
-        (F.col("base_score") + F.when(other, base * times).otherwise(0.0)).alias("base_score"),
-        (F.col("score") + F.when(other, F.coalesce("word_log", F.lit(model.nothing)) * times).otherwise(0.0)).alias("score"),
-    )
     return (
-        words.unionByName(_added(docs, shared, found, text), allowMissingColumns=True)
+        parts.unionByName(_added(docs, shared, found, text), allowMissingColumns=True)
         .groupBy("_row")
         .agg(*[F.max(c).alias(c) for c in keep], *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
         .drop("_row")

@@ -110,3 +110,56 @@ def test_packed_columns_come_back():
     a, b = rng.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 9, 1000)
     x, y = py.unpack(py.pack(a, b))
     assert (x == a).all() and (y == b.astype(np.uint64)).all()
+
+
+def test_sums_of_a_text_meet_before_they_are_joined(spark):
+    """One row a text at most, however many buckets its pairs are dealt over."""
+    train = texts_of(3, 120)
+    docs = spark.createDataFrame([(t,) for t in train], "text string")
+    model, found = py.fit(docs, known=7, bucket=50)
+    assert model.codes.buckets > 20
+    added = py._added(docs, spark.sparkContext.broadcast(model), found, "text")
+    assert added.count() <= len(train)
+    assert added.select("_row").distinct().count() == added.count()
+
+
+def test_counts_of_words_that_are_not_held(spark):
+    """Texts of several blocks in one task; base and known words against plain counts."""
+    rng = random.Random(5)
+    texts = [" ".join(f"v{int(rng.paretovariate(0.6)) % 3000}" for _ in range(rng.randrange(6))) for _ in range(py.BLOCK + 400)]
+    train = texts[::2]
+    model, found = py.fit(spark.createDataFrame([(t,) for t in train], "text string"), known=5, bucket=1500)
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    counts = collections.Counter(w for t in train for w in tokens(t))
+    total, distinct = sum(counts.values()) + len(train), len(counts) + 1
+    got = {r["i"]: r for r in py.scored(docs, model, found, ["i"]).collect()}
+    assert len(got) == len(texts) and len(model.codes.words) <= 5 and model.codes.buckets > 1
+    for i, t in enumerate(texts):
+        own = [*[counts[w] for w in tokens(t)], len(train)]
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(own), sum(c > 0 for c in own))
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((c + 1) / (total + distinct + 1)) for c in own), abs=1e-8)
+
+
+def test_words_are_cut_like_bytes():
+    odd = [None, "", " ", " A\x0bb  c\x1cd\r\n", "É x\x85Y z ", "\x00 Kİ \t", "a", "\x1f\x20\x0c"]
+    lengths, words = py._words(py.pa.array(odd, py.pa.string()))
+    want = [(t or "").encode().lower().split() for t in odd]
+    assert lengths.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+    parts = list(py._slices(py.pa.array(odd * 9, py.pa.string()), 20))
+    assert len(parts) > 3 and [x for p in parts for x in p.to_pylist()] == odd * 9
+    assert not list(py._slices(py.pa.array([], py.pa.string()), 20))
+
+
+def test_packed_zeros_and_signed_numbers_come_back():
+    for column in ([], [0, 0], [0, 255, 256], [(1 << 64) - 1, 0]):
+        assert py.unpack(py.pack(np.array(column, np.uint64)))[0].tolist() == column
+    x = np.array([0, -1, 1, -(1 << 60), 1 << 60])
+    assert py._unsigned(py._signed(x)).tolist() == x.tolist()
+
+
+def test_pairs_in_order_whether_or_not_places_fit():
+    rng = np.random.default_rng(6)
+    for codes in (np.arange(50, dtype=np.uint64), np.broadcast_to(np.uint64(0), 1 << 28)):
+        u, w = rng.integers(0, 50, 5000).astype(np.uint64), rng.integers(0, 50, 5000).astype(np.uint64)
+        got = py.Chunk(codes, u, w, None, None, None, None).order()
+        assert (got == np.lexsort((w, u))).all()
