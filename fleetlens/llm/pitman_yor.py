@@ -145,7 +145,9 @@ def count_words(train: DataFrame, text: str) -> DataFrame:
 
 def _spread(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x
 
 
 def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -211,7 +213,9 @@ class Codes:
         return self.split[np.minimum(u, np.uint64(len(self.split) - 1)).astype(np.int64)]
 
     def bucket(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return ((np.where(self.is_split(u), _pair(u, w), _spread(u)) >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
+        x, split = _spread(u), self.is_split(u)
+        x[split] = _spread(x[split] + w[split])  # as ``_pair``
+        return ((x >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
 
     def home(self, u: np.ndarray) -> np.ndarray:
         """Buckets of contexts that are not split."""
@@ -251,9 +255,10 @@ class Stored:
 
 
 class Chunk(NamedTuple):
-    """Neighbouring words of some texts: places in ``codes`` (ascending numbers), and the texts' numbers."""
+    """Neighbouring words of some texts: places in ``codes`` (ascending numbers), and the texts, counted from ``low``."""
 
     codes: np.ndarray
+    low: int
     u: np.ndarray
     w: np.ndarray
     rows: np.ndarray
@@ -265,37 +270,50 @@ class Chunk(NamedTuple):
         """Pairs in order, equal ones by text."""
         code, place = len(self.codes).bit_length(), len(self.u).bit_length()
         if 2 * code + place > 64:
-            return np.argsort(self.u << np.uint64(32) | self.w, kind="stable")
-        whole = (self.u << np.uint64(code) | self.w) << np.uint64(place) | np.arange(len(self.u), dtype=np.uint64)
-        return (np.sort(whole) & np.uint64((1 << place) - 1)).astype(np.int64)
+            return np.argsort(self.pairs(32), kind="stable")
+        whole = self.pairs(code)
+        whole <<= np.uint64(place)
+        whole |= np.arange(len(whole), dtype=np.uint64)
+        whole.sort()
+        whole &= np.uint64((1 << place) - 1)
+        return whole.view(np.int64)
+
+    def pairs(self, bits: int) -> np.ndarray:
+        out = self.u.astype(np.uint64)
+        out <<= np.uint64(bits)
+        out |= self.w
+        return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], codes: Codes, packed) -> Iterator[pa.RecordBatch]:
     """Rows of ``packed``, which makes pairs of bucket and data from a chunk."""
-    held, rows, words, size, at = [], [], [], 0, TaskContext.get().partitionId() << 33
+    held, words, size, at = [], [], 0, TaskContext.get().partitionId() << 33
 
-    def out():
-        lengths, code, row = np.concatenate([n for n, _ in held]), np.concatenate([c for _, c in held]), np.concatenate(rows)
+    def made():
+        lengths, code = np.concatenate([n for n, _ in held]), np.concatenate([c for _, c in held])
         rest = pa.concat_arrays(words).dictionary_encode()
+        held.clear()
+        words.clear()
         names, named = rest.dictionary.to_pylist(), rest.indices.to_numpy(zero_copy_only=False)
-        of_names = hashes(names)
-        high, place = np.unique(of_names, return_inverse=True)
-        low = len(codes.words) + 1
+        high, place = np.unique(hashes(names), return_inverse=True)
+        known, row = len(codes.words) + 1, np.arange(len(lengths), dtype=np.uint32)
         unknown = code == 0
         named_rows = np.repeat(row, lengths)[unknown]
-        code[unknown] = low + place[named]
+        code[unknown] = known + place[named]
         ends = np.cumsum(lengths + 1)
-        u, w = np.zeros(ends[-1], np.uint64), np.zeros(ends[-1], np.uint64)
+        u, w = np.zeros(ends[-1], np.uint32), np.zeros(ends[-1], np.uint32)
         inner = np.ones(ends[-1], bool)
         inner[ends - 1] = False
         w[inner] = code
         u[1:] = w[:-1]  # the end of a text is the start of the next
-        all_codes = np.concatenate([np.arange(low, dtype=np.uint64), high])
-        chunk = Chunk(all_codes, u, w, np.repeat(row, lengths + 1).astype(np.uint64), names, named, named_rows.astype(np.uint64))
+        all_codes = np.concatenate([np.arange(known, dtype=np.uint64), high])
+        return Chunk(all_codes, at - len(lengths), u, w, np.repeat(row, lengths + 1), names, named, named_rows)
+
+    def out():
+        # held while it is packed: nothing but the chunk
+        chunk = made()
         for bucket, data in packed(chunk):
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
-        for x in (held, rows, words):
-            x.clear()
 
     for batch in batches:
         for part in _slices(batch.column(0), SLICE):
@@ -303,7 +321,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], codes: Codes, packed) -> Iterator
             code = codes.known(found)
             held.append((lengths, code))
             words.append(found.filter(pa.array(code == 0)))
-            rows.append(np.arange(at, at + len(part)))
             at, size = at + len(part), size + len(code) + len(part)
             if size > FLUSH:
                 yield from out()
@@ -323,7 +340,7 @@ def _seat(train: DataFrame, text: str, shared, first_chance: np.ndarray, rare_ch
 
     def count(batches):
         def packed(k):
-            pairs, n = np.unique(k.u << np.uint64(32) | k.w, return_counts=True)
+            pairs, n = np.unique(k.pairs(32), return_counts=True)
             u, w = k.codes[(pairs >> np.uint64(32)).astype(np.int64)], k.codes[(pairs & np.uint64((1 << 32) - 1)).astype(np.int64)]
             for bucket, part in shared.value.dealt(shared.value.bucket(u, w)):
                 yield bucket, pack(np.diff(u[part], prepend=np.uint64(0)), w[part], n[part])
@@ -475,7 +492,7 @@ def _added(docs: DataFrame, shared, found: Stored, text: str) -> DataFrame:
 
         def packed(k):
             order = k.order()
-            u, w, rows = k.codes[k.u[order].astype(np.int64)], k.codes[k.w[order].astype(np.int64)], k.rows[order]
+            u, w, rows = k.codes[k.u[order]], k.codes[k.w[order]], k.rows[order]
             home = codes.home(hashes(k.names))
             by_name = np.argsort(k.named, kind="stable")
             times = np.bincount(k.named, minlength=len(k.names))
@@ -487,8 +504,8 @@ def _added(docs: DataFrame, shared, found: Stored, text: str) -> DataFrame:
                 own = words.get(bucket, none)
                 tokens = by_name[np.concatenate([none, *[np.arange(start[i], start[i + 1]) for i in own.tolist()]])]
                 yield bucket, pickle.dumps([
-                    pack(np.diff(u[part], prepend=np.uint64(0)), w[part], rows[part] - k.rows[0]), int(k.rows[0]),
-                    _squeezed(b" ".join([k.names[i] for i in own])), pack(times[own]), pack(k.named_rows[tokens] - k.rows[0]),
+                    pack(np.diff(u[part], prepend=np.uint64(0)), w[part], rows[part]), k.low,
+                    _squeezed(b" ".join([k.names[i] for i in own])), pack(times[own]), pack(k.named_rows[tokens]),
                 ])
 
         return _chunks(batches, codes, packed)

@@ -161,5 +161,5 @@ def test_pairs_in_order_whether_or_not_places_fit():
     rng = np.random.default_rng(6)
     for codes in (np.arange(50, dtype=np.uint64), np.broadcast_to(np.uint64(0), 1 << 28)):
         u, w = rng.integers(0, 50, 5000).astype(np.uint64), rng.integers(0, 50, 5000).astype(np.uint64)
-        got = py.Chunk(codes, u, w, None, None, None, None).order()
+        got = py.Chunk(codes, 0, u, w, None, None, None, None).order()
         assert (got == np.lexsort((w, u))).all()
