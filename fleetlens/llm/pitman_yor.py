@@ -49,6 +49,7 @@ FLUSH = 2_000_000  # tokens that a task holds before it packs their pairs
 SLICE = 2_000_000  # bytes of text that are cut into words at once
 HELD = 400_000  # different words that a task holds before it passes them on
 HOMES, BLOCK = 64, 4096  # places where sums of texts meet; texts that go there together
+STRETCH = 1 << 16  # pairs that get their buckets at once
 ONE = float(1 << 36)  # sums of logarithms travel as whole numbers of this part
 SWEEPS, BURN_IN = 4, 2
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the context restaurants
@@ -223,13 +224,20 @@ class Codes:
 
     def dealt(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Buckets and the places of their items, in the order that these have."""
-        order = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
-        names, start = np.unique(bucket[order], return_index=True)
-        yield from zip(names.tolist(), np.split(order, start[1:]))
+        whole = bucket.astype(np.uint64)
+        whole <<= np.uint64(32)
+        whole |= np.arange(len(whole), dtype=np.uint32)
+        whole.sort()
+        order = whole.astype(np.uint32)  # the lower half
+        whole >>= np.uint64(32)
+        start = np.flatnonzero(np.r_[len(whole) > 0, whole[1:] != whole[:-1]])
+        names = whole[start].tolist()
+        del whole
+        yield from zip(names, np.split(order, start[1:]))
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w, 42) | HIGH for w in words], np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) | HIGH for w in words), np.uint64, len(words))
 
 
 @dataclass
@@ -284,6 +292,15 @@ class Chunk(NamedTuple):
         out |= self.w
         return out
 
+    def dealt(self, codes: Codes) -> Iterator[tuple[int, Chunk]]:
+        """Buckets and their pairs; only those of one bucket are held a second time."""
+        bucket = np.empty(len(self.u), np.uint32)
+        for at in range(0, len(bucket), STRETCH):
+            part = slice(at, at + STRETCH)
+            bucket[part] = codes.bucket(self.codes[self.u[part]], self.codes[self.w[part]])
+        for name, part in codes.dealt(bucket):
+            yield name, self._replace(u=self.u[part], w=self.w[part], rows=self.rows[part])
+
 
 def _chunks(batches: Iterator[pa.RecordBatch], codes: Codes, packed) -> Iterator[pa.RecordBatch]:
     """Rows of ``packed``, which makes pairs of bucket and data from a chunk."""
@@ -318,7 +335,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], codes: Codes, packed) -> Iterator
     for batch in batches:
         for part in _slices(batch.column(0), SLICE):
             lengths, found = _words(part)
-            code = codes.known(found)
+            code = codes.known(found).astype(np.uint32)
             held.append((lengths, code))
             words.append(found.filter(pa.array(code == 0)))
             at, size = at + len(part), size + len(code) + len(part)
@@ -331,8 +348,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], codes: Codes, packed) -> Iterator
 
 def _pieces(data) -> list[np.ndarray]:
     """Columns of packed chunks, joined; contexts are no longer differences."""
-    parts = [unpack(bytes(d)) for d in data]
-    return [np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), *[np.concatenate(c) for c in zip(*[x[1:] for x in parts])]]
+    parts, out = [unpack(bytes(d)) for d in data], []
+    for x in parts:
+        np.cumsum(x[0], out=x[0])
+    while parts[0]:
+        out.append(np.concatenate([x.pop(0) for x in parts]))  # a column is not held twice for longer
+    return out
 
 
 def _seat(train: DataFrame, text: str, shared, first_chance: np.ndarray, rare_chance: float, seed: int) -> DataFrame:
@@ -340,10 +361,9 @@ def _seat(train: DataFrame, text: str, shared, first_chance: np.ndarray, rare_ch
 
     def count(batches):
         def packed(k):
-            pairs, n = np.unique(k.pairs(32), return_counts=True)
-            u, w = k.codes[(pairs >> np.uint64(32)).astype(np.int64)], k.codes[(pairs & np.uint64((1 << 32) - 1)).astype(np.int64)]
-            for bucket, part in shared.value.dealt(shared.value.bucket(u, w)):
-                yield bucket, pack(np.diff(u[part], prepend=np.uint64(0)), w[part], n[part])
+            for bucket, part in k.dealt(shared.value):
+                pairs, n = np.unique(part.pairs(32), return_counts=True)
+                yield bucket, pack(np.diff(k.codes[pairs >> np.uint64(32)], prepend=np.uint64(0)), k.codes[pairs.astype(np.uint32)], n)
 
         return _chunks(batches, shared.value, packed)
 
@@ -352,27 +372,34 @@ def _seat(train: DataFrame, text: str, shared, first_chance: np.ndarray, rare_ch
     def seat(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         codes, rng = shared.value, np.random.default_rng([seed, int(key[0])])
         u, w, n = _pieces(group["data"])
-        (contexts, place), (words, at) = np.unique(u, return_inverse=True), np.unique(w, return_inverse=True)
-        pairs = place << 32 | at
+        contexts, pairs = np.unique(u, return_inverse=True)
+        del u  # columns go as soon as they are used: a bucket's are what a worker holds most of
+        words, at = np.unique(w, return_inverse=True)
+        del w
+        pairs <<= 32
+        pairs |= at
         order = np.argsort(pairs)
-        pairs = pairs[order]
+        pairs, n = pairs[order], n[order]
+        del at, order
         first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        n, place, at = np.add.reduceat(n[order], first), pairs[first] >> 32, pairs[first] & ((1 << 32) - 1)
-        u, w = contexts[place], words[at]
+        n, pairs = np.add.reduceat(n, first), pairs[first]
+        place, at = pairs >> 32, pairs & ((1 << 32) - 1)
+        del first, pairs
         held = np.append(chances.value, rare_chance)
-        p = held[np.minimum(w, np.uint64(len(held) - 1)).astype(np.int64)]
+        held = held[np.minimum(words, np.uint64(len(held) - 1)).astype(np.int64)]
         # a split context has its other tables in the other buckets, as many in each
         times = np.where(codes.is_split(contexts), codes.buckets, 1)
         c, tables, norm, mean = n.astype(np.float64), np.ones(len(n)), None, np.zeros(len(n), np.int64)
         many = np.flatnonzero(c > 1)
+        c, p = c[many], held[at[many]]
         for k in range(SWEEPS):
             totals = (np.bincount(place, tables, len(contexts)) * times)[place[many]]
-            now, norm = sweep(c[many], tables[many], norm, totals, p[many], DISCOUNT, STRENGTH, rng)
+            now, norm = sweep(c, tables[many], norm, totals, p, DISCOUNT, STRENGTH, rng)
             tables[many] = now
             if k >= BURN_IN:
                 mean += tables.astype(np.int64)
         data = [
-            pack(np.diff(u, prepend=np.uint64(0)), w, n, mean),
+            pack(np.diff(contexts[place], prepend=np.uint64(0)), words[at], n, mean),
             pack(words, np.bincount(at, tables, len(words))),
             pack(contexts, np.bincount(place, mean, len(contexts))),
         ]
@@ -442,7 +469,8 @@ def fit(train: DataFrame, text: str = "text", known: int = KNOWN, seed: int = 3,
         codes, np.append(base(n), 0.0), np.append(back + np.log10(own), 0.0), own, tu,
         int(ends > 0), int(total), float(np.log10(left / full)), float(base(0)),
     )
-    by_size = small_side(spark.createDataFrame([(int(t), float(p)) for t, p in chance.items()], "tw long, p double"))
+    # from columns: rows would start Python workers of another kind, which stay beside those of the tasks
+    by_size = small_side(spark.createDataFrame(pa.table({"tw": pa.array([int(t) for t in chance], pa.int64()), "p": pa.array([float(p) for p in chance.values()], pa.float64())})))
     rare = facts.where("code < 0").join(by_size, "tw").select(F.explode("buckets").alias("bucket"), "code", "p")
     return model, Stored(counts.where(F.col("n") < least).select("word", "n"), pairs.where(F.col("kind") == TABLE), rare)
 
@@ -491,8 +519,6 @@ def _added(docs: DataFrame, shared, found: Stored, text: str) -> DataFrame:
         codes = shared.value.codes
 
         def packed(k):
-            order = k.order()
-            u, w, rows = k.codes[k.u[order]], k.codes[k.w[order]], k.rows[order]
             home = codes.home(hashes(k.names))
             by_name = np.argsort(k.named, kind="stable")
             times = np.bincount(k.named, minlength=len(k.names))
@@ -500,11 +526,12 @@ def _added(docs: DataFrame, shared, found: Stored, text: str) -> DataFrame:
             words = dict(codes.dealt(home)) if len(home) else {}
             none = np.zeros(0, np.int64)
             # a word that is not known is a context in its bucket, so every bucket with words has pairs
-            for bucket, part in codes.dealt(codes.bucket(u, w)):
-                own = words.get(bucket, none)
-                tokens = by_name[np.concatenate([none, *[np.arange(start[i], start[i + 1]) for i in own.tolist()]])]
+            for bucket, part in k.dealt(codes):
+                order, own = part.order(), words.get(bucket, none)
+                ends = np.cumsum(times[own])
+                tokens = by_name[np.repeat(start[own] + times[own] - ends, times[own]) + np.arange(ends[-1] if len(own) else 0)]
                 yield bucket, pickle.dumps([
-                    pack(np.diff(u[part], prepend=np.uint64(0)), w[part], rows[part]), k.low,
+                    pack(np.diff(k.codes[part.u[order]], prepend=np.uint64(0)), k.codes[part.w[order]], part.rows[order]), k.low,
                     _squeezed(b" ".join([k.names[i] for i in own])), pack(times[own]), pack(k.named_rows[tokens]),
                 ])
 
@@ -523,15 +550,18 @@ def _added(docs: DataFrame, shared, found: Stored, text: str) -> DataFrame:
         code, p = code[order], np.append(p.view(np.float64)[order], 1.0)
         tables = mean / (SWEEPS - BURN_IN)
         contexts, place = np.unique(u, return_inverse=True)
+        pairs = _pair(u, w)
+        del u, mean
         all_tables = np.bincount(place, tables, len(contexts))
         split = m.codes.is_split(contexts)
         all_tables[split] = m.tables[contexts[split].astype(np.int64)]
         held = w < np.uint64(HIGH)
         chance = np.where(held, m.chance[np.where(held, w, 0).astype(np.int64)], p[np.searchsorted(code, w)])
         gain = np.log10(1 + (n - DISCOUNT * tables) / ((STRENGTH + DISCOUNT * all_tables[place]) * chance))
-        pairs = _pair(u, w)
+        del w, n, tables, place, held, chance
         order = np.argsort(pairs)
         pairs, gain = np.append(pairs[order], np.uint64(0)), np.append(gain[order], 0.0)
+        del order
 
         words, times = [], [empty]
         for d in data[kind == WORDS]:
@@ -544,9 +574,8 @@ def _added(docs: DataFrame, shared, found: Stored, text: str) -> DataFrame:
         logs = np.log10((STRENGTH + DISCOUNT * tables) / (STRENGTH + times)) + np.log10(p[np.searchsorted(code, of_words)])
         base = np.append(np.log10(times + 1.0) + m.base_nothing, m.base_nothing)
         logs = np.append(logs, m.nothing)
-        names = [_whole(r[2]).split() for r in requests]
-        all_names = pa.array([x for part in names for x in part], pa.binary())
-        met = pc.index_in(all_names, value_set=pa.array(words, pa.binary())).fill_null(len(words)).to_numpy(zero_copy_only=False)
+        names = [pa.array(_whole(r[2]).split(), pa.binary()) for r in requests]
+        met = pc.index_in(pa.concat_arrays(names), value_set=pa.array(words, pa.binary())).fill_null(len(words)).to_numpy(zero_copy_only=False)
 
         out, at = [], 0
         for (packed, low, _, repeats, named_rows), part in zip(requests, names):

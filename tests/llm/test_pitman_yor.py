@@ -3,6 +3,8 @@
 import collections
 import math
 import random
+import tracemalloc
+import types
 
 import numpy as np
 import pytest
@@ -163,3 +165,49 @@ def test_pairs_in_order_whether_or_not_places_fit():
         u, w = rng.integers(0, 50, 5000).astype(np.uint64), rng.integers(0, 50, 5000).astype(np.uint64)
         got = py.Chunk(codes, 0, u, w, None, None, None, None).order()
         assert (got == np.lexsort((w, u))).all()
+
+
+def test_a_worker_holds_pairs_of_one_bucket_beside_its_chunk(monkeypatch):
+    """Bytes a token that numpy and Python hold at once while a chunk is made and packed, and while a bucket is unpacked."""
+
+    class Made(Exception):
+        pass
+
+    class Frame:
+        sparkSession = types.SimpleNamespace(sparkContext=types.SimpleNamespace(broadcast=lambda x: None))
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            raise Made(f)
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            out = run()
+            return tracemalloc.get_traced_memory()[1], out
+        finally:
+            tracemalloc.stop()
+
+    rng = np.random.default_rng(7)
+    names = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(names[i] for i in rng.integers(0, 3000, 1000)) for _ in range(1000)]
+    batch = py.pa.RecordBatch.from_arrays([py.pa.array(texts)], names=["text"])
+    codes = py.Codes({w.encode(): i for i, w in enumerate(names[:-9], 1)}, np.zeros(len(names) + 1, bool), 16)
+    value = types.SimpleNamespace
+    calls = [
+        lambda: py._added(Frame(), value(value=value(codes=codes)), None, "text"),
+        lambda: py._seat(Frame(), "text", value(value=codes), None, 0.0, 1),
+    ]
+    monkeypatch.setattr(py, "TaskContext", value(get=lambda: value(partitionId=lambda: 0)))
+    for call in calls:
+        with pytest.raises(Made) as made:
+            call()
+        codes.known(batch.column(0).slice(0, 0).cast("binary"))
+        used, rows = peak(lambda: sum(1 for _ in made.value.args[0](iter([batch]))))
+        assert rows == 16 and used < 50 * 1_001_000
+
+    data = [py.pack(*(rng.integers(0, 1 << 30, 40_000) for _ in range(3))) for _ in range(10)]
+    used, columns = peak(lambda: py._pieces(data))
+    assert used < 1.6 * sum(c.nbytes for c in columns)
