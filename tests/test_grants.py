@@ -85,3 +85,30 @@ def test_additional_permissions_are_made_distinct_once(spark):
     got = security.additional_permissions(users, more, objects, schemas)
     assert rows(got, "database_user", "permission_state", "object_name") == [("u", "DENY", ""), ("u", "GRANT", "[s].[o]")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_audit_reads_every_grant_once(spark):
+    """Before, the grants were read and shuffled once for each part of the audit, and again for the names of securables."""
+    people = spark.createDataFrame(
+        [(5, "u", "S", 1), (7, "u", "S", 1), (5, "v", "U", 1), (6, "w", "U", 9), (8, "x", "G", 1), (3, "dbo", "S", 1), (-1, "public", "R", None), (-2, "r", "R", None),
+         (-3, None, "R", None), (-4, "empty", "R", None)], "principal_id long, name string, type string, sid long",
+    )
+    logins = spark.createDataFrame([(1, "D/l")], "sid long, name string")
+    made = [(5, 10, 1, "OBJECT", "SELECT", "GRANT"), (5, 10, 1, "COLUMN", "SELECT", "GRANT"), (7, 10, 1, "OBJECT", "SELECT", "GRANT"), (7, 12, 0, "OBJECT", "SELECT", "DENY"),
+            (-1, 10, 0, "OBJECT", "SELECT", "GRANT"), (-1, 11, 0, "OBJECT", "SELECT", "GRANT"), (-2, 10, 0, "OBJECT", "UPDATE", "GRANT"), (-2, 13, 0, "OBJECT", "UPDATE", "GRANT"),
+            (-3, 12, 0, "OBJECT", "SELECT", "DENY"), (99, 10, 0, "OBJECT", "SELECT", "GRANT")]
+    permissions = spark.createDataFrame(made, PERMISSIONS)
+    members = spark.createDataFrame([(8, -2), (8, -2), (7, -3), (6, -4), (6, None), (77, -2)], "member_principal_id long, role_principal_id long")
+    columns = spark.createDataFrame([(10, 1, "c")], "object_id long, column_id long, name string")
+    objects = spark.createDataFrame([(10, "o", "VIEW", 0), (11, "s", "VIEW", 1), (13, "o", "VIEW", 0)], "object_id long, name string, type_desc string, is_ms_shipped int")
+    got = security.user_permission_audit(people, logins, permissions, members, columns, objects)
+    u, w = ("u", "SQL User", "u"), (None, "Windows User", "w")
+    assert rows(got, *got.columns) == sorted([
+        (*u, None, "SELECT", "GRANT", "VIEW", "o", "c"), (*u, None, "SELECT", "DENY", None, None, None),
+        ("D/l", "Windows User", "v", None, "SELECT", "GRANT", "VIEW", "o", "c"), (*w, None, None, None, None, None, None),
+        (*w, "empty", None, None, None, None, None), (None, None, "x", "r", "UPDATE", "GRANT", "VIEW", "o", None),
+        (*["{All Users}"] * 3, "public", "SELECT", "GRANT", "VIEW", "o", None),
+    ], key=repr)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [grantee_principal_id") == 1
+    # owners are held in memory, not the grants of a role
+    assert "LeftOuter, BuildLeft" in got._jdf.queryExecution().executedPlan().toString()
